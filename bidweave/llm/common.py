@@ -43,7 +43,6 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), "bidweave-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
