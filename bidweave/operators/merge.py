@@ -94,7 +94,7 @@ class VersionedTable:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def _pointer(self):
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
         return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int:
@@ -102,7 +102,12 @@ class VersionedTable:
         place, fs = self._pointer()
         if not fs.exists(place):
             return 0
-        return int(self.spark.read.text(f"{self.path}/_current", wholetext=True).first()[0])
+        source = fs.open(place)
+        text = bytearray()
+        while (b := source.read()) >= 0:
+            text.append(b)
+        source.close()
+        return int(text.decode())
 
     def read(self) -> DataFrame:
         n = self.version()

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Computed once and kept in the checkpoint folder that all executors share, so that later uses don't start over."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "bidweave-checkpoints"))
+    return df.checkpoint()
+
+
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order (which should be total for a repeatable choice)."""
     w = Window.partitionBy(*keys).orderBy(*order)

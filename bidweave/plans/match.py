@@ -1,8 +1,9 @@
 """The matcher: for each open notice, the award it most likely replaces.
 
-One plan without driver round trips: notices in scope meet candidate awards in a
-blocking join, cited awards join them, text similarity is computed for those
-pairs only, and windows rank, decide and prune.
+No loop over notices: those in scope meet candidate awards in a blocking join,
+cited awards join them, text similarity is computed for those pairs only, and
+windows rank, decide and prune. What several steps use (facts, exclusions,
+pairs, scores) is computed once and kept in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from bidweave.functions import features as X
 from bidweave.functions import normalize as N
 from bidweave.functions import text as T
 from bidweave.operators.merge import replace_automatic
-from bidweave.operators.rows import latest, top_n
+from bidweave.operators.rows import cut, latest, top_n
 from bidweave.sources.awards import award_end, award_value
 
 
@@ -123,7 +124,7 @@ def cited_awards(notices: DataFrame, awards: DataFrame, cfg: MatchingConfig, exc
     found = notices.select("notice_id", "n_subtier", "n_text", F.explode(T.citations("n_text", "n_solicitation")).alias("c"))
     keyed = awards.where(F.col("a_piid_norm").isNotNull()).select("award_key", "a_piid_norm", "a_type", "a_subtier")
     hits = found.select("notice_id", "n_subtier", "n_text", "c", F.col("c.piid_norm").alias("a_piid_norm")).join(keyed, "a_piid_norm")
-    hits = hits.join(exclude, ["notice_id", "award_key"], "left_anti")
+    hits = cut(hits.join(exclude, ["notice_id", "award_key"], "left_anti"))
     same = F.col("n_subtier").eqNullSafe(F.col("a_subtier"))
     kind = F.coalesce("a_type", F.lit(""))
     vehicle = kind.isin(*cfg.candidates.vehicle_award_types) | (kind.startswith("IDV") & ~same)
@@ -224,13 +225,13 @@ def match(notices: DataFrame, awards: DataFrame, descriptions: DataFrame, previo
     ``previous`` is a finished snapshot of all matches, history links included; it must not be the table that
     the result overwrites.
     """
-    facts = notice_facts(notices, descriptions, cfg, vertical, today)
+    facts = cut(notice_facts(notices, descriptions, cfg, vertical, today))
     known = award_facts(awards)
     marked = previous.join(known.select("award_key", "a_subtier"), "award_key", "left")
-    exclude = excluded_pairs(facts, marked)
+    exclude = cut(excluded_pairs(facts, marked))
     near = candidates(facts, known, cfg, exclude)
     cited = cited_awards(facts, known, cfg, exclude)
-    pairs = near.unionByName(cited.explicit.select("notice_id", "award_key")).distinct()
+    pairs = cut(near.unionByName(cited.explicit.select("notice_id", "award_key")).distinct())
     reviews = previous.where((F.col("kind") == "incumbent") & (F.col("status") != "auto")).select("notice_id", "award_key", F.col("status").alias("review"))
     full = (
         pairs.join(facts, "notice_id")
@@ -244,7 +245,7 @@ def match(notices: DataFrame, awards: DataFrame, descriptions: DataFrame, previo
         .withColumn("stated", T.stated_amounts("n_text"))
         .withColumn("vehicles", F.coalesce("vehicles", F.array().cast("array<string>")))
     )
-    scored = scored_pairs(full, cfg)
+    scored = cut(scored_pairs(full, cfg))
     ranked = scored.withColumn("position", F.row_number().over(Window.partitionBy("notice_id").orderBy(*rank_order())))
     # Judged pairs take part in ranking only if they are candidates; a confirmed one hides the rest either way.
     confirmed = reviews.where(F.col("review") == "confirmed").select("notice_id").distinct().withColumn("_has_confirmed", F.lit(True))
