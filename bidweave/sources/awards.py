@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bidweave import schemas
 from bidweave.functions import normalize as N
 from bidweave.operators.merge import Merged, merge_reference, upsert
-from bidweave.operators.rows import distinct_on
+from bidweave.operators.rows import cut, distinct_on
 
 
 class NotAnAwardFileError(ValueError):
@@ -158,15 +158,16 @@ def seed_vertical_naics(naics: DataFrame, vertical: Sequence[str]) -> DataFrame:
 
 def upsert_awards(stored: DataFrame, raw: DataFrame) -> Merged:
     """Stored awards and a file: newer or equally new rows that differ replace stored ones."""
-    return upsert(stored, typed_awards(raw).select(*stored.columns), ["award_key"], newer="last_modified")
+    # Parsed and typed once: the merge, its counts and later uses read the kept rows.
+    return upsert(stored, cut(typed_awards(raw).select(*stored.columns)), ["award_key"], newer="last_modified")
 
 
 def upsert_entities(stored: DataFrame, raw: DataFrame) -> Merged:
-    return upsert(stored, entities(raw).select(*stored.columns), ["uei"], newer="last_modified")
+    return upsert(stored, cut(entities(raw).select(*stored.columns)), ["uei"], newer="last_modified")
 
 
 def load_awards(stored: dict[str, DataFrame], raw: DataFrame, vertical: Sequence[str]) -> dict[str, DataFrame]:
-    """All tables after a file: agencies, offices, naics, entities, awards. Nothing is executed here."""
+    """All tables after a file: agencies, offices, naics, entities, awards. Typed rows are kept in the checkpoint folder."""
     seen = reference_tables(raw, vertical)
     return {
         "agencies": merge_reference(stored["agencies"], seen["agencies"], ["level", "code"]),

@@ -9,6 +9,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidweave import cli, schemas
 from bidweave.operators import merge, rows, versions
@@ -138,7 +139,7 @@ def test_extract(spark, tmp_path):
 def snapshots(spark, *rows):
     types = {f.name: f for f in schemas.notice()}
     made = [{**{f: None for f in types}, "description": None, "seq": i, **r} for i, r in enumerate(rows)]
-    schema = schemas.notice().add("description", "string").add("seq", "int")
+    schema = schemas.notice().add("description", T.StringType()).add("seq", T.IntegerType())
     return versions.incoming_snapshots(spark.createDataFrame(made, schema))
 
 
