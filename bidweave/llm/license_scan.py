@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,7 +126,12 @@ ANCHORS = (
     "agpl", "apache", "mit", "bsd", "mozilla", "mpl", "creative", "commons", "cc", "cc0", "by-nc", "by-sa", "isc", "spdx-license-identifier",
     "redistribution", "redistributions", "redistribute", "rights", "proprietary",
 )
-ANCHOR_PATTERN = r"(?i)(licen[sc]|copyright|permission|permitted|warranty|\b(gnu|a?gpl|lgpl|apache|mit|bsd|mozilla|mpl|creative|commons|cc0?|by-nc|by-sa|isc|rights|proprietary)\b|redistribut)"
+ANCHOR_PATTERN = r"licen[sc]|copyright|permission|permitted|warranty|redistribut|\b(?:gnu|a?gpl|lgpl|apache|mit|bsd|mozilla|mpl|creative|commons|cc0?|by-nc|by-sa|isc|rights|proprietary)\b"
+#: Strings one of which every match holds; looked for first, since that is quicker.
+ANCHOR_PARTS = (
+    "licens", "licenc", "copyright", "permission", "permitted", "warranty", "redistribut", "gnu", "gpl", "apache", "mit", "bsd", "mozilla", "mpl",
+    "creative", "commons", "cc", "by-nc", "by-sa", "isc", "rights", "proprietary",
+)
 #: A paragraph is a line; its words are runs of these characters, folded.
 NOT_WORD = r"[^a-z0-9.+-]+"
 GRAMS = 3
@@ -260,18 +265,21 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         [{"family": f, "grams": trigrams(words_of(t))} for f, texts in TEMPLATES.items() for t in texts],
         "family string, grams array<string>",
     )
+    anchored = lambda p: reduce(Column.__or__, (F.contains(p, F.lit(x)) for x in ANCHOR_PARTS)) & p.rlike(ANCHOR_PATTERN)
     lines = F.filter(
-        F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda p, i: F.struct(i.alias("line"), p.alias("p"))),
-        lambda x: x["p"].rlike(ANCHOR_PATTERN),
+        F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda p, i: F.struct(i.alias("line"), p.alias("p"))), lambda x: anchored(x["p"])
     )
+    keys = ["doc_id", "row", "n_candidates", "line"]
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
     rows = rows.select("doc_id", "row", F.size("lines").cast("long").alias("n_candidates"), F.explode_outer("lines").alias("at"))
     rows = rows.select("doc_id", "row", "n_candidates", F.col("at.line").alias("line"), _words(F.coalesce("at.p", F.lit(""))).alias("words"))
-    grams = F.array_distinct(F.concat(*(_grams(F.col("words"), n) for n in range(1, GRAMS + 1))))
+    # Only n-grams that are features are taken apart further; the array of them is small and fixed.
+    features = F.array(*map(F.lit, model.features))
+    grams = F.array_intersect(F.concat(*(_grams(F.col("words"), n) for n in range(1, GRAMS + 1))), features)
     own = F.when(F.size("words") < 3, F.array(F.concat_ws(" ", "words"))).otherwise(F.array_distinct(_grams(F.col("words"), 3)))
-    keys = ["doc_id", "row", "n_candidates", "line"]
+    rows = rows.select(*keys, own.alias("own"), grams.alias("grams"))
     scored = (
-        rows.select(*keys, own.alias("own"), F.explode_outer(grams).alias("gram"))
+        rows.select(*keys, "own", F.explode_outer("grams").alias("gram"))
         .join(F.broadcast(weights), "gram", "left")
         .groupBy(*keys)
         .agg(F.first("own").alias("own"), *(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"z{k}") for k in known))
@@ -311,7 +319,7 @@ def scan_text(text: str | None, model: Model | None = None) -> dict:
     index = {g: i for i, g in enumerate(model.features)}
     found = []
     n = 0
-    for line, p in enumerate((text or "").split("\n")):
+    for line, p in enumerate((text or "").lower().split("\n")):
         if not re.search(ANCHOR_PATTERN, p, re.ASCII):
             continue
         n += 1
