@@ -52,7 +52,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     turns = turns.unionByName(spark.createDataFrame(PROBE, turns.schema))
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return chat.read_back(chat.format_conversations(turns, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    digests = chat.read_back(chat.format_conversations(turns, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return digests.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op6_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,5 +115,40 @@ def _chat_sql() -> str:
     """
 
 
+def _components_sql(nodes: str, links: str, extra: str) -> str:
+    """Common table expressions n_links and component by node, from ``nodes`` (id) and ``links`` (a, b, either way)."""
+    return f"""
+        reach(id, other) AS (SELECT id, id FROM {nodes} UNION SELECT reach.id, {links}.b FROM reach JOIN {links} ON {links}.a = reach.other),
+        part AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1),
+        counted AS (SELECT a AS id, count(*) AS n FROM {links} GROUP BY 1){extra}
+    """
+
+
+def _embedding_sql() -> str:
+    return f"""
+        WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+        link AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.label AND x.id <> y.id AND len(x.e) = len(y.e)
+            WHERE list_cosine_similarity(x.e, y.e) >= {embed_dedup.SIMILARITY}),
+        {_components_sql("v", "link", "")}
+        SELECT v.id AS vec_id, coalesce(n, 0) AS n_links, component_id, v.id = component_id AS kept
+        FROM v JOIN part ON part.id = v.id LEFT JOIN counted ON counted.id = v.id
+    """
+
+
+def _jaccard_sql() -> str:
+    return f"""
+        WITH RECURSIVE doc AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        gram AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM doc),
+        size AS (SELECT id, count(*) AS n FROM gram GROUP BY 1),
+        both_in AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM gram x JOIN gram y ON x.g = y.g AND x.id <> y.id GROUP BY ALL),
+        link AS (SELECT a, b, c = x.n AND c = y.n AS same FROM both_in JOIN size x ON x.id = a JOIN size y ON y.id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+        {_components_sql("doc", "link", ", class AS (SELECT a AS id, min(b) AS b FROM link WHERE same GROUP BY 1)")}
+        SELECT doc.id AS doc_id, least(doc.id, coalesce(class.b, doc.id)) AS class_id, coalesce(n, 0) AS n_links, component_id, doc.id = component_id AS kept
+        FROM doc JOIN part ON part.id = doc.id LEFT JOIN counted ON counted.id = doc.id LEFT JOIN class ON class.id = doc.id
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": _chat_sql()}
+    """SQL twins; the other operators need a compressor, a tokenizer or a trained model and are tested by brute force."""
+    return {"op2_embedding_near_dedup": _embedding_sql(), "op5_chat_formatting": _chat_sql(), "op7_chosen_path_join": _jaccard_sql()}
