@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,80 +40,70 @@ class Limits:
 WAITING = 4096
 
 
+_plain = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:%$#&*|]*)", re.ASCII).fullmatch
 _other_blank = re.compile(r"[\t\r]").search
+_blank = str.maketrans("\n\t\r", "   ")
 
 
-class WordCache:
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones as they are, the rest from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    moved = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
+
+
+class WordCache(dict):
     """Ids of whole texts, one distinct word at a time.
 
     The tokenizer's pattern never matches white space, and its normaliser acts within words, so a text's ids
-    are those of its blank-separated words in order. Words of plain Latin letters with marks are looked up by
-    folded letters; all others go through the tokenizer as they are.
+    are those of its blank-separated words in order. A word of plain Latin letters with marks after it is two
+    matches, which the tokenizer's model takes as they are, folded; all others go through the whole tokenizer.
+    Looking a word up for the first time works it out.
     """
 
     MAX_WORDS = 500_000
-    MAX_LETTERS = 350_000
-    _plain = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]*)", re.ASCII).fullmatch
-    _blank = str.maketrans("\n\t\r", "   ")
+    MAX_RUNS = 350_000
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), 2048):
-            found = self.tokenizer.encode_batch_fast(words[at : at + 2048], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-        return out
-
-    def _encode_runs(self, runs: list[str]) -> list[bytes]:
-        """As ``_encode`` for runs of letters or of marks: each is one match, and its last id alone ends a word."""
-        out: list[bytes] = []
-        for at in range(0, len(runs), 512):
-            part = runs[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-        return out
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.runs: dict[str, bytes] = {"": b""}
+        self[""] = b""
+
+    def _run(self, run: str) -> bytes:
+        got = self.runs.get(run)
+        if got is None:
+            text = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            got = self.runs[run] = array("I", [t.id for t in self.tokenize(text)]).tobytes()
+        return got
+
+    def __missing__(self, word: str) -> bytes:
+        plain = _plain(word)
+        if plain:
+            run, marks = plain.groups()
+            got = self._run(run.lower()) + self._run(marks)
+        else:
+            got = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = got
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known, letters = self.words, self.letters
-        if len(known) > self.MAX_WORDS:
-            known.clear()
-            known[""] = b""
-        if len(letters) > self.MAX_LETTERS:
-            letters.clear()
-            letters[""] = b""
-        split = [t.translate(self._blank).split(" ") if _other_blank(t) else t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(known)
-        plain: dict[str, tuple[str, str]] = {}
-        wanted: set[str] = set()
-        rest: list[str] = []
-        for w in new:
-            hit = self._plain(w)
-            if hit:
-                word, marks = hit.groups()
-                word = word.lower()
-                plain[w] = (word, marks)
-                if word not in letters:
-                    wanted.add(word)
-                if marks not in letters:
-                    wanted.add(marks)
-            else:
-                rest.append(w)
-        ordered = list(wanted)
-        letters.update(zip(ordered, self._encode_runs(ordered), strict=True))
-        known.update((w, letters[a] + letters[b]) for w, (a, b) in plain.items())
-        known.update(zip(rest, self._encode(rest), strict=True))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(self) > self.MAX_WORDS:
+            self.clear()
+            self[""] = b""
+        if len(self.runs) > self.MAX_RUNS:
+            self.runs.clear()
+            self.runs[""] = b""
+        ids = self.__getitem__
+        out = []
+        for t in texts:
+            words = t.translate(_blank) if _other_blank(t) else t.replace("\n", " ")
+            out.append(b"".join(map(ids, words.split(" "))))
+        return out
 
 
 @lru_cache(maxsize=2)
