@@ -460,7 +460,7 @@ def relation_counts(spark, sf):
 
 
 _DECIDED = """
-    th AS (SELECT unnest([0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS threshold),
+    th AS (SELECT unnest([0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS threshold),
     c AS (SELECT user_id AS notice_id, CAST(event_id AS VARCHAR) AS award_key, round(abs(value) / (1 + abs(value)), 4) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(abs(value) / (1 + abs(value)), 4) DESC, CAST(event_id AS VARCHAR)) AS pos FROM events),
     b AS (SELECT notice_id, max(CASE WHEN pos = 1 THEN award_key END) AS k1, max(CASE WHEN pos = 1 THEN score END) AS s1, coalesce(max(CASE WHEN pos = 2 THEN score END), 0) AS s2, list(award_key) FILTER (WHERE pos <= 3 AND score >= 0.35) AS possible FROM c GROUP BY 1),
     d AS (SELECT threshold, notice_id, CASE WHEN s1 >= threshold AND round(s1 - s2, 9) >= 0.15 THEN k1 END AS incumbent, CASE WHEN s1 >= threshold AND round(s1 - s2, 9) >= 0.15 THEN [] ELSE coalesce(possible, []) END AS possible FROM b, th),
