@@ -26,6 +26,8 @@ SAMPLE = 20_000
 CELL = 2_048
 MAX_CELLS = 1_024
 ITERATIONS = 8
+#: Cells that a vector may visit on average; with more, fewer and larger cells are taken, down to two.
+MAX_VISITS = 4.0
 #: Vectors on either side of one product.
 BLOCK = 1_024
 #: A member's cosine is taken again, term by term, if the product is so near the threshold.
@@ -63,6 +65,19 @@ def homes_and_visits(unit: np.ndarray, centroids: np.ndarray, similarity: float)
     return home, visits
 
 
+def fitted_cells(unit: np.ndarray, cells: int, similarity: float) -> np.ndarray:
+    """Centroids of as many cells, up to ``cells``, as vectors do not visit too many of.
+
+    Where vectors have no clusters, small cells would make everyone visit nearly all of them, which moves more
+    rows than it spares products. What links with what does not depend on the choice.
+    """
+    while True:
+        centroids = spherical_kmeans(unit, cells)
+        if len(centroids) <= 2 or homes_and_visits(unit[:4096], centroids, similarity)[1].sum(axis=1).mean() <= MAX_VISITS:
+            return centroids
+        cells = max(2, len(centroids) // 2)
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors / np.abs(vectors).max(axis=1)[:, None]  # squares neither overflow nor vanish
     return vectors / np.linalg.norm(vectors, axis=1)[:, None]
@@ -119,7 +134,9 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
     cells = max(1, min(MAX_CELLS, n // CELL))
     centroids = {}
     for length, group in sorted(by_length.items()):
-        centroids[length] = spherical_kmeans(_unit(np.array(sorted(group), dtype=np.float64)), max(1, cells * len(group) // len(sample)))
+        own_cells = max(1, cells * len(group) // len(sample))
+        shuffled = np.random.default_rng(1).permutation(np.array(sorted(group), dtype=np.float64))
+        centroids[length] = fitted_cells(_unit(shuffled), own_cells, similarity)
     shared = spark.sparkContext.broadcast(centroids)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
