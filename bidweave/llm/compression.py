@@ -1,12 +1,14 @@
 """Quality rules by compression bands.
 
 A text that zstandard shrinks far more than prose of its length repeats itself;
-one that it hardly shrinks is noise. Both the whole text and fixed chunks of it
-are compressed, and each ratio is held against limits for its length.
+one that it hardly shrinks is noise. Both the whole text and fixed chunks of it,
+the last one included, are compressed, and each ratio is held against limits for
+its length. The limits are fitted to the ratios of all documents of the table.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bidweave.llm.common import prepare
 
@@ -32,10 +35,18 @@ WHOLE_BANDS = (
     (16384, 1.35, 3.8),
     (65536, 1.35, 4.5),
 )
-#: Bytes of a fixed chunk, its band, and the share of full chunks that may lie outside it.
+#: Bytes of a fixed chunk, and the share of a text's bytes that may stand in chunks outside the limits for their length.
 CHUNK_BYTES = 4096
-CHUNK_BAND = (1.20, 3.6)
 CHUNK_SHARE = 1 / 3
+#: Fitted limits, always within the bands above: the median of a class of lengths (half octaves, joined until they hold
+#: CLASS_DOCS documents) and so many robust deviations, at least LEAST_WIDTH of the median. Tables of fewer than
+#: FIT_DOCS documents, and classes too small, have the bands alone. Ratios are counted in steps of 1 / STEPS.
+DEVIATIONS = 3.5
+LEAST_WIDTH = 0.05
+CLASS_DOCS = 64
+FIT_DOCS = 1000
+STEPS = 200
+TOP_STEP = 100 * STEPS
 LEVEL = 3
 
 #: Fixed values of the base rules.
@@ -93,21 +104,75 @@ def band(n_bytes: int) -> tuple[float, float]:
     return next((low, high) for least, low, high in reversed(WHOLE_BANDS) if n_bytes >= least)
 
 
-def judge(text: str | None, compress=zstandard.ZstdCompressor(level=LEVEL).compress) -> Verdict:
-    """Base counts and the compression verdict of one whole text. Null counts as empty; an empty text fails."""
+def class_of(n_bytes: int, n_chars: int) -> tuple[int, int]:
+    """Bytes a letter, rounded (scripts of wider letters shrink otherwise), and the half octave of the length."""
+    return round(n_bytes / n_chars), int(2 * math.log2(n_bytes))
+
+
+def fit(counts: dict[tuple[int, int, int], int]) -> dict[tuple[int, int], tuple[float, float]]:
+    """Limits by class from the documents counted by (bytes a letter, half octave, ratio in steps)."""
+    limits: dict[tuple[int, int], tuple[float, float]] = {}
+    if sum(counts.values()) < FIT_DOCS:
+        return limits
+    for width in sorted({w for w, _, _ in counts}):
+        joined: list[int] = []
+        held: Counter[int] = Counter()
+        for octave in sorted({o for w, o, _ in counts if w == width}):
+            joined.append(octave)
+            for (w, o, step), n in counts.items():
+                if (w, o) == (width, octave):
+                    held[step] += n
+            if held.total() >= CLASS_DOCS:
+                middle = _median(held)
+                off: Counter[int] = Counter()
+                for step, n in held.items():
+                    off[abs(step - middle)] += n
+                reach = max(DEVIATIONS * 1.4826 * _median(off), LEAST_WIDTH * middle)
+                limits |= {(width, o): ((middle - reach) / STEPS, (middle + reach) / STEPS) for o in joined}
+                joined, held = [], Counter()
+    return limits
+
+
+def _median(counts: Counter[int]) -> int:
+    """The lower median of counted values."""
+    left = (counts.total() + 1) // 2
+    for value in sorted(counts):
+        left -= counts[value]
+        if left <= 0:
+            return value
+    raise ValueError("nothing counted")
+
+
+def within(ratio: float, n_bytes: int, n_chars: int, limits: dict) -> bool:
+    """Whether a ratio lies within the band of its length and within the fitted limits, if there are any."""
+    low, high = band(n_bytes)
+    if fitted := limits.get(class_of(n_bytes, n_chars)):
+        low, high = max(low, fitted[0]) if low else low, min(high, fitted[1])
+    return low <= ratio <= high
+
+
+def judge(text: str | None, compress=zstandard.ZstdCompressor(level=LEVEL).compress, limits: dict | None = None) -> Verdict:
+    """Base counts and the compression verdict of one whole text. Null counts as empty; an empty text fails.
+
+    ``limits`` are those of :func:`fit`; without them the bands alone hold.
+    """
+    limits = limits or {}
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     repeats = repeated_words(words)
     failed = len(words) < LEAST_WORDS or 100 * repeats > REPEAT_PERCENT * len(words)
     ratio = len(raw) / len(compress(raw)) if raw else 0.0
-    low, high = band(len(raw))
-    chunks = range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)
-    bad = 0
+    chunks = range(0, len(raw), CHUNK_BYTES)
+    bad = bad_bytes = 0
     for at in chunks:
-        r = CHUNK_BYTES / len(compress(raw[at : at + CHUNK_BYTES]))
-        bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-    kept = not failed and low <= ratio <= high and bad <= CHUNK_SHARE * len(chunks)
+        part = raw[at : at + CHUNK_BYTES]
+        r = ratio if len(part) == len(raw) else len(part) / len(compress(part))
+        # The letters of a chunk, in proportion: a letter may be cut in two.
+        if not within(r, len(part), max(1, round(len(text) * len(part) / len(raw))), limits):
+            bad += 1
+            bad_bytes += len(part)
+    kept = bool(raw) and not failed and within(ratio, len(raw), len(text), limits) and bad_bytes <= CHUNK_SHARE * len(raw)
     return Verdict(
         len(words),
         len(text) - sum(map(text.count, SPACES)),
@@ -125,12 +190,33 @@ def judge(text: str | None, compress=zstandard.ZstdCompressor(level=LEVEL).compr
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, n_chunks long, n_bad_chunks long, kept boolean"
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each batch by class and ratio in steps."""
+    compress = zstandard.ZstdCompressor(level=LEVEL).compress
+    for batch in batches:
+        counts: Counter[tuple[int, int, int]] = Counter()
+        for t in batch.column(0):
+            if text := t.as_py():
+                raw = text.encode("utf-8", "surrogatepass")
+                counts[*class_of(len(raw), len(text)), min(TOP_STEP, round(STEPS * len(raw) / len(compress(raw))))] += 1
+        rows = [(*k, n) for k, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(4)], names=["width", "octave", "step", "n"])
+
+
+def fitted_limits(docs: DataFrame) -> dict[tuple[int, int], tuple[float, float]]:
+    """The limits fitted to all documents of a table; only counts by class and step leave the executors."""
+    prepare(docs.sparkSession)
+    counted = docs.select("text").mapInArrow(_count, "width long, octave long, step long, n long")
+    rows = counted.groupBy("width", "octave", "step").agg(F.sum("n").alias("n")).collect()
+    return fit({(r["width"], r["octave"], r["step"]): r["n"] for r in rows})
+
+
+def _measure(batches: Iterator[pa.RecordBatch], limits: dict) -> Iterator[pa.RecordBatch]:
     names = SCHEMA.replace(",", "").split()[2::2]
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
     types = [kinds[k] for k in SCHEMA.replace(",", "").split()[3::2]]
     for batch in batches:
-        found = [judge(t.as_py()) for t in batch.column(1)]
+        found = [judge(t.as_py(), limits=limits) for t in batch.column(1)]
         columns = [batch.column(0).cast(pa.int64())]
         columns += [pa.array([getattr(v, n) for v in found], type=t) for n, t in zip(names, types, strict=True)]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names])
@@ -139,20 +225,20 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """One row per document: base counts, ratios and ``kept``.
 
-    Rows are independent: nothing is shuffled, repeated rows give repeated rows, a null id stays null, an
+    Limits are fitted first, in a pass of its own; then rows are independent: no text is shuffled, repeated rows give repeated rows, a null id stays null, an
     empty table gives no rows, and other columns are never read.
     """
-    prepare(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_measure, SCHEMA)
+    limits = fitted_limits(docs)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _measure(batches, limits), SCHEMA)
 
 
 def keep_compressible(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns as they came."""
-    prepare(docs.sparkSession)
+    limits = fitted_limits(docs)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([judge(t.as_py()).kept for t in batch.column(at)], type=pa.bool_()))
+            yield batch.filter(pa.array([judge(t.as_py(), limits=limits).kept for t in batch.column(at)], type=pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

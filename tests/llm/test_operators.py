@@ -227,6 +227,27 @@ def test_bands_reject_loops_and_noise():
     assert compression.judge(half).n_bad_chunks > 0
 
 
+def test_limits_follow_the_documents(spark):
+    rng = random.Random(7)
+    prose = [words(rng, rng.randrange(100, 400)) for _ in range(1500)]
+    junk = " ".join(f"w{rng.randrange(100)}" for _ in range(300))
+    assert compression.judge(junk).kept  # within the bands, but far from the rest
+    df = spark.createDataFrame(list(enumerate([*prose, junk])), "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in compression.quality_verdicts(df).collect()}
+    assert not rows[len(prose)]["kept"] and not rows[len(prose)]["base_failed"]
+    assert sum(not rows[i]["kept"] for i in range(len(prose))) < 0.03 * len(prose)
+    kept = {r["doc_id"] for r in compression.keep_compressible(df).collect()}
+    assert kept == {i for i, r in rows.items() if r["kept"]}
+
+
+def test_the_last_chunk_is_judged():
+    rng = random.Random(8)
+    head = words(rng, 2000)[: compression.CHUNK_BYTES - 1] + " "
+    tail = " ".join(rng.choice(["ab", "cd", "ef"]) for _ in range(1300))[:3500]
+    v = compression.judge(head + tail)
+    assert (v.n_chunks, v.n_bad_chunks) == (2, 1)
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------------
 
 
