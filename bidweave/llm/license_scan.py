@@ -95,6 +95,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the ISC License.",
     ),
     "Proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without the prior permission of the copyright owner.",
         "This document is proprietary and confidential. Unauthorised copying is prohibited; all rights reserved by the copyright holder.",
     ),
@@ -138,6 +139,8 @@ GRAMS = 3
 MAX_FEATURES = 2_000
 LEAST_CONFIDENCE = 0.5
 LEAST_SHARED = 0.6
+#: A notice that open licences carry too; it never outranks another family as a document's surest one.
+LAST_FAMILY = "Proprietary"
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -297,7 +300,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         .agg(F.first("family").alias("family"), F.first("confidence").alias("confidence"), F.max(F.coalesce(shared, F.lit(0.0))).alias("shared"))
     )
     sure = (F.col("family") != UNKNOWN) & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("shared") >= LEAST_SHARED)
-    best = F.max(F.when(sure, F.struct("shared", "confidence", (-F.col("line")).alias("back"), "family")))
+    best = F.max(F.when(sure, F.struct((F.col("family") != LAST_FAMILY).alias("open"), "shared", "confidence", (-F.col("line")).alias("back"), "family")))
     return (
         compared.groupBy("doc_id", "row", "n_candidates")
         .agg(F.array_sort(F.collect_set(F.when(sure, F.col("family")))).alias("families"), best.alias("best"))
@@ -331,11 +334,11 @@ def scan_text(text: str | None, model: Model | None = None) -> dict:
         own = set(trigrams(words))
         shared = max((len(own & set(t)) / len(t) for t in (trigrams(words_of(x)) for x in TEMPLATES.get(family, ()))), default=0.0)
         if family != UNKNOWN and confidence >= LEAST_CONFIDENCE and shared >= LEAST_SHARED:
-            found.append((shared, confidence, -line, family))
+            found.append((family != LAST_FAMILY, shared, confidence, -line, family))
     best = max(found, default=None)
     return {
         "n_candidates": n,
-        "families": ",".join(sorted({f[3] for f in found})),
-        "family": best and best[3],
-        "line": -best[2] if best else None,
+        "families": ",".join(sorted({f[4] for f in found})),
+        "family": best and best[4],
+        "line": -best[3] if best else None,
     }

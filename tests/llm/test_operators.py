@@ -499,6 +499,18 @@ def test_license_scan_equals_plain_scoring(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval", "MapInArrow"))
 
 
+def test_short_notices_are_confirmed(spark):
+    made = {
+        "All rights reserved.": "Proprietary",
+        "some words of a page.\nAll rights reserved.": "Proprietary",
+        "Copyright 2020 Some Body. All rights reserved.": "Proprietary",
+        "All rights reserved.\nReleased under the MIT License.": "MIT",
+        "Rights of way are reserved for all.": None,
+    }
+    got = {r["doc_id"]: r["family"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(made.values())) == {i: license_scan.scan_text(t)["family"] for i, t in enumerate(made)}
+
+
 def test_decoys_stay_unknown():
     fresh = ["Her license to teach expired in May.", "Permission was asked and given.", "A warranty is not a promise.", "The commons are creative places."]
     assert all(license_scan.scan_text(t)["family"] is None for t in [*fresh, *license_scan.DECOYS])
