@@ -133,7 +133,9 @@ ANCHOR_PARTS = (
     "licens", "licenc", "copyright", "permission", "permitted", "warranty", "redistribut", "gnu", "gpl", "apache", "mit", "bsd", "mozilla", "mpl",
     "creative", "commons", "cc", "by-nc", "by-sa", "isc", "rights", "proprietary",
 )
-#: A paragraph is a line; its words are runs of these characters, folded.
+#: A paragraph is a line with an anchor, alone and joined with so many lines before and after it, since notices are
+#: often wrapped. Words end at these characters and are folded; runs without a letter or digit (comment marks) are none.
+WINDOWS = ((0, 0), (1, 1), (0, 2), (2, 0), (3, 3))
 NOT_WORD = r"[^a-z0-9.+-]+"
 GRAMS = 3
 MAX_FEATURES = 2_000
@@ -145,7 +147,7 @@ LAST_FAMILY = "Proprietary"
 
 def words_of(paragraph: str) -> list[str]:
     """Folded words without full stops at their ends."""
-    return [w for w in (x.rstrip(".") for x in re.split(NOT_WORD, paragraph.lower())) if w]
+    return [w for w in (x.rstrip(".") for x in re.split(NOT_WORD, paragraph.lower())) if re.search("[a-z0-9]", w)]
 
 
 def features_of(words: list[str]) -> set[str]:
@@ -242,7 +244,7 @@ def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 def _words(paragraph: Column) -> Column:
     parts = F.transform(F.split(F.lower(paragraph), NOT_WORD), lambda w: F.regexp_replace(w, r"\.+$", ""))
-    return F.filter(parts, lambda w: w != "")
+    return F.filter(parts, lambda w: w.rlike("[a-z0-9]"))
 
 
 def _grams(words: Column, n: int) -> Column:
@@ -255,7 +257,8 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, n_candidates, families, family, confidence, shared, line.
 
     ``families`` has the confirmed families of all its paragraphs in order, and ``family``, ``confidence``,
-    ``shared`` (the share of a template's trigrams found) and ``line`` (from 0) are those of the surest one.
+    ``shared`` (the share of a template's trigrams found) and ``line`` (from 0, the one the others are joined with)
+    are those of the surest one.
     Null and empty texts have none. Repeated rows and null ids come out as they are; an empty table gives no
     rows. Paragraphs are scored on their own, so a text of any length splits up.
     """
@@ -269,18 +272,29 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         "family string, grams array<string>",
     )
     anchored = lambda p: reduce(Column.__or__, (F.contains(p, F.lit(x)) for x in ANCHOR_PARTS)) & p.rlike(ANCHOR_PATTERN)
-    lines = F.filter(
-        F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda p, i: F.struct(i.alias("line"), p.alias("p"))), lambda x: anchored(x["p"])
-    )
-    keys = ["doc_id", "row", "n_candidates", "line"]
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
-    rows = rows.select("doc_id", "row", F.size("lines").cast("long").alias("n_candidates"), F.explode_outer("lines").alias("at"))
-    rows = rows.select("doc_id", "row", "n_candidates", F.col("at.line").alias("line"), _words(F.coalesce("at.p", F.lit(""))).alias("words"))
+    every = F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")
+    at = F.filter(F.transform("every", lambda p, i: F.when(anchored(p), i)), lambda i: i.isNotNull())
+    keys = ["doc_id", "row", "n_candidates", "line", "unit"]
+
+    def joined(i: Column, unit: int) -> Column:
+        before, after = WINDOWS[unit]
+        part = F.slice("every", F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)) + 1 + after)
+        return F.when(F.lit(unit == 0) | (F.size(part) > 1), F.struct(i.alias("line"), F.lit(unit).alias("unit"), F.concat_ws("\n", part).alias("p")))
+
+    units = F.filter(F.flatten(F.transform("at", lambda i: F.array(*(joined(i, k) for k in range(len(WINDOWS)))))), lambda u: u.isNotNull())
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), every.alias("every")).select("doc_id", "row", "every", at.alias("at"))
+    rows = rows.select("doc_id", "row", F.size("at").cast("long").alias("n_candidates"), F.explode_outer(units).alias("of"))
+    rows = rows.select("doc_id", "row", "n_candidates", "of.line", "of.unit", _words(F.coalesce("of.p", F.lit(""))).alias("words"))
     # Only n-grams that are features are taken apart further; the array of them is small and fixed.
     features = F.array(*map(F.lit, model.features))
     grams = F.array_intersect(F.concat(*(_grams(F.col("words"), n) for n in range(1, GRAMS + 1))), features)
     own = F.when(F.size("words") < 3, F.array(F.concat_ws(" ", "words"))).otherwise(F.array_distinct(_grams(F.col("words"), 3)))
-    rows = rows.select(*keys, own.alias("own"), grams.alias("grams"))
+    # Nor do trigrams that no template has matter, or joined lines without any that one has.
+    own = F.array_intersect(own, F.array(*map(F.lit, sorted({g for texts in TEMPLATES.values() for t in texts for g in trigrams(words_of(t))}))))
+    # (An explode, as a filter would be pushed below the words and take them apart anew for every trigram.)
+    wanted = (F.coalesce("unit", F.lit(0)) == 0) | (F.size("own") > 0)
+    rows = rows.select(*keys, "words", own.alias("own")).select(*keys, "words", F.explode(F.when(wanted, F.array("own"))).alias("own"))
+    rows = rows.select(*keys, "own", grams.alias("grams"))
     scored = (
         rows.select(*keys, "own", F.explode_outer("grams").alias("gram"))
         .join(F.broadcast(weights), "gram", "left")
@@ -300,7 +314,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         .agg(F.first("family").alias("family"), F.first("confidence").alias("confidence"), F.max(F.coalesce(shared, F.lit(0.0))).alias("shared"))
     )
     sure = (F.col("family") != UNKNOWN) & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("shared") >= LEAST_SHARED)
-    best = F.max(F.when(sure, F.struct((F.col("family") != LAST_FAMILY).alias("open"), "shared", "confidence", (-F.col("line")).alias("back"), "family")))
+    best = F.max(F.when(sure, F.struct((F.col("family") != LAST_FAMILY).alias("open"), "shared", (-F.col("unit")).alias("alone"), "confidence", (-F.col("line")).alias("back"), "family")))
     return (
         compared.groupBy("doc_id", "row", "n_candidates")
         .agg(F.array_sort(F.collect_set(F.when(sure, F.col("family")))).alias("families"), best.alias("best"))
@@ -322,23 +336,25 @@ def scan_text(text: str | None, model: Model | None = None) -> dict:
     index = {g: i for i, g in enumerate(model.features)}
     found = []
     n = 0
-    for line, p in enumerate((text or "").lower().split("\n")):
+    lines = (text or "").lower().split("\n")
+    for line, p in enumerate(lines):
         if not re.search(ANCHOR_PATTERN, p, re.ASCII):
             continue
         n += 1
-        words = words_of(p)
-        grams = {" ".join(words[i : i + k]) for k in range(1, GRAMS + 1) for i in range(len(words) - k + 1)}
-        z = (np.array(model.bias) + sum((np.array(model.weights[index[g]]) for g in sorted(grams) if g in index), np.zeros(len(model.bias)))) / model.temperature
-        confidence = float(1 / np.exp(z - z.max()).sum())
-        family = model.families[int(z.argmax())]
-        own = set(trigrams(words))
-        shared = max((len(own & set(t)) / len(t) for t in (trigrams(words_of(x)) for x in TEMPLATES.get(family, ()))), default=0.0)
-        if family != UNKNOWN and confidence >= LEAST_CONFIDENCE and shared >= LEAST_SHARED:
-            found.append((family != LAST_FAMILY, shared, confidence, -line, family))
+        for unit, (before, after) in enumerate(WINDOWS):
+            words = words_of("\n".join(lines[max(0, line - before) : line + 1 + after]))
+            grams = {" ".join(words[i : i + k]) for k in range(1, GRAMS + 1) for i in range(len(words) - k + 1)}
+            z = (np.array(model.bias) + sum((np.array(model.weights[index[g]]) for g in sorted(grams) if g in index), np.zeros(len(model.bias)))) / model.temperature
+            confidence = float(1 / np.exp(z - z.max()).sum())
+            family = model.families[int(z.argmax())]
+            own = set(trigrams(words))
+            shared = max((len(own & set(t)) / len(t) for t in (trigrams(words_of(x)) for x in TEMPLATES.get(family, ()))), default=0.0)
+            if family != UNKNOWN and confidence >= LEAST_CONFIDENCE and shared >= LEAST_SHARED:
+                found.append((family != LAST_FAMILY, shared, -unit, confidence, -line, family))
     best = max(found, default=None)
     return {
         "n_candidates": n,
-        "families": ",".join(sorted({f[4] for f in found})),
-        "family": best and best[4],
-        "line": -best[3] if best else None,
+        "families": ",".join(sorted({f[5] for f in found})),
+        "family": best and best[5],
+        "line": -best[4] if best else None,
     }

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -511,6 +512,34 @@ def test_short_notices_are_confirmed(spark):
     assert got == dict(enumerate(made.values())) == {i: license_scan.scan_text(t)["family"] for i, t in enumerate(made)}
 
 
+WRAPPED = {
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+    "copyright notice and this permission notice appear in all copies.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the "
+    "Software without restriction.",
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+    "Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    made = []
+    for family, text in WRAPPED.items():
+        for width in (50, 72, 80):
+            for lead in ("", " * ", "# ", "-- "):
+                lines = [lead + line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""]]
+                made.append((len(made), "\n".join(["first line", *lines, "last line"]), family))
+    rows = spark.createDataFrame(made, "doc_id long, text string, want string")
+    got = {r["doc_id"]: (r["n_candidates"], r["families"], r["family"], r["line"]) for r in license_scan.scan(rows).collect()}
+    for i, text, family in made:
+        x = license_scan.scan_text(text)
+        assert got[i] == (x["n_candidates"], x["families"], x["family"], x["line"])
+        assert x["families"] == family, text
+
+
 def test_decoys_stay_unknown():
     fresh = ["Her license to teach expired in May.", "Permission was asked and given.", "A warranty is not a promise.", "The commons are creative places."]
     assert all(license_scan.scan_text(t)["family"] is None for t in [*fresh, *license_scan.DECOYS])
