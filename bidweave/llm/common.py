@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,15 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python; keeps very long texts within a worker's memory.
+#: Most rows and bytes of one Arrow batch sent to Python; keep very long texts within a worker's memory.
 ARROW_ROWS = 512
+ARROW_BYTES = 32 << 20
 
 _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches and ship this package to the executors once per application."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Ship this package to the executors once per application, and lower the session's Arrow batches to our bounds.
+
+    The session's own limits stay where they are lower. (A plan reads them when it runs, so they can't be put back.)
+    """
+    for setting, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{setting}"
+        now = int(re.match(r"-?\d+", spark.conf.get(name))[0])
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -39,9 +48,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """Folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a folder of its own (there is one machine); on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "bidweave-checkpoints")
     return root.rstrip("/")
 
@@ -59,13 +73,27 @@ def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
+def _places(spark: SparkSession, paths: tuple[str, ...]):
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        yield place, place.getFileSystem(conf)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for place, store in _places(spark, paths):
+        store.delete(place, True)
+
+
+def finish(df: DataFrame, tag: str, *paths: str) -> DataFrame:
+    """The result as a table of its own, kept until the application ends; the scratch tables behind it go now."""
+    spark = df.sparkSession
+    out, path = materialise(df, tag)
+    discard(spark, *paths)
+    for place, store in _places(spark, (path,)):
+        store.deleteOnExit(place)
+    return out
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -1,43 +1,55 @@
 """Near-duplicate embeddings by spherical k-means cells and blocked cosine products.
 
-Vectors of one label go to the cell of the nearest centroid. A vector also
-visits every other cell in which a partner could live, by a bound that loses no
-link: two unit vectors with a cosine of c are sqrt(2 - 2c) apart, so a partner
-can be across a border only if the border is that near. Within a cell, blocks
-of residents are multiplied with blocks of members.
+Several clusterings of one bounded sample, each by spherical k-means from other
+seeds, assign every vector to the cell of the nearest centroid, and to the second
+nearest where the two are nearly as near. Vectors are compared, blocks against
+blocks, with those of their cells only. Clusterings are added until two vectors at
+the threshold would share none of their cells with a probability below
+``1 - recall``, which is measured on vectors that no clustering was fitted on.
+The number of cells grows with the table, so a cell keeps its size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bidweave.llm.common import grouped, materialise, prepare
+from bidweave.llm.common import discard, finish, grouped, materialise, prepare
 from bidweave.llm.components import connected_components
 
 SIMILARITY = 0.98
-#: Vectors that k-means is fitted on, vectors a cell should hold, and most cells (bounds what is broadcast).
-SAMPLE = 20_000
+#: Share of the linked pairs that are to be found.
+RECALL = 0.99999
+#: Bounds of the sample that k-means is fitted on: vectors of one length, and numbers over all of them.
+SAMPLE = 16_384
+SAMPLE_NUMBERS = 1 << 21
+#: Vectors of a label that a cell should hold.
 CELL = 2_048
-MAX_CELLS = 1_024
-ITERATIONS = 8
-#: Cells that a vector may visit on average; with more, fewer and larger cells are taken, down to two.
-MAX_VISITS = 4.0
+#: Sizes that a codebook may have. More cells than the largest come from codebooks side by side.
+CODEBOOKS = (16, 256, 1_024)
+#: Numbers in all codebooks of vectors of one length (bounds what is broadcast: 64 MB), and clusterings at most.
+CODEBOOK_NUMBERS = 1 << 23
+MAX_RUNS = 48
+ITERATIONS = 6
+#: How much nearer, in distances between vectors at the threshold, the nearest centroid may be for the second to count.
+MARGIN = 0.2
 #: Vectors on either side of one product.
 BLOCK = 1_024
-#: A member's cosine is taken again, term by term, if the product is so near the threshold.
+#: A cosine is taken again, term by term, if the product is so near the threshold.
 ROUNDING = 1e-9
 
 
-def spherical_kmeans(unit: np.ndarray, k: int, iterations: int = ITERATIONS, seed: int = 3) -> np.ndarray:
+def spherical_kmeans(unit: np.ndarray, k: int, rng: np.random.Generator, iterations: int = ITERATIONS) -> np.ndarray:
     """Unit centroids of unit vectors; fewer than ``k`` if there are fewer vectors. An empty cell keeps its centroid."""
     k = min(k, len(unit))
-    centroids = unit[np.random.default_rng(seed).choice(len(unit), k, replace=False)].copy()
+    centroids = unit[rng.choice(len(unit), k, replace=False)].copy()
     for _ in range(iterations):
         cell = np.concatenate([(unit[i : i + 4096] @ centroids.T).argmax(axis=1) for i in range(0, len(unit), 4096)])
         sums = np.zeros_like(centroids)
@@ -47,35 +59,84 @@ def spherical_kmeans(unit: np.ndarray, k: int, iterations: int = ITERATIONS, see
     return np.unique(centroids, axis=0)
 
 
-def homes_and_visits(unit: np.ndarray, centroids: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each vector's cell, and a mask of the cells where its partners may have theirs (its own included).
+@dataclass(frozen=True)
+class Clustering:
+    """One or more codebooks side by side; a cell is a centroid of each."""
 
-    A partner y at home in A has y.(A - B) >= 0 for every B; x is within d of y, so x.(A - B) >= -d |A - B|.
-    """
-    near = unit @ centroids.T
-    home = near.argmax(axis=1)
-    if len(centroids) == 1:
-        return home, np.ones((len(unit), 1), dtype=bool)
-    d = math.sqrt(max(0.0, 2 - 2 * similarity)) + 1e-9
-    visits = np.ones(near.shape, dtype=bool)
-    # The nearest centroid gives a strong bound, and one bound suffices to rule a cell out.
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))[home]
-    visits &= near - near[np.arange(len(unit)), home][:, None] >= -d * apart - 1e-7
-    visits[np.arange(len(unit)), home] = True
-    return home, visits
-
-
-def fitted_cells(unit: np.ndarray, cells: int, similarity: float) -> np.ndarray:
-    """Centroids of as many cells, up to ``cells``, as vectors do not visit too many of.
-
-    Where vectors have no clusters, small cells would make everyone visit nearly all of them, which moves more
-    rows than it spares products. What links with what does not depend on the choice.
+    codebooks: tuple[np.ndarray, ...]
+    margin: float
+
+    def cells(self, unit: np.ndarray) -> np.ndarray:
+        """Numbers of each vector's cells: a column for each choice of nearest and second nearest, -1 where not taken."""
+        out = np.zeros((len(unit), 1), dtype=np.int64)
+        for book in self.codebooks:
+            near = unit @ book.T
+            rows = np.arange(len(unit))
+            first = near.argmax(axis=1)
+            best = near[rows, first]
+            near[rows, first] = -np.inf
+            second = near.argmax(axis=1)
+            close = best - near[rows, second] <= self.margin
+            picks = np.stack([first, np.where(close, second, -1)], axis=1)
+            both = out[:, :, None] * len(book) + picks[:, None, :]
+            out = np.where((out[:, :, None] < 0) | (picks[:, None, :] < 0), -1, both).reshape(len(unit), -1)
+        return out
+
+
+def shape(cells: float, dim: int) -> tuple[int, ...]:
+    """Sizes of the codebooks for so many cells; smaller ones, and more, where vectors are long."""
+    most = max(CODEBOOKS[0], CODEBOOK_NUMBERS // (32 * dim))
+    sizes = [k for k in CODEBOOKS if k <= most]
+    out: list[int] = []
+    while not out or cells > 1:
+        out.append(next((k for k in sizes if k >= cells), sizes[-1]))
+        cells /= out[-1]
+    return tuple(out)
+
+
+def _partners(unit: np.ndarray, similarity: float, rng: np.random.Generator) -> np.ndarray:
+    """A vector at the threshold from each: half of them turned anywhere, half towards another vector."""
+    way = rng.normal(size=unit.shape)
+    way[::2] = unit[rng.permutation(len(unit))][::2]
+    way -= (way * unit).sum(axis=1)[:, None] * unit
+    norm = np.linalg.norm(way, axis=1)
+    way[norm > 0] /= norm[norm > 0, None]
+    return similarity * unit + math.sqrt(max(0.0, 1 - similarity * similarity)) * way
+
+
+def fitted(unit: np.ndarray, cells: float, similarity: float, recall: float = RECALL) -> tuple[Clustering, ...]:
+    """Clusterings of one sample that together miss a pair at the threshold with a probability below 1 - recall.
+
+    Half of the sample is fitted on, the other half tells how often a pair shares a cell. Where ``MAX_RUNS`` or
+    ``CODEBOOK_NUMBERS`` would not do, there are fewer cells, down to one, which misses nothing.
     """
-    while True:
-        centroids = spherical_kmeans(unit, cells)
-        if len(centroids) <= 2 or homes_and_visits(unit[:4096], centroids, similarity)[1].sum(axis=1).mean() <= MAX_VISITS:
-            return centroids
-        cells = max(2, len(centroids) // 2)
+    whole = Clustering((np.eye(1, unit.shape[1]),), 0.0)
+    if cells <= 1 or len(unit) < 4 * CODEBOOKS[0]:
+        return (whole,)
+    rng = np.random.default_rng(3)
+    fit_on, held = unit[::2], unit[1::2]
+    partners = _partners(held, similarity, rng)
+    margin = MARGIN * math.sqrt(max(0.0, 2 - 2 * similarity))
+    while cells > 1:
+        sizes = shape(cells, unit.shape[1])
+        out: list[Clustering] = []
+        missed, numbers = 1.0, 0
+        while missed > 1 - recall and len(out) < MAX_RUNS and numbers <= CODEBOOK_NUMBERS:
+            books = []
+            for k in sizes:
+                # With more centroids than a few vectors each can carry, centroids are drawn, not fitted.
+                part = fit_on[rng.choice(len(fit_on), min(len(fit_on), 16 * k), replace=False)]
+                books.append(spherical_kmeans(part, min(k, len(part) // 4), rng))
+            one = Clustering(tuple(books), margin)
+            a, b = one.cells(held), one.cells(partners)
+            apart = ~((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=(1, 2))
+            out.append(one)
+            numbers += sum(book.size for book in books)
+            missed *= max(apart.mean(), 1 / (len(held) + 1))
+        if missed <= 1 - recall and numbers <= CODEBOOK_NUMBERS:
+            return tuple(out)
+        cells /= 4
+    return (whole,)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -96,48 +157,66 @@ def _reachable(hit: np.ndarray) -> np.ndarray:
     return np.concatenate([row, col])
 
 
-def _decode(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, dtype="<f8") for x in column.to_pylist()])
+def _first_here(hit: np.ndarray, cell: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The links whose vectors share no cell that comes before this one; the others are counted there.
+
+    ``left`` and ``right`` have the cells of each row and column, padded with -1. Few lists differ within a dense
+    cell, so lists are compared, not vectors.
+    """
+    i, j = np.nonzero(hit)
+    if not len(i):
+        return hit
+    lists_a, of_a = np.unique(np.where(left < cell, left, -1), axis=0, return_inverse=True)
+    lists_b, of_b = np.unique(np.where(right < cell, right, -1), axis=0, return_inverse=True)
+    code = of_a[i].astype(np.int64) * len(lists_b) + of_b[j]
+    codes, back = np.unique(code, return_inverse=True)
+    seen = np.zeros(len(codes), dtype=bool)
+    for at in range(0, len(codes), 65_536):
+        a, b = lists_a[codes[at : at + 65_536] // len(lists_b)], lists_b[codes[at : at + 65_536] % len(lists_b)]
+        seen[at : at + 65_536] = ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=(1, 2))
+    out = hit.copy()
+    out[i, j] = ~seen[back]
+    return out
+
+
+def _matrix(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
+    """A column of equally long binaries as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), -1)
 
 
-def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null and their cosine in double precision reaches
-    ``similarity``. Null or zero vectors, and those with null or non-finite components, link with nothing, as
-    do vectors of other lengths. Equal vectors of a label are one class: compared once, their links counted as
-    often as they occur. Repeated rows of a vec_id and vector count once; rows of a null vec_id come out with
-    null ids, without links, and are kept. An empty table gives no rows.
+    ``similarity``; no pair below it links, and one that reaches it is missed with a probability below
+    1 - ``recall``. Null or zero vectors, and those with null or non-finite components, link with nothing, as do
+    vectors of other lengths. Equal vectors of a label are one class: compared once, their links counted as often
+    as they occur. Repeated rows of a vec_id, label and vector count once; rows of a null vec_id come out with null
+    ids, without links, and are kept. Ties are no matter: a component is named by its least vec_id. Other columns
+    are not read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    of = vectors.schema["embedding"].dataType
+    dtype = "<f4" if isinstance(of, T.ArrayType) and isinstance(of.elementType, T.FloatType) else "<f8"
+    kind = "float" if dtype == "<f4" else "double"
+    rows = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("v")
+    )
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False)
     )
     # Plus zero: negative zeros would make classes of their own.
-    exact = F.transform("v", lambda x: x + F.lit(0.0))
-    good = rows.where(usable).select("vec_id", F.col("label").cast("string").alias("label"), exact.alias("v")).distinct()
-    good, _ = materialise(good, "vectors")
-    classes, _ = materialise(
-        good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes"
+    exact = F.transform("v", lambda x: x + F.lit(0.0).cast(kind))
+    good, good_path = materialise(rows.where(usable).select("vec_id", "label", exact.alias("v")).distinct(), "vectors")
+    # A class is named by a number that is written with it, so that no two share one.
+    classes, class_path = materialise(
+        good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("key", F.monotonically_increasing_id()),
+        "vector-classes",
     )
-    # A vec_id with several vectors may lead several classes; a class is named by a hash of label and vector.
-    classes = classes.withColumn("key", F.xxhash64("label", "v"))
-    n = classes.count()
-    share = min(1.0, 1.2 * SAMPLE / max(1, n))
-    sample = classes.where(F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(SAMPLE).collect()
-    by_length: dict[int, list] = {}
-    for r in sample:
-        by_length.setdefault(len(r["v"]), []).append(r["v"])
-    cells = max(1, min(MAX_CELLS, n // CELL))
-    centroids = {}
-    for length, group in sorted(by_length.items()):
-        own_cells = max(1, cells * len(group) // len(sample))
-        shuffled = np.random.default_rng(1).permutation(np.array(sorted(group), dtype=np.float64))
-        centroids[length] = fitted_cells(_unit(shuffled), own_cells, similarity)
-    shared = spark.sparkContext.broadcast(centroids)
+    lengths = classes.groupBy(F.size("v").alias("dim"), "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()
+    books = spark.sparkContext.broadcast(_codebooks(classes, {r["dim"]: (r["n"], r["most"]) for r in lengths}, similarity, recall))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,71 +227,75 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
                 groups.setdefault(len(v), []).append(i)
             labels, keys, copies = (batch.column(i).to_pylist() for i in range(3))
             for length, at in groups.items():
-                unit = _unit(np.array([raw[i] for i in at], dtype=np.float64))
-                own = shared.value.get(length, np.eye(1, length))
-                home, visits = homes_and_visits(unit, own, similarity)
-                for j, c in zip(*np.nonzero(visits), strict=True):
+                own = np.array([raw[i] for i in at], dtype=dtype)
+                unit = _unit(own.astype(np.float64))
+                # The clustering's number in the high bits: cells of all clusterings in one order.
+                cells = np.concatenate([np.where(c >= 0, c + (r << 48), -1) for r, one in enumerate(books.value[length]) for c in [one.cells(unit)]], axis=1)
+                cells.sort(axis=1)
+                for j, mine in enumerate(cells):
+                    all_of_it = mine[mine >= 0]
                     i = at[j]
-                    out.append((labels[i], length, int(c), bool(home[j] == c), keys[i], copies[i], unit[j].astype("<f8").tobytes()))
+                    packed = (labels[i], length, keys[i], copies[i], mine.astype("<i8").tobytes(), own[j].tobytes())
+                    out += [(*packed[:2], c, *packed[2:]) for c in all_of_it.tolist()]
             columns = list(zip(*out, strict=True)) or [()] * 7
-            types = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["label", "dim", "cell", "home", "key", "copies", "unit"]
+                [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["label", "dim", "cell", "key", "copies", "cells", "raw"]
             )
 
-    placed, _ = materialise(
+    placed, placed_path = materialise(
         classes.select("label", "key", "copies", "v").mapInArrow(
-            settle, "label string, dim int, cell int, home boolean, key long, copies long, unit binary"
+            settle, "label string, dim int, cell long, key long, copies long, cells binary, raw binary"
         ),
         "cells",
     )
-    blocks = placed.groupBy("label", "dim", "cell").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members")
-    ).where(F.col("members") > 1)
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    # Residents of a block meet every block of members: as residents in tasks (own, *), as members in tasks (*, own).
-    dealt = placed.join(blocks, ["label", "dim", "cell"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    as_home = dealt.where("home").select("label", "dim", "cell", F.col("own").alias("a"), F.col("other").alias("b"), F.lit(True).alias("resident"), "key", "copies", "unit")
-    as_member = dealt.select("label", "dim", "cell", F.col("other").alias("a"), F.col("own").alias("b"), F.lit(False).alias("resident"), "key", "copies", "unit")
+    place = ["label", "dim", "cell"]
+    blocks = placed.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members")).where(F.col("members") > 1)
+    own = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("key", "cell"), F.col("blocks"))).cast("int")
+    # Two blocks meet in one task, and a block alone in another; a hot cell becomes many tasks.
+    dealt = placed.join(blocks.drop("members"), place).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*place, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "copies", "cells", "raw")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        for table in grouped(batches, ["label", "dim", "cell", "a", "b"]):
-            resident = np.array(table.column("resident").to_pylist(), dtype=bool)
-            keys = table.column("key").to_numpy()
-            copies = table.column("copies").to_numpy()
-            unit = _decode(table.column("unit"))
-            mine, theirs = np.flatnonzero(resident), np.flatnonzero(~resident)
+        for table in grouped(batches, [*place, "a", "b"]):
+            keys, copies, own = (table.column(c).to_numpy() for c in ("key", "copies", "own"))
+            a, b, cell = (table.column(c)[0].as_py() for c in ("a", "b", "cell"))
+            unit = _unit(_matrix(table.column("raw"), dtype).astype(np.float64))
+            cells = _matrix(table.column("cells"), "<i8")
+            mine = np.flatnonzero(own == a)
+            theirs = mine if a == b else np.flatnonzero(own == b)
             if not len(mine) or not len(theirs):
                 continue
             cosine = unit[mine] @ unit[theirs].T
             hit = cosine >= similarity
             for i, j in zip(*np.nonzero(np.abs(cosine - similarity) <= ROUNDING), strict=True):
                 hit[i, j] = math.fsum((unit[mine[i]] * unit[theirs[j]]).tolist()) >= similarity
-            hit &= keys[mine][:, None] != keys[theirs][None, :]
-            links = hit @ copies[theirs]
+            if a == b:
+                np.fill_diagonal(hit, False)
+            hit = _first_here(hit, cell, cells[mine], cells[theirs])
+            if not hit.any():
+                continue
             rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
             nodes = np.concatenate([keys[mine[rows]], keys[theirs[cols]]])
             root = nodes[_reachable(hit[np.ix_(rows, cols)])]
-            counts = np.concatenate([links[rows], np.zeros(len(cols), dtype=np.int64)])
+            back = np.zeros(len(cols), dtype=np.int64) if a == b else (hit.T @ copies[mine])[cols]
+            counts = np.concatenate([(hit @ copies[theirs])[rows], back])
             out += list(zip(nodes.tolist(), counts.tolist(), root.tolist(), strict=True))
             if len(out) >= 50_000:
                 yield _links(out)
         yield _links(out)
 
-    found, _ = materialise(
-        as_home.unionByName(as_member)
-        .repartition("label", "dim", "cell", "a", "b")
-        .sortWithinPartitions("label", "dim", "cell", "a", "b")
-        .mapInArrow(multiply, "key long, links long, other long"),
-        "links",
+    found, found_path = materialise(
+        dealt.repartition(*place, "a", "b").sortWithinPartitions(*place, "a", "b").mapInArrow(multiply, "key long, links long, other long"), "links"
     )
+    discard(spark, placed_path)
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("key").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "key")
+    parts, parts_path = connected_components(found.select(F.col("key").alias("src"), F.col("other").alias("dst")).distinct())
     by_class = (
         classes.select("label", "v", "key", "rep", "copies")
         .join(links, "key", "left")
-        .join(parts, "key", "left")
+        .join(parts.withColumnRenamed("node", "key"), "key", "left")
         .select("label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "key").alias("part"))
     )
     names = by_class.groupBy("part").agg(F.min("rep").alias("component_id"))
@@ -221,10 +304,36 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
         .join(by_class.join(names, "part"), ["label", "v"])
         .select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     )
-    alone = rows.where(~usable).select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-    )
-    return linked.unionByName(alone)
+    unusable = rows.where(~usable)
+    alone = unusable.where(F.col("vec_id").isNotNull()).distinct().select("vec_id").unionByName(unusable.where(F.col("vec_id").isNull()).select("vec_id"))
+    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return finish(linked.unionByName(alone), "embedding-links", good_path, class_path, found_path, parts_path)
+
+
+def _codebooks(classes: DataFrame, lengths: dict[int, tuple[int, int]], similarity: float, recall: float) -> dict[int, tuple[Clustering, ...]]:
+    """Clusterings for each length of vectors, from a sample by a hash of the vector.
+
+    ``lengths`` has how many vectors have a length, and how many of them the largest label has. Lengths share the
+    bound on sampled numbers; those too rare to share in it have one cell.
+    """
+    if not lengths:
+        return {}
+    numbers = SAMPLE_NUMBERS // len(lengths)
+    rank = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1 << 30))
+    wanted = F.lit(False)
+    for dim, (n, _) in lengths.items():
+        share = min(1.0, 1.1 * min(SAMPLE, numbers // max(1, dim)) / n)
+        wanted |= (F.size("v") == dim) & (rank < int(share * (1 << 30)))
+    by_length: dict[int, list] = {dim: [] for dim in lengths}
+    most = sum(2 * min(SAMPLE, numbers // max(1, dim)) for dim in lengths)
+    for r in classes.where(wanted).select("v", rank.alias("r")).orderBy("r").limit(most).collect():
+        by_length[len(r["v"])].append(np.array(r["v"], dtype=np.float64))
+    out = {}
+    for dim, sample in by_length.items():
+        most = lengths[dim][1]
+        cells = max(most / CELL, CODEBOOKS[0] if most > CODEBOOKS[0] else 1)
+        out[dim] = fitted(_unit(np.stack(sample)), cells, similarity, recall) if len(sample) else fitted(np.zeros((0, dim)), 1, similarity)
+    return out
 
 
 def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:

@@ -395,7 +395,7 @@ def brute_join(rows):
     return {k[0]: (links[k], part[k]) for k in keys}
 
 
-@pytest.mark.parametrize("settings", [jaccard.Settings(), jaccard.Settings(bucket=3, block=4, depth=3)])
+@pytest.mark.parametrize("settings", [jaccard.Settings(), jaccard.Settings(bucket=3, block=4), jaccard.Settings(block=4, sparse=0), jaccard.Settings(block_tokens=300)])
 def test_jaccard_join_equals_brute_force(docs, rows, empty, settings):
     got = jaccard.jaccard_join(docs, settings).collect()
     named = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in got if r["doc_id"] is not None}
@@ -415,7 +415,7 @@ def test_many_near_copies_and_a_shared_passage(spark):
         made.append((i, " ".join(parts)))
     made += [(300 + i, words(rng, 80) + " " + passage) for i in range(300)]
     df = spark.createDataFrame(made, "doc_id long, text string")
-    settings = jaccard.Settings(bucket=16, block=64)
+    settings = jaccard.Settings(bucket=16, block=64, sparse=1)
     got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in jaccard.jaccard_join(df, settings).collect()}
     assert got == brute_join(made)
 
@@ -434,7 +434,7 @@ def test_one_document_of_each_group_stays(docs, rows):
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 200 + i) for i in range(1, 80)] + [(500, 500), (300, 301), (301, 300)]
     random.Random(1).shuffle(edges)
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long"))[0].collect()}
     assert got == {**{i: 0 for i in range(101)}, **{200 + i: 200 for i in range(80)}, 300: 300, 301: 300}
 
 
