@@ -3,15 +3,17 @@
 Examples are vectors of demands (tokens, segments, loss-bearing tokens); a
 sequence has a limit in each. A sequence is filled by taking, again and again,
 the example whose demand has the greatest dot product with what is left of it.
-Every partition packs its own rows, so nothing is shuffled.
+Every partition packs its own rows, so nothing is shuffled. Documents bear loss on
+every token; conversations bring a mask, and all three limits bind.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bidweave.llm.common import prepare
@@ -35,7 +38,15 @@ class Limits:
     loss_tokens: int = 2048
     least_cut: int = 16
 
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, self.loss_tokens, self.least_cut) < 1:
+            raise ValueError("every limit must be 1 or more")
 
+
+#: Plain documents: nothing but the tokens is scarce, so a sequence may hold as many pieces as tokens.
+DOCUMENTS = Limits(segments=2048)
+#: Instruction data: few turns of many conversations, and no more than half of a sequence under the loss.
+INSTRUCTIONS = Limits(loss_tokens=1024)
 #: Examples that wait for a place at once; bounds memory and the cost of a choice.
 WAITING = 4096
 
@@ -52,52 +63,79 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
+#: How the tokenizer file must fold and split text for words to be encoded one by one.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
 class WordCache(dict):
     """Ids of whole texts, one distinct word at a time.
 
-    The tokenizer's pattern never matches white space, and its normaliser acts within words, so a text's ids
-    are those of its blank-separated words in order. A word of plain Latin letters with marks after it is two
-    matches, which the tokenizer's model takes as they are, folded; all others go through the whole tokenizer.
-    Looking a word up for the first time works it out.
+    The tokenizer's pattern never matches white space, its normaliser acts within words and its special tokens
+    hold no white space, so a text's ids are those of its blank-separated words in order. A word of plain Latin
+    letters with marks after it is two matches, which the tokenizer's model takes as they are, folded; all others go
+    through the whole tokenizer. Looking a word up for the first time works it out; long words aren't remembered. A
+    tokenizer file that folds or splits otherwise gets whole texts.
     """
 
-    MAX_WORDS = 500_000
-    MAX_RUNS = 350_000
+    MAX_WORDS = 400_000
+    MAX_LENGTH = 48
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as lines:
+            config = json.load(lines)
+        added = config.get("added_tokens") or []
+        self.wordwise = all(config.get(k) == v for k, v in WORDWISE.items()) and not any(
+            x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or re.search(r"\s", x["content"]) or _plain(x["content"]) for x in added
+        )
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.runs: dict[str, bytes] = {"": b""}
-        self[""] = b""
 
     def _run(self, run: str) -> bytes:
         got = self.runs.get(run)
         if got is None:
             text = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
-            got = self.runs[run] = array("I", [t.id for t in self.tokenize(text)]).tobytes()
+            got = array("I", [t.id for t in self.tokenize(text)]).tobytes()
+            if len(run) <= self.MAX_LENGTH:
+                if len(self.runs) >= self.MAX_WORDS:
+                    self.runs.clear()
+                self.runs[run] = got
         return got
 
     def __missing__(self, word: str) -> bytes:
         plain = _plain(word)
         if plain:
             run, marks = plain.groups()
-            got = self._run(run.lower()) + self._run(marks)
+            got = self._run(run.lower()) + (self._run(marks) if marks else b"")
         else:
-            got = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = got
+            got = self._whole(word)
+        if len(word) <= self.MAX_LENGTH:
+            if len(self) >= self.MAX_WORDS:
+                self.clear()
+            self[word] = got
         return got
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self) > self.MAX_WORDS:
-            self.clear()
-            self[""] = b""
-        if len(self.runs) > self.MAX_RUNS:
-            self.runs.clear()
-            self.runs[""] = b""
+        if not self.wordwise:
+            return [self._whole(t) for t in texts]
         ids = self.__getitem__
         out = []
         for t in texts:
@@ -113,20 +151,35 @@ def word_cache(path: str) -> WordCache:
 
 @dataclass
 class Example:
-    """A document's ids from ``start`` on that still want a place."""
+    """A document's ids from ``start`` on that still want a place.
+
+    ``loss`` counts the loss-bearing tokens before each token, and all of them at its end; without it all bear loss.
+    ``first`` tells how many ids of the document come before ``ids``.
+    """
 
     doc_id: int | None
     ids: bytes
     start: int
     length: int
     total: int
-    loss: float = 1.0  # loss-bearing tokens for each token
+    loss: np.ndarray | None = None
+    first: int = 0
+
+    def losses(self, size: int) -> int:
+        """Loss-bearing tokens of the next ``size`` ones."""
+        return size if self.loss is None else int(self.loss[self.start + size] - self.loss[self.start])
+
+    def most(self, losses: int) -> int:
+        """How many tokens come next with no more than so many loss-bearing ones."""
+        if self.loss is None:
+            return min(self.length, losses)
+        return min(self.length, int(np.searchsorted(self.loss, self.loss[self.start] + losses, side="right")) - 1 - self.start)
 
 
 class Packer:
     """Fills sequences one after the other; ``place`` is called with (example, start, length, sequence, offset)."""
 
-    def __init__(self, limits: Limits, place) -> None:
+    def __init__(self, limits: Limits, place: Callable[[Example, int, int, int, int], None]) -> None:
         self.limits, self.place = limits, place
         self.waiting: list[Example] = []
         self.sequence = 0
@@ -134,7 +187,7 @@ class Packer:
     def add(self, example: Example) -> None:
         """Take an example; whole sequences are cut off it at once."""
         full = self.limits.tokens
-        while example.length >= full and full * example.loss <= self.limits.loss_tokens:
+        while example.length >= full and example.losses(full) <= self.limits.loss_tokens:
             self.place(example, example.start, full, self.sequence, 0)
             self.sequence += 1
             example.start += full
@@ -145,45 +198,49 @@ class Packer:
                 self.fill(WAITING // 8)
 
     def fill(self, leave: int = 0) -> None:
-        """Fill sequences until at most ``leave`` examples wait. Ties go to the example that came first."""
+        """Fill sequences until at most ``leave`` examples wait. Ties go to the example that came first.
+
+        Where nothing fits whole, the first example that waits is cut, if the piece is no shorter than ``least_cut``;
+        into an empty sequence a piece of any length goes, so each sequence takes something and this ends.
+        """
         lim = self.limits
         scale = np.array([1 / lim.tokens, 1 / lim.segments, 1 / lim.loss_tokens])
-        while len(self.waiting) > leave:
-            items = self.waiting
-            length = np.array([x.length for x in items], dtype=np.int64)
-            loss = np.ceil(length * np.array([x.loss for x in items])).astype(np.int64)
-            demand = np.stack([length * scale[0], np.full(len(items), scale[1]), loss * scale[2]])
-            here = np.ones(len(items), dtype=bool)
-            while here.sum() > leave:
-                left = np.array([lim.tokens, lim.segments, lim.loss_tokens], dtype=np.int64)
-                offset = 0
-                while left[1] > 0:
-                    fits = here & (length <= left[0]) & (loss <= left[2])
-                    if fits.any():
-                        value = (left * scale) @ demand
-                        value[~fits] = -1
-                        i = int(value.argmax())
-                        size = int(length[i])
-                        here[i] = False
-                    else:
-                        if not here.any():
-                            break
-                        i = int(np.flatnonzero(here)[0])
-                        size = int(min(left[0], length[i], left[2] // items[i].loss if items[i].loss else left[0]))
-                        if size < lim.least_cut:
-                            break
-                    x = items[i]
-                    self.place(x, x.start, size, self.sequence, offset)
-                    offset += size
-                    left -= (size, 1, int(np.ceil(size * x.loss)))
-                    x.start += size
-                    x.length -= size
-                    if here[i]:  # cut: the rest waits on
-                        length[i] = x.length
-                        loss[i] = int(np.ceil(x.length * x.loss))
-                        demand[0, i], demand[2, i] = length[i] * scale[0], loss[i] * scale[2]
-                self.sequence += 1
-            self.waiting = [x for x, stays in zip(items, here.tolist(), strict=True) if stays]
+        items = self.waiting
+        length = np.array([x.length for x in items], dtype=np.int64)
+        loss = np.array([x.losses(x.length) for x in items], dtype=np.int64)
+        demand = np.stack([length * scale[0], np.full(len(items), scale[1]), loss * scale[2]])
+        here = np.ones(len(items), dtype=bool)
+        waiting = len(items)
+        while waiting > leave:
+            left = np.array([lim.tokens, lim.segments, lim.loss_tokens], dtype=np.int64)
+            offset = 0
+            while left[0] > 0 and left[1] > 0 and waiting:
+                fits = here & (length <= left[0]) & (loss <= left[2])
+                if fits.any():
+                    value = (left * scale) @ demand
+                    value[~fits] = -1
+                    i = int(value.argmax())
+                    size = int(length[i])
+                else:
+                    i = int(np.flatnonzero(here)[0])
+                    size = min(int(left[0]), items[i].most(int(left[2])))
+                    if offset and size < lim.least_cut:
+                        break
+                x = items[i]
+                used = x.losses(size)
+                self.place(x, x.start, size, self.sequence, offset)
+                offset += size
+                left -= (size, 1, used)
+                x.start += size
+                x.length -= size
+                if x.length:  # cut: the rest waits on
+                    length[i], loss[i] = x.length, loss[i] - used
+                    demand[0, i], demand[2, i] = length[i] * scale[0], loss[i] * scale[2]
+                else:
+                    here[i] = False
+                    waiting -= 1
+            self.sequence += 1
+        self.waiting = [x for x, stays in zip(items, here.tolist(), strict=True) if stays]
 
 
 PIECES = pa.schema(
@@ -200,27 +257,19 @@ PIECES = pa.schema(
 )
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), with_ids: bool = True) -> DataFrame:
-    """One row per piece: which ids of which document stand where in which sequence.
-
-    A document's ids are its tokens and an end id; null counts as empty, so every row has one id at least. All
-    ids of plain documents bear loss. A sequence's id is its partition and its number there; at most one
-    sequence of a partition is left part-filled. ``ids`` holds the piece's ids as little-endian unsigned
-    32-bit integers.
-    """
-    prepare(docs.sparkSession)
-    schema = PIECES if with_ids else pa.schema(list(PIECES)[:-1])
+def _pieces(docs: DataFrame, limits: Limits, with_ids: bool, examples: Callable[[Iterator[pa.RecordBatch]], Iterator[Example | None]], id_name: str) -> DataFrame:
+    """Packs the examples of each partition as they come; a None among them lets pieces out."""
+    fields = [pa.field(id_name, pa.int64()), *list(PIECES)[1:]]
+    schema = pa.schema(fields if with_ids else fields[:-1])
     ddl = ", ".join(f"{f.name} {'binary' if f.name == 'ids' else 'long'}" for f in schema)
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache(path)
         base = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
 
         def place(x: Example, start: int, size: int, sequence: int, offset: int) -> None:
             ids = x.ids[4 * start : 4 * (start + size)]
-            row = (x.doc_id, start, size, zlib.crc32(ids), x.total, base + sequence, offset)
+            row = (x.doc_id, x.first + start, size, zlib.crc32(ids), x.total, base + sequence, offset)
             rows.append((*row, ids) if with_ids else row)
 
         def out() -> pa.RecordBatch:
@@ -229,15 +278,73 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), with_i
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         packer = Packer(limits, place)
+        for example in examples(batches):
+            if example is None:
+                yield out()
+            else:
+                packer.add(example)
+        packer.fill()
+        yield out()
+
+    return docs.mapInArrow(run, ddl)
+
+
+def pack_documents(docs: DataFrame, path: str, limits: Limits = DOCUMENTS, with_ids: bool = True) -> DataFrame:
+    """One row per piece: which ids of which document stand where in which sequence.
+
+    A document's ids are its tokens and an end id; null counts as empty, so every row, one without doc_id too, has one
+    id at least. All ids bear loss. A sequence's id is its partition and its number there; at most one sequence of a
+    partition is left part-filled, up to gaps below ``least_cut``. ``ids`` holds the piece's ids as little-endian
+    unsigned 32-bit integers. Texts of any length are taken whole; repeated rows are packed as often as they occur,
+    and of examples as good as another the first goes first; other columns are not read; an empty table gives no rows.
+    """
+    prepare(docs.sparkSession)
+    end = np.array([END_ID], dtype="<u4").tobytes()
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[Example | None]:
+        cache = word_cache(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, ids in zip(part.column(0).to_pylist(), cache.encode(texts), strict=True):
                     n = len(ids) // 4 + 1
-                    packer.add(Example(doc_id, ids + end, 0, n, n))
-            yield out()
-        packer.fill()
-        yield out()
+                    yield Example(doc_id, ids + end, 0, n, n)
+            yield None
+
+    return _pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), limits, with_ids, examples, "doc_id")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+def pack_conversations(segments: DataFrame, limits: Limits = INSTRUCTIONS, with_ids: bool = True) -> DataFrame:
+    """One row per piece of formatted conversations (``chat.format_conversations``), under all three limits.
+
+    The loss-bearing tokens are those under the segments' masks. Examples are runs of a conversation's segments as
+    they come, up to a sequence long, so a conversation of any length needs the memory of one; ``start`` counts from the
+    conversation's first token, ``doc_tokens`` the tokens of the run. Each token lies in exactly one piece. A null
+    conv_id stays null; an empty table gives no rows.
+    """
+    prepare(segments.sparkSession)
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[Example | None]:
+        held: list[tuple[bytes, bytes]] = []
+        conv, first, size = None, 0, 0
+
+        def closed() -> Iterator[Example]:
+            if held:
+                ids = b"".join(x for x, _ in held)
+                mask = np.frombuffer(b"".join(y for _, y in held), dtype=np.int8)
+                loss = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+                held.clear()
+                yield Example(conv, ids, 0, len(mask), len(mask), loss, first)
+
+        for batch in batches:
+            for conv_id, place, ids, mask in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if conv_id != conv or place != first + size or size + len(mask) > limits.tokens:
+                    yield from closed()
+                    conv, first, size = conv_id, place, 0
+                held.append((ids, mask))
+                size += len(mask)
+            yield None
+        yield from closed()
+
+    return _pieces(segments.select("conv_id", "first_token", "ids", "loss"), limits, with_ids, examples, "conv_id")

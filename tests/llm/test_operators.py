@@ -151,16 +151,75 @@ def plain_phrases(train, text):
     return n
 
 
-def test_phrases_equal_plain_parsing():
+def test_phrases_equal_plain_parsing(monkeypatch):
     rng = random.Random(3)
     train = {"a": "".join(rng.choice("abc d") for _ in range(300)), "b": "".join(rng.choice("cde f") for _ in range(300))}
     train = {k: " ".join(v.split()) for k, v in train.items()}
-    model = langid.Model(train)
     texts = ["".join(rng.choice("abcdefz1, ") for _ in range(rng.randrange(1, 200))) for _ in range(50)]
+    texts.append("abc" * 2 * langid.BLOCK)
     folded = [" ".join("".join(c if c.isalpha() else " " for c in t).split()) for t in texts]
-    got = model.phrases([model.encode(t) for t in texts])
-    for t, f, n in zip(texts, folded, got, strict=True):
-        assert n.tolist() == [plain_phrases(train[k], f) for k in ("a", "b")], t
+    for table_bytes in (langid.TABLE_BYTES, 24_000, 1):  # all letters have a column, a few do, none does
+        monkeypatch.setattr(langid, "TABLE_BYTES", table_bytes)
+        model = langid.Model(train)
+        got = model.phrases([model.encode(t) for t in texts])
+        for t, f, n in zip(texts, folded, got, strict=True):
+            blocks = [f[i : i + langid.BLOCK] for i in range(0, len(f), langid.BLOCK)]
+            assert n.tolist() == [sum(plain_phrases(train[k], b) for b in blocks) for k in ("a", "b")], t
+    assert model.width == 3
+
+
+def plain_score(texts, text):
+    """Cost by language as the definition has it."""
+    folded = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    blocks = [folded[i : i + langid.BLOCK] for i in range(0, len(folded), langid.BLOCK)]
+    cost = {}
+    for k, t in texts.items():
+        train = " ".join("".join(c if c.isalpha() else " " for c in t).split())
+        w = math.log2(len(t))
+        cost[k] = (sum(plain_phrases(train, b) for b in blocks) * w, w)
+    best = min(cost, key=lambda k: (cost[k][0], k))
+    return best, 1 / sum(math.exp(max(-60.0, (cost[best][0] - c) / cost[best][1])) for c, _ in cost.values())
+
+
+def test_scores_equal_the_definition():
+    rng = random.Random(12)
+    texts = {k: " ".join("".join(rng.choice(s) for _ in range(rng.randrange(2, 6))) for _ in range(80)) for k, s in {"p": "abcdef", "q": "cdefgh", "r": "漢字仮名交文"}.items()}
+    model = langid.Model(texts)
+    for _ in range(40):
+        t = " ".join("".join(rng.choice("abcdefgh漢字z") for _ in range(4)) for _ in range(rng.randrange(1, 12)))
+        lang, score, _, _ = model.predict([t])[0]
+        assert (lang, round(score, 9)) == (plain_score(texts, t)[0], round(plain_score(texts, t)[1], 9))
+
+
+def test_scripts_that_were_not_learnt_are_rejected(spark):
+    rng = random.Random(13)
+    han = [chr(0x4E00 + i) for i in range(1500)]
+    common = ["".join(rng.choice(han[:300]) for _ in range(2)) for _ in range(300)]
+
+    def chinese():
+        return "".join(rng.choice(common) if rng.random() < 0.8 else rng.choice(han) for _ in range(120))
+
+    vocab = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 7))) for _ in range(200)]
+    made = [(i, chinese() if i % 2 else " ".join(rng.choice(vocab) for _ in range(60)), "zh" if i % 2 else "en") for i in range(300)]
+    made += [(1000 + i, "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(200)), None) for i in range(3)]  # Thai
+    made += [(1010 + i, " ".join("".join(chr(0xAC00 + rng.randrange(3000)) for _ in range(4)) for _ in range(40)), None) for i in range(3)]  # Hangul
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    assert all(out[i]["lang_pred"] == "und" for i in out if i >= 1000)
+    assert all(out[i]["lang_pred"] == lang for i, _, lang in made if lang)
+    kept = {r["doc_id"] for r in langid.keep_known_language(df).collect()}
+    assert kept == set(range(300))
+
+
+def test_two_hundred_languages_fit_in_memory():
+    rng = random.Random(14)
+    texts = {}
+    for k in range(200):
+        own = [chr(0x4E00 + rng.randrange(8000)) for _ in range(40)]
+        texts[f"l{k:03}"] = " ".join("".join(rng.choice(own) for _ in range(4)) for _ in range(200))
+    model = langid.Model(texts)
+    assert model.table.nbytes <= langid.TABLE_BYTES and len(model.langs) == 200
+    assert all(model.predict([t[100:400]])[0][0] == k for k, t in list(texts.items())[::20])
 
 
 def test_languages_are_told_apart(spark, empty):
@@ -285,7 +344,6 @@ def test_chat_reads_back(spark):
 
 def check_pieces(got, rows, limit=2048):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for r in rows:
         ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1]
@@ -300,7 +358,7 @@ def check_pieces(got, rows, limit=2048):
         for offset, length in pieces:
             assert offset == at
             at += length
-        assert at <= limit and len(pieces) <= 64
+        assert at <= limit
     found = Counter()
     by_doc = defaultdict(list)
     for r in got:
@@ -329,25 +387,86 @@ def test_packing_keeps_every_id(docs, rows, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
-def test_packer_respects_all_limits():
+def test_short_rows_share_sequences(spark):
+    rows = [(i, None if i % 2 else "word") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json")).collect()
+    used = Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["length"]
+    assert len(got) == 5000 and sum(used.values()) / (2048 * len(used)) > 0.9
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(100, 4, 40, 4), packing.Limits(100, 4, 10, 16), packing.Limits(10, 64, 10, 16), packing.Limits(100, 1, 1, 1)])
+def test_packer_respects_all_limits(limits):
     rng = random.Random(6)
-    limits = packing.Limits(tokens=100, segments=4, loss_tokens=40, least_cut=4)
     seen = defaultdict(list)
-    packer = packing.Packer(limits, lambda x, start, size, seq, offset: seen[seq].append((x.doc_id, start, size, x.loss)))
-    sizes = {}
+    masks, sizes = {}, {}
+
+    def place(x, start, size, seq, offset):
+        assert offset == sum(p[2] for p in seen[seq]) and size > 0
+        seen[seq].append((x.doc_id, start, size))
+
+    packer = packing.Packer(limits, place)
     for i in range(500):
         n = rng.randrange(1, 300)
+        share = rng.choice([0.0, 0.3, 1.0])
+        masks[i] = [int(rng.random() < share) for _ in range(n)]
         sizes[i] = n
-        packer.add(packing.Example(i, b"", 0, n, n, loss=rng.choice([0.0, 0.3, 1.0])))
+        packer.add(packing.Example(i, b"", 0, n, n, None if share == 1.0 else np.concatenate([[0], np.cumsum(masks[i])])))
     packer.fill()
+    whole = defaultdict(list)
     for pieces in seen.values():
-        assert sum(p[2] for p in pieces) <= 100 and len(pieces) <= 4
-        assert sum(math.ceil(p[2] * p[3]) for p in pieces) <= 40 + len(pieces)
-    whole = Counter()
-    for pieces in seen.values():
-        for doc, _, size, _ in pieces:
-            whole[doc] += size
-    assert whole == sizes
+        assert sum(p[2] for p in pieces) <= limits.tokens and len(pieces) <= limits.segments
+        assert sum(sum(masks[d][start : start + size]) for d, start, size in pieces) <= limits.loss_tokens
+        for d, start, size in pieces:
+            whole[d].append((start, size))
+    assert set(whole) == set(sizes)
+    for d, pieces in whole.items():
+        at = 0
+        for start, size in sorted(pieces):
+            assert start == at
+            at += size
+        assert at == sizes[d]
+    if limits.loss_tokens == 40:  # where the loss limit binds, hardly any sequence is filled to its tokens
+        assert max(sum(sum(masks[d][start : start + size]) for d, start, size in p) for p in seen.values()) == 40
+
+
+def test_limits_below_one_are_refused():
+    with pytest.raises(ValueError):
+        packing.Limits(loss_tokens=0)
+
+
+def test_instruction_data_is_packed_under_its_masks(spark):
+    rng = random.Random(16)
+    turns = []
+    for c in [*range(40), None]:
+        for t in range(rng.randrange(1, 9)):
+            turns.append((c, t, ["user", "assistant"][t % 2], words(rng, rng.choice([3, 60, 400]), 500)))
+    turns += [(99, t, "assistant", words(rng, 20, 500)) for t in range(400)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    segments = chat.format_conversations(df, path, public_tokenizers.PATTERN).coalesce(2).persist()
+    limits = packing.Limits(tokens=1024, segments=8, loss_tokens=300, least_cut=16)
+    got = packing.pack_conversations(segments, limits).collect()
+    ids, masks = defaultdict(dict), defaultdict(dict)
+    for r in segments.collect():
+        for k, (token, loss) in enumerate(zip(np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["loss"]), strict=True)):
+            ids[r["conv_id"]][r["first_token"] + k] = token
+            masks[r["conv_id"]][r["first_token"] + k] = loss
+    by, placed, losses = defaultdict(list), defaultdict(dict), Counter()
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+        for k, token in enumerate(np.frombuffer(r["ids"], "<u4").tolist()):
+            assert r["start"] + k not in placed[r["conv_id"]]
+            placed[r["conv_id"]][r["start"] + k] = token
+            losses[r["sequence_id"]] += masks[r["conv_id"]][r["start"] + k]
+    assert placed == ids
+    for pieces in by.values():
+        assert sum(n for _, n in pieces) <= 1024 and len(pieces) <= 8
+        assert sorted(o for o, _ in pieces) == [sum(n for o2, n in pieces if o2 < o) for o in sorted(o for o, _ in pieces)]
+    assert max(losses.values()) == 300 and sum(v > 280 for v in losses.values()) > 20
+    assert packing.pack_conversations(segments.limit(0), limits).count() == 0
 
 
 def test_word_cache_equals_the_tokenizer():
