@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame
 
 from bidweave.llm.common import prepare
 
-#: Bounds of what a worker remembers; when one is full, it starts anew.
+#: Bounds of what a worker remembers; when one is full, it starts anew. Longer pieces aren't remembered.
 MAX_PIECES = 300_000
 MAX_PAIRS = 1_000_000
+MAX_LENGTH = 48
+#: Fixed value: the pattern for which texts may be cut at blanks and plain words taken apart; others see whole texts.
+CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space as the rank files' pattern means it (the Unicode property, which Python's \s exceeds).
 WHITE = r"\t-\r \x85\xa0  -     　"
 #: A word of plain Latin letters with marks after it: the pattern's matches are these two groups.
@@ -60,7 +63,9 @@ class Codec:
         self.pairs: dict[int, bool] = {}
         self.matches: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.find = regex.compile(split_pattern(pattern)).findall
+        matches = regex.compile(split_pattern(pattern))
+        self.find, self.finditer = matches.findall, matches.finditer
+        self.cuttable = pattern == CUTTABLE
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; none for a byte or an entry no merge reaches."""
@@ -186,9 +191,11 @@ class Codec:
     def _match(self, match: str) -> bytes:
         got = self.matches.get(match)
         if got is None:
-            if len(self.matches) >= MAX_PIECES:
-                self.matches.clear()
-            got = self.matches[match] = array("I", self.encode_match(match.encode("utf-8"))).tobytes()
+            got = array("I", self.encode_match(match.encode("utf-8"))).tobytes()
+            if len(match) <= MAX_LENGTH:
+                if len(self.matches) >= MAX_PIECES:
+                    self.matches.clear()
+                self.matches[match] = got
         return got
 
     def _piece(self, piece: str) -> bytes:
@@ -206,17 +213,21 @@ class Codec:
         """
         if not text:
             return b""
+        if not self.cuttable:
+            return b"".join(self._match(m[0]) for m in self.finditer(text))
         if "  " in text or _before_space.search(text):
             return self._piece(text) if len(text) < 4096 else b"".join(map(self._piece, _cut(text)))
         first, *rest = text.split(" ")
         known = self.pieces
-        if len(known) > MAX_PIECES:
-            known.clear()
         out = [self._piece(first)]
         for piece in rest:
             got = known.get(piece)
             if got is None:
-                got = known[piece] = self._piece(" " + piece)
+                got = self._piece(" " + piece)
+                if len(piece) <= MAX_LENGTH:
+                    if len(known) >= MAX_PIECES:
+                        known.clear()
+                    known[piece] = got
             out.append(got)
         return b"".join(out)
 
@@ -243,7 +254,9 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the bytes decoded from them, for every whole text.
 
-    Null and empty texts have no ids. Rows are independent and nothing is shuffled; repeated rows repeat.
+    Null and empty texts have no ids. Rows are independent and nothing is shuffled; repeated rows repeat, null ids stay
+    null, other columns are not read, and an empty table gives no rows. A text of any length is encoded piece by piece;
+    a single match of the pattern (a long run without blanks, say) takes memory of some hundred times its length.
     """
     prepare(docs.sparkSession)
 

@@ -18,10 +18,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidweave.llm.common import prepare
+from bidweave.llm.common import materialise, prepare, release
 
 #: Reserved ids past the vocabulary's, and the marks they stand for in the formatted text.
 TURN, SAYS, END = 50257, 50258, 50259
@@ -65,54 +66,49 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-SEGMENTS = "conv_id long, segment long, first_token long, ids binary, loss binary"
+SEGMENTS = "conv_id long, segment long, first_token long, ids binary, loss binary, part int, n_tokens long"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
+#: Letters of a text that tell where a task's rows end among rows of one conversation, turn and role.
+OPENING = 64
 
 
 def format_conversations(turns: DataFrame, path: str, pattern: str) -> DataFrame:
-    """One row per turn: its ids (little-endian unsigned 32-bit), loss mask (a byte an id) and first token's place.
+    """One row per turn: conv_id, segment (from 0), first_token, ids (little-endian unsigned 32-bit) and loss (a byte an id).
 
-    Turns are encoded where they are, then dealt out by conversation and streamed in order of turn (then role,
-    then text), so a conversation of any length needs the memory of a batch. Null role or text counts as
-    empty; rows without conv_id make one conversation. The rows of a conversation stay together and in order.
+    Turns stand in the order of turn (null first), then role, then text, by code points; equal ones stay. Null role or
+    text counts as empty; rows without conv_id make one conversation; other columns are not read; an empty table gives
+    no rows. Rows are dealt out by ranges of that order, so a conversation of any length is split among tasks: each
+    counts from 0, and where a conversation goes on in the next one, the counts before are added afterwards. A text is
+    encoded whole.
     """
-    prepare(turns.sparkSession)
+    spark = turns.sparkSession
+    prepare(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(path, pattern)
-        for batch in batches:
-            ids, head = [], []
-            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                front = [TURN, *own.encode_ordinary(escape(role)), SAYS]
-                ids.append(np.array([*front, *own.encode_ordinary(escape(text)), END], dtype="<u4").tobytes())
-                head.append(len(front))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(ids, type=pa.binary()), pa.array(head, type=pa.int64())],
-                names=["conv_id", "turn", "role", "ids", "head"],
-            )
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         conv, segment, place, inside = object(), 0, 0, 0
         for batch in batches:
             rows: list[tuple] = []
-            for conv_id, role, ids, head in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            for conv_id, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if conv_id != conv:
                     conv, segment, place, inside = conv_id, 0, 0, 0
-                n = len(ids) // 4
+                front = [TURN, *own.encode_ordinary(escape(role)), SAYS]
+                ids = [*front, *own.encode_ordinary(escape(text)), END]
+                n = len(ids)
                 step = np.zeros(n + 1, dtype=np.int8)
                 if role == LOSS_ROLE:
-                    step[head] += 1
+                    step[len(front)] += 1
                     step[n - 1] -= 1
                 mask = inside + np.cumsum(step[:n], dtype=np.int8)
                 inside = int(mask[-1] + step[n])
-                rows.append((conv_id, segment, place, ids, mask.tobytes()))
+                rows.append((conv_id, segment, place, np.array(ids, dtype="<u4").tobytes(), mask.tobytes(), part, n))
                 segment += 1
                 place += n
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["conv_id", "segment", "first_token", "ids", "loss"]
-            )
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+            names = [x.split()[0] for x in SEGMENTS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
 
     clean = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -120,16 +116,34 @@ def format_conversations(turns: DataFrame, path: str, pattern: str) -> DataFrame
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    return (
-        clean.mapInArrow(encode, "conv_id long, turn long, role string, ids binary, head long")
-        .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn", "role", "ids")
-        .mapInArrow(assemble, SEGMENTS)
+    encoded, scratch = materialise(
+        clean.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, OPENING))
+        .sortWithinPartitions("conv_id", "turn", "role", "text")
+        .mapInArrow(encode, SEGMENTS),
+        "segments",
     )
+    # A task's rows end within one conversation at most, so there are no more of these than tasks.
+    counts = encoded.groupBy("conv_id", "part").agg(F.count("*").alias("segments"), F.sum("n_tokens").alias("tokens"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = counts.withColumns({"segments": F.sum("segments").over(before), "tokens": F.sum("tokens").over(before)}).where(F.col("segments").isNotNull())
+    goes_on = goes_on.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "segments", "tokens")
+    joined = encoded.join(F.broadcast(goes_on), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left")
+    out = joined.select(
+        "conv_id",
+        (F.col("segment") + F.coalesce("segments", F.lit(0))).alias("segment"),
+        (F.col("first_token") + F.coalesce("tokens", F.lit(0))).alias("first_token"),
+        "ids",
+        "loss",
+    )
+    release(spark, scratch)
+    return out
 
 
 def read_back(segments: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Digests of each conversation, read from nothing but the assembled ids and masks, in their order."""
+    """Digests of each conversation, read from nothing but the assembled ids and masks, in the order of their segments.
+
+    A digest runs through its conversation from end to end, so a conversation is read in one task, a batch at a time.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(path, pattern)
@@ -143,7 +157,7 @@ def read_back(segments: DataFrame, path: str, pattern: str) -> DataFrame:
             rows.append((conv, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), *counts[2:]))
 
         for batch in batches:
-            for conv_id, ids, mask in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+            for conv_id, ids, mask in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if conv_id != conv:
                     if conv is not none:
                         close()
@@ -177,4 +191,5 @@ def read_back(segments: DataFrame, path: str, pattern: str) -> DataFrame:
             types = [pa.string() if n.endswith("sha256") else pa.int64() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return segments.mapInArrow(read, DIGEST)
+    ordered = segments.select("conv_id", "segment", "ids", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return ordered.mapInArrow(read, DIGEST)

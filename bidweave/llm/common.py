@@ -86,13 +86,18 @@ def discard(spark: SparkSession, *paths: str) -> None:
         store.delete(place, True)
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that a returned frame still reads when the application ends."""
+    for place, store in _places(spark, paths):
+        store.deleteOnExit(place)
+
+
 def finish(df: DataFrame, tag: str, *paths: str) -> DataFrame:
     """The result as a table of its own, kept until the application ends; the scratch tables behind it go now."""
     spark = df.sparkSession
     out, path = materialise(df, tag)
     discard(spark, *paths)
-    for place, store in _places(spark, (path,)):
-        store.deleteOnExit(place)
+    release(spark, path)
     return out
 
 

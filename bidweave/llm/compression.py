@@ -9,6 +9,8 @@ its length. The limits are fitted to the ratios of all documents of the table.
 from __future__ import annotations
 
 import math
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,6 +56,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS = 10
+_word = re.compile(rb"[^\x20\x09-\x0D]+").finditer
 REPEAT_PERCENT = 20
 
 
@@ -71,20 +74,43 @@ class Verdict:
     kept: bool
 
 
-def repeated_words(words: list) -> int:
+#: Texts of so many bytes or more have their words numbered one by one, since a list of them would not do.
+LONG = 1 << 20
+
+
+def word_numbers(raw: bytes) -> np.ndarray:
+    """The words of a text by the number of their first occurrence; memory by distinct words, and four bytes a word."""
+    known: dict[bytes, int] = {}
+    out = array("i")
+    for m in _word(raw):
+        out.append(known.setdefault(m[0], len(known)))
+    return np.frombuffer(out, dtype=np.int32) if out else np.zeros(0, dtype=np.int32)
+
+
+def _paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers that are equal where both numbers are."""
+    return np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)[1]
+
+
+def repeated_words(words: list | np.ndarray) -> int:
     """Words covered by windows of five that stand twice or more in the text, the first included."""
     if len(words) < WINDOW:
         return 0
-    grams = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
-    if len(set(grams)) == len(grams):
-        return 0
-    counts = Counter(grams)
-    hit = np.fromiter((counts[g] > 1 for g in grams), dtype=bool, count=len(grams))
+    if isinstance(words, np.ndarray):
+        twos = _paired(words[:-1], words[1:])
+        fives = _paired(_paired(twos[:-2], twos[2:])[:-1], words[4:])
+        hit = np.bincount(fives)[fives] > 1
+    else:
+        grams = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
+        if len(set(grams)) == len(grams):
+            return 0
+        counts = Counter(grams)
+        hit = np.fromiter((counts[g] > 1 for g in grams), dtype=bool, count=len(grams))
     cover = np.zeros(len(words) + 1, dtype=np.int64)
     at = np.flatnonzero(hit)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + WINDOW, -1)
-    return int((np.cumsum(cover) > 0).sum())
+    cover[: len(hit)] += hit
+    cover[WINDOW : WINDOW + len(hit)] -= hit
+    return int((np.cumsum(cover) > 0).sum()) if len(at) else 0
 
 
 def duplicate_lines(text: str) -> int:
@@ -159,7 +185,7 @@ def judge(text: str | None, compress=zstandard.ZstdCompressor(level=LEVEL).compr
     limits = limits or {}
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
+    words = raw.split() if len(raw) < LONG else word_numbers(raw)
     repeats = repeated_words(words)
     failed = len(words) < LEAST_WORDS or 100 * repeats > REPEAT_PERCENT * len(words)
     ratio = len(raw) / len(compress(raw)) if raw else 0.0
@@ -225,8 +251,9 @@ def _measure(batches: Iterator[pa.RecordBatch], limits: dict) -> Iterator[pa.Rec
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """One row per document: base counts, ratios and ``kept``.
 
-    Limits are fitted first, in a pass of its own; then rows are independent: no text is shuffled, repeated rows give repeated rows, a null id stays null, an
-    empty table gives no rows, and other columns are never read.
+    Limits are fitted first, in a pass of its own; then rows are independent: no text is shuffled, repeated rows give
+    repeated rows, a null id stays null, an empty table gives no rows, and other columns are never read. A null text
+    counts as empty, and an empty one fails. Texts of any length are judged whole; a ratio at a limit is within it.
     """
     limits = fitted_limits(docs)
     return docs.select("doc_id", "text").mapInArrow(lambda batches: _measure(batches, limits), SCHEMA)

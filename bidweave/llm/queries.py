@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.llm import bpe, chat, compression, embed_dedup, jaccard, langid, license_scan, packing, sharding, toxicity
-from bidweave.llm.common import prepare, scratch_path
+from bidweave.llm.common import finish, materialise, scratch_path
 
 SHARDS = 8
 #: A conversation whose texts hold control strings.
@@ -22,14 +22,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near-equal bytes by a rebalanced, stored slot map."""
-    prepare(spark)
-    docs = _read(spark, sf_dir, "documents")
-    sums = sharding.slot_sums(sharding.with_slots(docs))
+    slotted, path = materialise(sharding.with_slots(_read(spark, sf_dir, "documents")), "slotted")
+    sums = sharding.slot_sums(slotted)
     root = scratch_path(spark, "slot-map")
     first = sharding.SlotMap.initial(SHARDS)
     first.save(spark, root)
     first.rebalanced({k: b for k, (_, b) in sums.items()}).save(spark, root)
-    return sharding.shard_documents(docs, sharding.SlotMap.load(spark, root, first.version + 1), sums)
+    return finish(sharding.shard_documents(slotted, sharding.SlotMap.load(spark, root, first.version + 1), sums), "sharded", path, root)
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

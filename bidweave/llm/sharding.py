@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots.
 
-A record's slot is a hash of its id and text and never changes. A versioned map
+A record's slot is a hash of its id and text and never changes (records that repeat
+many times are spread over several slots). A versioned map
 sends slots to shards; rebalancing sums bytes by slot and edits as few entries
 as it can. Only the map and the slot sums (both of a fixed size) reach the driver.
 """
@@ -104,15 +105,33 @@ class SlotMap:
         return SlotMap(row["version"], row["shards"], tuple(row["shard_of"]))
 
 
+#: A record that repeats so often or more is spread over several slots, about SPREAD rows each.
+REPEATS = 32
+SPREAD = 16
+
+
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of every row; the text goes no further."""
+    """doc_id, size, text_crc32 and virtual_slot of every row; the text goes no further.
+
+    A slot is a hash of id and text. Rows that repeat both ``REPEATS`` times or more would make one slot hot, so they
+    are counted first, summed before the shuffle, and hashed with a number below their count / ``SPREAD`` as well.
+    Such numbers come from the rows' places, so the result is to be written before it is used twice.
+    """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(
-        "doc_id",
-        (F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 1).alias("size"),
+    rows = docs.select(
+        F.col("doc_id").alias("doc_id"),
+        (F.octet_length(raw).cast("long") + 1).alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64("doc_id", "text").alias("_hash"),
     )
+    often = rows.groupBy("_hash").agg(F.count("*").alias("_n")).where(F.col("_n") >= REPEATS)
+    salt = F.lit(0).cast("long")
+    if not often.isEmpty():
+        # Few records repeat so, so this is a broadcast as a rule; beyond its limit adaptive execution splits the hot ones.
+        rows = rows.join(often, "_hash", "left")
+        salt = F.when(F.col("_n").isNull(), salt).otherwise(F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_n") / SPREAD)))
+    slot = F.when(salt == 0, F.pmod("_hash", F.lit(slots))).otherwise(F.pmod(F.xxhash64("_hash", salt), F.lit(slots)))
+    return rows.select("doc_id", "size", "text_crc32", slot.cast("int").alias("virtual_slot"))
 
 
 def slot_sums(slotted: DataFrame) -> dict[int, tuple[int, int]]:
@@ -121,25 +140,26 @@ def slot_sums(slotted: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["virtual_slot"]: (r["n"], r["b"]) for r in rows}
 
 
-def shard_documents(docs: DataFrame, slot_map: SlotMap, sums: dict[int, tuple[int, int]]) -> DataFrame:
-    """Each row's shard by the map, and its place there.
+def shard_documents(slotted: DataFrame, slot_map: SlotMap, sums: dict[int, tuple[int, int]]) -> DataFrame:
+    """Each row's shard by the map, and its place there; ``slotted`` is a written table of ``with_slots``.
 
     Places are gapless: a slot's first place is the number of rows in the shard's slots before it, and rows
-    are numbered within their slot only, so no task sees more than a slot. Equal rows share a slot, and their
-    order does not matter. An empty table gives no rows.
+    are numbered within their slot only, so no task sees more than a slot. Rows of one slot stand in the order of
+    doc_id (null last), text_crc32 and size; the order of equal rows does not matter. Null ids and texts count as any
+    other (a null text has no bytes), texts of any length are only hashed, other columns are not read, and an empty
+    table gives no rows.
     """
     taken = [0] * slot_map.shards
     first = []
     for slot, shard in enumerate(slot_map.shard_of):
         first.append(taken[shard])
         taken[shard] += sums.get(slot, (0, 0))[0]
-    spark = docs.sparkSession
+    spark = slotted.sparkSession
     rows = list(zip(range(len(first)), slot_map.shard_of, first, strict=True))
     places = spark.createDataFrame(rows, "virtual_slot int, shard int, first long")
     order = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     return (
-        with_slots(docs, len(first))
-        .withColumn("_n", F.row_number().over(order) - 1)
+        slotted.withColumn("_n", F.row_number().over(order) - 1)
         .join(F.broadcast(places), "virtual_slot")
         .select(
             "doc_id",

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 
 from bidweave.llm.common import held_out, prepare, sample_documents
 
-#: Bounds of the training sample: labelled documents, and characters taken of each (cut at a sentence's end).
+#: Bounds of the training sample: labelled documents, in the order of a hash of their ids, and characters of all their whole texts.
 SAMPLE_DOCS = 6_000
-SAMPLE_CHARS = 8_000
+SAMPLE_CHARS = 24_000_000
 #: Words of the model: those in so many training documents at least whose share among toxic documents differs by so many deviations.
 LEAST_DOCS = 5
 LEAST_Z = 4.0
@@ -64,24 +66,25 @@ def fit(texts: list[str], toxic: list[int], steps: int = 300) -> Model:
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model()
-    bags = [[_words(s) for s in sentences(t)] for t in texts]
-    whole = [set().union(*b) if b else set() for b in bags]
+    # Sentences are taken apart twice, so that no more than one text's features and those of the vocabulary are held.
     seen, bad = Counter(), Counter()
-    for words, label in zip(whole, toxic, strict=True):
-        seen.update(words)
+    for text, label in zip(texts, toxic, strict=True):
+        whole = _words(text)
+        seen.update(whole)
         if label:
-            bad.update(words)
+            bad.update(whole)
     rate = y.mean()
     z = {w: (bad[w] - n * rate) / math.sqrt(n * rate * (1 - rate)) for w, n in seen.items() if n >= LEAST_DOCS}
     vocabulary = sorted((w for w, v in z.items() if abs(v) >= LEAST_Z), key=lambda w: (-abs(z[w]), w))[:MAX_WORDS]
+    seen, bad = Counter(), Counter()
     index = {w: i for i, w in enumerate(vocabulary)}
-    doc_of, rows, cols = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
-            hits = [index[w] for w in words if w in index]
+    doc_of, rows, cols = array("q"), array("q"), array("q")
+    for d, text in enumerate(texts):
+        for sentence in sentences(text):
+            hits = [index[w] for w in _words(sentence) if w in index]
             if hits:
-                rows += [len(doc_of)] * len(hits)
-                cols += hits
+                rows.extend([len(doc_of)] * len(hits))
+                cols.extend(hits)
                 doc_of.append(d)
     rows_, cols_, doc_ = (np.array(x, dtype=np.int64) for x in (rows, cols, doc_of))
     theta = np.zeros(len(vocabulary) + 1)
@@ -114,7 +117,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = 300) -> Model:
 class Scorer:
     """Applies a model; remembers which words have features (bounded)."""
 
-    MAX_WORDS = 500_000
+    MAX_WORDS = 300_000
+    MAX_LENGTH = 48
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -125,15 +129,17 @@ class Scorer:
         if not text:
             return 0.0, []
         weights, bias, known = self.model.weights, self.model.bias, self.known
-        if len(known) > self.MAX_WORDS:
-            known.clear()
         none, offending = 1.0, []
         for i, sentence in enumerate(_ends.split(text)):
             hits: set[str] = set()
             for word in set(_word(sentence.lower())):
                 found = known.get(word)
                 if found is None:
-                    found = known[word] = tuple(f for f in _features(word) if f in weights)
+                    found = tuple(f for f in _features(word) if f in weights)
+                    if len(word) <= self.MAX_LENGTH:
+                        if len(known) >= self.MAX_WORDS:
+                            known.clear()
+                        known[word] = found
                 if found:
                     hits.update(found)
             if hits:
@@ -147,30 +153,39 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of labelled documents whose ids are not held out.
 
-    Documents with several labels count as toxic if one says so; null labels and null ids are left out.
+    Whole texts are taken, documents in the order of a hash of their ids, until ``SAMPLE_CHARS`` are full; a text that
+    would not fit is passed over. Documents with several labels count as toxic if one says so; null labels, ids and
+    texts are left out, and a text that repeats under its id counts once. Without both kinds of labelled texts there is
+    nothing to learn: a warning says so, and the model scores 0.
     """
+    spark = docs.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = sample_documents(marks, ["doc_id", "toxic"], SAMPLE_DOCS, "tox")
-    if not chosen:
-        return Model()
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in chosen], "doc_id long, toxic int")
-    rows = (
-        docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("opening"), (F.length("text") > SAMPLE_CHARS).alias("cut"))
-        .where(F.col("opening").isNotNull())
-        .join(F.broadcast(wanted), "doc_id")
-        .limit(4 * SAMPLE_DOCS)
-        .collect()
-    )
-    # A label speaks for the whole text: of longer ones only toxic openings could mislead, so those are left out.
-    rows = sorted({(r["doc_id"], r["opening"], r["toxic"]) for r in rows if not r["cut"]})
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    wanted = spark.createDataFrame([(r["doc_id"], i) for i, r in enumerate(chosen)], "_id long, _at int")
+    found = docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["_id"]).where(docs["text"].isNotNull())
+    key = F.md5(docs["text"].cast("binary")).alias("_key")
+    sizes = found.select("_at", key, F.length(docs["text"]).alias("_chars")).distinct().orderBy("_at", "_key").limit(2 * SAMPLE_DOCS).collect()
+    left, taken = SAMPLE_CHARS, []
+    for r in sizes:
+        if r["_chars"] <= left:
+            left -= r["_chars"]
+            taken.append((chosen[r["_at"]]["doc_id"], r["_key"], r["_at"]))
+    texts = spark.createDataFrame(taken, "_id long, _key string, _at int")
+    same = (docs["doc_id"] == texts["_id"]) & (F.md5(docs["text"].cast("binary")) == texts["_key"])
+    rows = docs.join(F.broadcast(texts), same).select("_at", "_key", docs["text"].alias("_text")).distinct().collect() if taken else []
+    rows.sort(key=lambda r: (r["_at"], r["_key"]))
+    toxic = [int(chosen[r["_at"]]["toxic"] > 0) for r in rows]
+    if len(set(toxic)) < 2:
+        warnings.warn("no labelled texts of both kinds to learn from: every document scores 0", stacklevel=2)
+    return fit([r["_text"] for r in rows], toxic)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, and the offending sentences by number, with the worst one's score.
 
-    Rows are independent: nothing is shuffled, and repeated rows repeat.
+    Rows are independent: nothing is shuffled, repeated rows repeat, a row without doc_id is scored as any other (and
+    not held out), other columns are not read, and an empty table gives no rows. Texts are scored whole, a sentence at a
+    time; null and empty ones score 0, as do texts without a word of the model. A score at the threshold is toxic.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -55,10 +56,11 @@ def empty(spark):
 
 
 def test_shards_are_even_gapless_and_whole(docs, rows, empty):
-    sums = sharding.slot_sums(sharding.with_slots(docs))
+    slotted = sharding.with_slots(docs).persist()
+    sums = sharding.slot_sums(slotted)
     first = sharding.SlotMap.initial(8)
     then = first.rebalanced({k: b for k, (_, b) in sums.items()})
-    got = sharding.shard_documents(docs, then, sums).collect()
+    got = sharding.shard_documents(slotted, then, sums).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
     by = defaultdict(list)
@@ -66,7 +68,23 @@ def test_shards_are_even_gapless_and_whole(docs, rows, empty):
         by[r["shard"]].append(r["slot"])
         assert then.shard_of[r["virtual_slot"]] == r["shard"] and r["grown_shard"] is None and r["law"] == "bytes"
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    assert sharding.shard_documents(empty, then, {}).count() == 0
+    assert sharding.shard_documents(sharding.with_slots(empty), then, {}).count() == 0
+
+
+def test_repeated_rows_are_spread(spark):
+    rng = random.Random(1)
+    made = [(1, "the same text")] * 6000 + [(None, None)] * 300 + [(i, words(rng, 5)) for i in range(2, 3000)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    slotted = sharding.with_slots(df).persist()
+    sums = sharding.slot_sums(slotted)
+    assert max(n for n, _ in sums.values()) < 100
+    then = sharding.SlotMap.initial(8).rebalanced({k: b for k, (_, b) in sums.items()})
+    load, places = Counter(), defaultdict(list)
+    for r in sharding.shard_documents(slotted, then, sums).collect():
+        load[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert max(load.values()) - min(load.values()) < 0.001 * sum(load.values())
+    assert all(sorted(v) == list(range(len(v))) for v in places.values()) and sum(map(len, places.values())) == len(made)
 
 
 def test_rebalancing_is_close_and_moves_little():
@@ -300,6 +318,70 @@ def test_limits_follow_the_documents(spark):
     assert kept == {i for i, r in rows.items() if r["kept"]}
 
 
+def plain_limits(texts):
+    """Limits by class, from the ratios themselves."""
+    by = defaultdict(list)
+    for t in texts:
+        if t:
+            raw = t.encode()
+            ratio = len(raw) / len(zstandard.ZstdCompressor(level=3).compress(raw))
+            by[round(len(raw) / len(t)), math.floor(2 * math.log2(len(raw)))].append(min(20_000, round(200 * ratio)))
+    limits = {}
+    if sum(map(len, by.values())) < 1000:
+        return limits
+    for width in {w for w, _ in by}:
+        joined, held = [], []
+        for octave in sorted(o for w, o in by if w == width):
+            joined.append(octave)
+            held = sorted(held + by[width, octave])
+            if len(held) >= 64:
+                mid = held[(len(held) - 1) // 2]
+                mad = sorted(abs(x - mid) for x in held)[(len(held) - 1) // 2]
+                reach = max(3.5 * 1.4826 * mad, 0.05 * mid)
+                limits |= {(width, o): ((mid - reach) / 200, (mid + reach) / 200) for o in joined}
+                joined, held = [], []
+    return limits
+
+
+def plain_kept(text, limits):
+    n_words, _, _, _, repeats = plain_counts(text)
+    if n_words < 10 or 100 * repeats > 20 * n_words:
+        return False
+    raw = text.encode()
+
+    def inside(part, n_chars):
+        ratio = len(part) / len(zstandard.ZstdCompressor(level=3).compress(part))
+        low, high = next((lo, hi) for least, lo, hi in reversed(compression.WHOLE_BANDS) if len(part) >= least)
+        own = limits.get((round(len(part) / n_chars), math.floor(2 * math.log2(len(part)))))
+        if own:
+            low, high = (max(low, own[0]) if low else low), min(high, own[1])
+        return low <= ratio <= high
+
+    chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+    bad = sum(len(c) for c in chunks if not inside(c, max(1, round(len(text) * len(c) / len(raw)))))
+    return inside(raw, len(text)) and bad <= len(raw) / 3
+
+
+def test_verdicts_equal_plain_ones(spark):
+    rng = random.Random(17)
+    texts = [words(rng, rng.randrange(12, 900)) for _ in range(1200)] + ["漢字仮名 交文 " * 3 + words(rng, 20) for _ in range(10)]
+    texts += [" ".join(f"w{rng.randrange(rng.choice([5, 60, 300]))}" for _ in range(rng.randrange(50, 900))) for _ in range(80)]
+    texts += [" ".join(base64.b64encode(rng.randbytes(9)).decode() for _ in range(rng.randrange(10, 600))) for _ in range(40)] + [None, "", "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    limits = plain_limits(texts)
+    got = {r["doc_id"]: r["kept"] for r in compression.quality_verdicts(df).collect()}
+    assert limits and got == {i: plain_kept(t, limits) for i, t in enumerate(texts)}
+    assert 0 < sum(not got[i] and not compression.judge(t).base_failed for i, t in enumerate(texts)) < 200
+
+
+def test_long_texts_count_as_short_ones(monkeypatch):
+    rng = random.Random(18)
+    texts = [" ".join(f"w{rng.randrange(rng.choice([4, 40, 4000]))}" for _ in range(rng.randrange(0, 300))) for _ in range(60)]
+    short = [compression.judge(t) for t in texts]
+    monkeypatch.setattr(compression, "LONG", 0)
+    assert [compression.judge(t) for t in texts] == short
+
+
 def test_the_last_chunk_is_judged():
     rng = random.Random(8)
     head = words(rng, 2000)[: compression.CHUNK_BYTES - 1] + " "
@@ -315,6 +397,8 @@ def test_chat_reads_back(spark):
     hard = [c + "x" + c for c in chat.CONTROLS] + ["\\", "\\-", "<\\-/s>", "<<<SYS>>", "é\n漢", "", None, "[INST[INST]]"]
     made = [(i // 5, i % 5, ["user", "assistant", "system", None, "assistant"][i % 5], t) for i, t in enumerate(hard)]
     made += [(None, 0, "user", "no conversation"), (50, 1, "assistant", "tie b"), (50, 1, "assistant", "tie a"), (50, None, "user", "first")]
+    rng = random.Random(15)
+    made += [(7, None if k % 3 == 0 else k % 40, rng.choice(["assistant", "user"]), words(rng, rng.randrange(0, 9))) for k in range(3000)]  # a hot conversation
     df = spark.createDataFrame(made, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(1))
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     segments = chat.format_conversations(df, path, public_tokenizers.PATTERN)
@@ -324,7 +408,7 @@ def test_chat_reads_back(spark):
         by[c].append((t if t is not None else -1, role or "", text or ""))
     assert set(got) == set(by)
     for c, turns in by.items():
-        if c != 50:
+        if turns:
             turns.sort()
             said = "".join(f"{r}\n{x}\n" for _, r, x in turns)
             loss = "".join(x for _, r, x in turns if r == "assistant")
@@ -332,7 +416,15 @@ def test_chat_reads_back(spark):
             assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
             assert got[c]["loss_chars"] == len(loss) and got[c]["n_turns"] == len(turns)
             assert got[c]["formatted_chars"] == sum(24 + len(chat.escape(r)) + len(chat.escape(x)) - 24 + sum(map(len, chat.MARKS.values())) for _, r, x in turns)
-    assert got[50]["n_turns"] == 3
+    assert got[50]["n_turns"] == 3 and got[7]["n_turns"] == 3000
+    places = defaultdict(list)
+    for r in segments.collect():
+        places[r["conv_id"]].append((r["segment"], r["first_token"], len(r["loss"])))
+    for rows in places.values():
+        at = 0
+        for k, (segment, first, n) in enumerate(sorted(rows)):
+            assert (segment, first) == (k, at)
+            at += n
     for t in hard:
         if t:
             assert chat.unescape(chat.escape(t)) == t and not any(c in chat.escape(t) for c in chat.CONTROLS)
@@ -584,6 +676,25 @@ def test_bpe_equals_the_library(spark, docs, rows, empty):
     assert bpe.encode_decode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_other_patterns_see_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pattern = r"\p{L}{1,3}|\s+|[^\s\p{L}]"
+    codec = bpe.Codec(path, pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    for t in ["plain words, and  more\n\nof  them", "x" * 100, "é漢字 12 34", "  "]:
+        assert np.frombuffer(codec.encode(t), dtype="<u4").tolist() == library.encode_ordinary(t)
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_PIECES", 20)
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(20)
+    t = words(rng, 400) + " " + "q" * 5000
+    assert np.frombuffer(codec.encode(t), dtype="<u4").tolist() == library.encode_ordinary(t)
+    assert len(codec.pieces) <= 20 and len(codec.matches) <= 20 and max(map(len, codec.matches)) <= bpe.MAX_LENGTH
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------
 
 NOTICES = {
@@ -698,3 +809,55 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
     untrained = toxicity.train(docs, lab.limit(0))
     assert all(r["score"] == 0 for r in toxicity.score_documents(docs, untrained).collect())
+
+
+def test_scores_are_the_noisy_or_of_sentences(spark):
+    model = toxicity.Model(-3.0, {"bad": 2.5, "awfu-": 1.5, "good": -1.0, "awful": 0.5})
+    texts = ["bad thing. good bad awful!\nnothing here", "good. good", "awfully bad? bad", "", None, "bad " * 20_000 + ". " + "fine. " * 5000]
+
+    def plain(text):
+        none, offending = 1.0, []
+        for i, sentence in enumerate(toxicity.sentences(text or "")):
+            marks = set()
+            for w in __import__("re").findall(r"\w+", sentence.lower()):
+                marks |= {w} | {w[:n] + "-" for n in (4, 5) if len(w) >= n}
+            hits = [model.weights[m] for m in marks if m in model.weights]
+            if hits:
+                p = 1 / (1 + math.exp(3.0 - sum(hits)))
+                none *= 1 - p
+                if p >= toxicity.SENTENCE_THRESHOLD:
+                    offending.append(i)
+        return round(1 - none, 12), offending
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"toxic": F.lit(1), "predicted": F.lit("clash")})
+    for r in toxicity.score_documents(df, model).collect():
+        assert (round(r["score"], 12), r["offending"]) == plain(texts[r["doc_id"]])
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_long_labelled_texts_are_learnt_from(spark, monkeypatch):
+    rng = random.Random(19)
+    made, labels = [], []
+    for i in range(400):
+        sentences = [words(rng, 12, 300) + "." for _ in range(60)]
+        if i % 4 == 0:
+            sentences[rng.randrange(60)] = "you snarg " + words(rng, 6, 300) + "."
+        made.append((i, " ".join(sentences)))
+        labels.append((i, int(i % 4 == 0)))
+    made += made[:50]  # repeated rows count once
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert min(len(t) for _, t in made) > 2_000
+    model = toxicity.train(docs, lab)
+    fresh = [words(rng, 12, 300) + "." for _ in range(30)]
+
+    def tells_apart(m):
+        score = toxicity.Scorer(m)
+        return score("you snarg. " + " ".join(fresh))[0] >= toxicity.THRESHOLD > score(" ".join(fresh))[0]
+
+    assert tells_apart(model)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 300_000)
+    assert tells_apart(toxicity.train(docs, lab))
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 10)
+    with pytest.warns(UserWarning):
+        assert toxicity.train(docs, lab) == toxicity.Model()
