@@ -28,6 +28,10 @@ _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15))
 _BASE = 0x100000001B3
 
 
+#: Rows of a table of buckets (8 bytes each) that may be broadcast.
+SMALL = 200_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Parameters of the join."""
@@ -202,7 +206,10 @@ def _leaves(reps: DataFrame, s: Settings) -> tuple[DataFrame, list[str]]:
         children, path = materialise(children.select("key", "parent", "size", "child.*"), "level")
         paths.append(path)
         kept = children.groupBy("parent", "bucket", "size").agg(F.count("*").alias("k")).groupBy("parent").agg((F.max("k") >= s.dense * F.first("size")).alias("dense"))
-        dense = kept.where("dense").select(F.col("parent").alias("bucket"))
+        dense, path = materialise(kept.where("dense").select(F.col("parent").alias("bucket")), "dense")
+        paths.append(path)
+        if dense.count() <= SMALL:  # then the rows of a large bucket needn't meet in one task
+            dense = F.broadcast(dense)
         found.append(large.join(dense, "bucket", "left_semi").select("bucket", "key"))
         level = children.join(dense.withColumnRenamed("bucket", "parent"), "parent", "left_anti").select("key", "bucket", "used").dropDuplicates(["key", "bucket"])
     out = found[0]
