@@ -1,125 +1,61 @@
 """Command line over a folder of versioned tables.
 
-    python -m bidweave.cli --root DIR ingest-awards FILE...      award CSV or zip files
-    python -m bidweave.cli --root DIR ingest-extract FILE        a notice extract
-    python -m bidweave.cli --root DIR ingest-pages FOLDER        archived pages of the search API
-    python -m bidweave.cli --root DIR match | recompetes | diagnose | reset | status
-    python -m bidweave.cli --root DIR label-sheet OUT | import-labels SHEET --labels FILE | eval --labels FILE
+    python -m bidweave.cli --root DIR ingest-awards FILE...          award CSV or zip files
+    python -m bidweave.cli --root DIR awards-backfill | awards-delta exports built by the provider
+    python -m bidweave.cli --root DIR ingest-extract [FILE]          a notice extract; without FILE the daily one is fetched
+    python -m bidweave.cli --root DIR notice-archive YEAR [FILE]     a fiscal year's archived notices
+    python -m bidweave.cli --root DIR ingest-pages FOLDER            archived pages of the search
+    python -m bidweave.cli --root DIR ingest-notices [--backfill]    pages of the search, since the last day reached
+    python -m bidweave.cli --root DIR match | recompetes | diagnose | reset | status | doctor | version
+    python -m bidweave.cli --root DIR label-sheet OUT | import-labels SHEET --labels FILE | eval --labels FILE [--report FILE]
     python -m bidweave.cli --root DIR review NOTICE AWARD confirmed|rejected --reviewer NAME
+
+The key of the notice search is read from NOTICE_API_KEY.
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
+import os
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from bidweave import schemas, session
+from bidweave import control, jobs, schemas, session
 from bidweave.config import MatchingConfig, load_matching_config, load_verticals, vertical_naics
-from bidweave.operators import versions
-from bidweave.operators.merge import VersionedTable
-from bidweave.plans import history, match, recompetes, reports
-from bidweave.sources import awards, files, notices
-
-
-def _current_schema() -> T.StructType:
-    snapshot = T.StructType([f for f in schemas.notice() if f.name != "notice_id"] + [T.StructField(versions.HASH, T.StringType())])
-    return T.StructType([T.StructField("notice_id", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("snapshot", snapshot)])
-
-
-TABLES = {
-    "awards": schemas.award,
-    "entities": lambda: schemas.table("uei string, name string, parent_uei string, parent_name string, cage string, state string, business_types string, last_modified timestamp"),
-    "agencies": lambda: schemas.table("level string, code string, name string, parent_code string"),
-    "offices": lambda: schemas.table("subtier_code string, office_code string, name string"),
-    "naics": lambda: schemas.table("code string, title string, in_vertical boolean"),
-    "notices": _current_schema,
-    "notice_versions": lambda: T.StructType([*_current_schema(), T.StructField("changes", schemas.table("c array<struct<field: string, old: string, new: string>>")["c"].dataType)]),
-    "notice_descriptions": lambda: schemas.table("notice_id string, version int, text string"),
-    "matches": schemas.match,
-    "reviews": lambda: schemas.table(schemas.REVIEW_DDL),
-    "chunks": lambda: schemas.table(schemas.CHUNK_DDL),
-    "runs": lambda: schemas.table(schemas.RUN_DDL),
-    "raw_files": lambda: schemas.table(schemas.RAW_FILE_DDL),
-}
-
-
-class Store:
-    """The tables below a root folder."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+from bidweave.operators.rows import cut, union_override
+from bidweave.plans import match, recompetes, reports
+from bidweave.sources import files, remote
+from bidweave.store import TABLES, Store, current_schema
 
-    def table(self, name: str) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/{name}", TABLES[name]())
+__all__ = ["TABLES", "Store", "current_schema", "main"]
 
-    def read(self, name: str) -> DataFrame:
-        return self.table(name).read()
+VERSION = "0.2.0"
 
-    def write(self, name: str, df: DataFrame) -> None:
-        self.table(name).write(df.select(*(f.name for f in TABLES[name]())))
 
-    def notices(self) -> DataFrame:
-        return notices.stored_columns(self.read("notices").select("notice_id", "snapshot.*"))
-
-
-def load_awards(store: Store, paths: list[str], vertical: tuple[str, ...]) -> None:
-    for path in paths:
-        if path.endswith(".zip"):
-            raw = awards.read_award_zip(store.spark, path, tempfile.mkdtemp(dir=None))[0]
-        else:
-            raw = awards.read_award_csv(store.spark, path)[0]
-        stored = {n: store.read(n) for n in ("agencies", "offices", "naics", "entities", "awards")}
-        for name, df in awards.load_awards(stored, raw, vertical).items():
-            store.write(name, df)
-
-
-def fold_notices(store: Store, incoming: DataFrame, authoritative=None) -> dict[str, int]:
-    stored = store.read("notices")
-    done = versions.fold(stored, versions.incoming_snapshots(incoming), authoritative)
-    steps = versions.Folded(done.steps.cache())
-    made = steps.versions()
-    old = store.read("notice_versions").join(made, ["notice_id", "version"], "left_anti")
-    texts = steps.descriptions()
-    old_texts = store.read("notice_descriptions").join(texts, ["notice_id", "version"], "left_anti")
-    after = steps.current()
-    counts = {r["outcome"]: r["count"] for r in steps.counts().collect()}
-    store.write("notice_versions", old.unionByName(made.select(*old.columns)))
-    store.write("notice_descriptions", old_texts.unionByName(texts))
-    store.write("notices", stored.join(after.select("notice_id"), "notice_id", "left_anti").unionByName(after))
-    return counts
-
-
-def run_match(store: Store, cfg: MatchingConfig, vertical: tuple[str, ...], today: dt.date) -> tuple[int, int]:
-    n, a = store.notices(), store.read("awards")
-    links = history.link_rows(history.find_links(n, a, vertical), a, cfg.matcher_version, store.read("matches"))
-    store.write("matches", history.save_links(store.read("matches"), links)[0])
-    previous = store.read("matches")
-    d = store.read("notice_descriptions")
-    rows = match.match(n, a, d, previous, cfg, vertical, today)
-    table, counts = match.save(previous, match.notice_facts(n, d, cfg, vertical, today), rows)
-    written, deleted = counts.first()
-    store.write("matches", table)
-    return written, deleted
-
-
-def main(argv: list[str] | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="bidweave", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("--root", required=True)
+    p.add_argument("--archive", help="folder of raw files; by default 'archive' beside the tables")
     p.add_argument("--config")
     p.add_argument("--verticals")
     p.add_argument("--today", type=dt.date.fromisoformat, default=dt.date.today())
     sub = p.add_subparsers(dest="job", required=True)
     sub.add_parser("ingest-awards").add_argument("files", nargs="+")
+    sub.add_parser("awards-backfill").add_argument("--years", type=int, default=5)
+    sub.add_parser("awards-delta")
     sub.add_parser("ingest-pages").add_argument("folder")
-    x = sub.add_parser("ingest-extract")
-    x.add_argument("file")
+    x = sub.add_parser("ingest-notices")
+    x.add_argument("--backfill", action="store_true")
     x.add_argument("--since", type=dt.date.fromisoformat)
-    for name in ("match", "recompetes", "diagnose", "reset", "status"):
+    for name in ("ingest-extract", "notice-archive"):
+        x = sub.add_parser(name)
+        if name == "notice-archive":
+            x.add_argument("year", type=int)
+        x.add_argument("file", nargs="?")
+        x.add_argument("--since", type=dt.date.fromisoformat)
+        x.add_argument("--force", action="store_true")
+    for name in ("match", "recompetes", "diagnose", "reset", "status", "doctor", "version"):
         sub.add_parser(name)
     x = sub.add_parser("label-sheet")
     x.add_argument("out")
@@ -128,52 +64,94 @@ def main(argv: list[str] | None = None) -> int:
     x = sub.add_parser("import-labels")
     x.add_argument("sheet")
     x.add_argument("--labels", required=True)
-    sub.add_parser("eval").add_argument("--labels", required=True)
+    x = sub.add_parser("eval")
+    x.add_argument("--labels", required=True)
+    x.add_argument("--report")
+    x.add_argument("--target", type=float, default=0.9, help="the precision aimed at")
     x = sub.add_parser("review")
     x.add_argument("notice")
     x.add_argument("award")
     x.add_argument("decision", choices=("confirmed", "rejected"))
     x.add_argument("--reviewer", required=True)
     x.add_argument("--note")
-    a = p.parse_args(argv)
+    return p
+
+
+def _extract(run: control.Run, a: argparse.Namespace, vertical: tuple[str, ...], transport: remote.Transport) -> dict | None:
+    url = remote.ARCHIVE_EXTRACT_URL.format(a.year) if a.job == "notice-archive" else remote.DAILY_EXTRACT_URL
+    if a.file:
+        return jobs.load_extract(run, a.file, url, vertical, a.since, a.force)
+    work = run.archive / ".work"
+    work.mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(dir=work) as folder:
+        target = str(Path(folder) / "extract.csv")
+        remote.download(transport, url, target)
+        run.requests += 1
+        return jobs.load_extract(run, target, url, vertical, a.since, a.force)
+
+
+def _ingest(store: Store, a: argparse.Namespace, vertical: tuple[str, ...], archive: str, transport: remote.Transport) -> None:
+    kinds = {"ingest-awards": (jobs.AWARDS, "files"), "awards-backfill": (jobs.AWARDS, "backfill"), "awards-delta": (jobs.AWARDS, "delta"), "ingest-pages": (jobs.NOTICES, "pages")}
+    kinds |= {"ingest-notices": (jobs.NOTICES, "backfill" if getattr(a, "backfill", False) else "delta"), "ingest-extract": (jobs.NOTICES, "extract"), "notice-archive": (jobs.NOTICES, "archive")}
+    with control.running(store, *kinds[a.job], archive) as run:
+        if a.job == "ingest-awards":
+            print("{} rows, {} awards written".format(*jobs.load_award_paths(run, a.files, vertical)))
+        elif a.job == "ingest-pages":
+            print(jobs.load_page_folder(run, a.folder, vertical))
+        elif a.job in ("ingest-extract", "notice-archive"):
+            print(_extract(run, a, vertical, transport))
+        elif a.job == "ingest-notices":
+            key = os.environ.get("NOTICE_API_KEY", "")
+            job = jobs.NoticeJob(run, lambda *span: remote.search(transport, key, *span), vertical)
+            job.backfill(a.today, a.since) if a.backfill else job.delta(a.today)
+        else:
+            job = jobs.AwardJob(run, remote.Export(transport), vertical)
+            job.backfill(a.today, a.years) if a.job == "awards-backfill" else job.delta(a.today)
+
+
+def main(argv: list[str] | None = None, transport: remote.Transport = remote.over_http) -> int:
+    a = _parser().parse_args(argv)
+    if a.job == "version":
+        print(VERSION)
+        return 0
     cfg = load_matching_config(a.config) if a.config else MatchingConfig()
     vertical = vertical_naics(load_verticals(a.verticals) if a.verticals else None)
     spark = session.build()
     store = Store(spark, a.root)
-    if a.job == "ingest-awards":
-        load_awards(store, a.files, vertical)
-    elif a.job == "ingest-pages":
-        records = notices.page_records(notices.read_pages(spark, a.folder))
-        rows = notices.parse_notices(records)
-        print(fold_notices(store, rows.where(notices.N.in_vertical("naics", "naics_codes", vertical)).withColumn("description", F.lit(None).cast("string"))))
-    elif a.job == "ingest-extract":
-        raw = notices.extract_in_scope(notices.read_extract(spark, a.file), vertical, a.since)
-        rows = notices.parse_extract(raw).withColumn("seq", F.monotonically_increasing_id())
-        print(fold_notices(store, rows, versions.CSV_AUTHORITATIVE))
+    archive = a.archive or f"{a.root.removeprefix('file://')}/archive"
+    if a.job in ("ingest-awards", "awards-backfill", "awards-delta", "ingest-pages", "ingest-notices", "ingest-extract", "notice-archive"):
+        _ingest(store, a, vertical, archive, transport)
     elif a.job == "match":
-        print("written %d, deleted %d" % run_match(store, cfg, vertical, a.today))
+        with control.running(store, "matcher", "match", archive) as run:
+            print(jobs.run_match(store, cfg, vertical, a.today, run))
     elif a.job == "recompetes":
-        out = recompetes.recompetes(store.read("awards"), store.read("entities"), store.read("matches"), store.notices(), cfg, vertical, a.today)
-        out.write.mode("overwrite").parquet(f"{store.root}/recompetes")
+        with control.running(store, "matcher", "recompetes", archive) as run:
+            out = cut(recompetes.recompetes(store.read("awards"), store.read("entities"), store.read("matches"), store.notices(), cfg, vertical, a.today))
+            run.rows_written = out.count()
+            store.write("recompetes", out)
     elif a.job == "diagnose":
         print("\n".join(reports.diagnose(store.notices(), store.read("awards"), store.read("notice_descriptions"), store.read("matches"), store.read("chunks"), cfg, vertical, a.today)))
     elif a.job == "reset":
         store.write("matches", match.reset_automatic(store.read("matches")))
     elif a.job == "status":
         print("\n".join(reports.status({n: store.read(n) for n in TABLES}, store.read("runs"), store.read("chunks"), store.read("raw_files"))))
+    elif a.job == "doctor":
+        print("\n".join(jobs.doctor(store)))
     elif a.job == "label-sheet":
         write_label_sheet(store, a.out, a.size, a.seed)
     elif a.job == "import-labels":
         found = spark.createDataFrame(files.read_answers(a.sheet, "sheet", a.today), schemas.table(schemas.LABEL_DDL))
-        old = files.load_labels(spark, a.labels).cache()
-        old.count()
-        from bidweave.operators.rows import union_override
-
-        files.save_labels(union_override(found, old, ["notice_id"]).cache(), a.labels)
+        after = cut(union_override(found, files.load_labels(spark, a.labels), ["notice_id"]))  # read before the file is written anew
+        files.save_labels(after, a.labels)
+        print("; ".join(f"{r['answer']} {r['count']}" for r in reports.answer_counts(found).orderBy("answer").collect()))
     elif a.job == "eval":
-        labels = reports.effective_labels(files.load_labels(spark, a.labels), store.read("reviews"))
-        c = reports.stored_candidates(store.read("matches"))
-        print(reports.render(reports.scorecards(labels, c, cfg, reports.thresholds(c)), reports.explicit_check(c, cfg), cfg, a.today))
+        labels = cut(reports.effective_labels(files.load_labels(spark, a.labels), store.read("reviews")))
+        matches = store.read("matches")
+        c = cut(reports.stored_candidates(matches, labels))
+        text = reports.render(reports.scorecards(labels, c, cfg, reports.thresholds(c)), reports.explicit_check(reports.stored_candidates(matches), cfg), cfg, a.today, a.target)
+        if a.report:
+            Path(a.report).write_text(text, encoding="utf-8")
+        print(text)
     elif a.job == "review":
         after, log = reports.record_review(store.read("matches"), store.read("reviews"), a.notice, a.award, a.decision, a.reviewer, dt.datetime.now(), a.note)
         store.write("reviews", log)
@@ -190,16 +168,14 @@ def write_label_sheet(store: Store, out: str, size: int, seed: str) -> None:
     by: dict[str, list] = {}
     for r in reports.sheet_candidates(chosen, m, store.read("awards")).orderBy("notice_id", "at").collect():
         by.setdefault(r["notice_id"], []).append(r)
-    fields = ("award_key", "piid", "recipient_name", "value", "ends", "awarding_office_name", "description", "reasons", "usaspending_url")
-    columns = ["notice_id", "link", "title", "agency", "deadline", "solicitation_number"]
-    columns += [f"c{i}_{f}" for i in range(1, reports.PER_NOTICE + 1) for f in fields] + ["answer", "notes"]
+    fields = dict(zip(files.CANDIDATE_COLUMNS, ("piid", "recipient_name", "value", "ends", "awarding_office_name", "description", "reasons", "usaspending_url", "award_key"), strict=True))
     rows = []
     for r in n.join(chosen, "notice_id").collect():
-        row = {"notice_id": r["notice_id"], "link": r["ui_link"], "title": r["title"], "agency": r["full_parent_path_name"], "deadline": r["response_deadline"], "solicitation_number": r["solicitation_number"]}
+        row = {"notice_id": r["notice_id"], "sam_link": r["ui_link"], "title": r["title"], "agency": r["full_parent_path_name"], "deadline": r["response_deadline"], "solicitation_number": r["solicitation_number"]}
         for i, c in enumerate(reports.shuffled(by.get(r["notice_id"], []), seed, r["notice_id"]), start=1):
-            row |= {f"c{i}_{f}": "; ".join(c[f] or []) if f == "reasons" else c[f] for f in fields}
+            row |= {f"c{i}_{k}": "; ".join(c[f] or []) if k == "why" else c[f] for k, f in fields.items()}
         rows.append(row)
-    files.write_sheet(rows, columns, out)
+    files.write_sheet(rows, files.sheet_columns(reports.PER_NOTICE), out)
 
 
 if __name__ == "__main__":

@@ -145,9 +145,41 @@ def collapse_spaces(c: Column | str) -> Column:
     return strip(F.regexp_replace(_col(c), rf"{SPACE}+", " "))
 
 
+# Texts for people; null or unusable values are "Not stated", a score's a dash.
+
+
+def usd(c: Column | str) -> Column:
+    """An amount as whole dollars with separators, a half away from zero."""
+    amount = blank_to_null(_col(c).cast("string")).try_cast("decimal(38,4)")
+    whole = F.format_number(F.round(F.abs(amount), 0), 0)
+    return F.when(amount.isNull(), "Not stated").otherwise(F.concat(F.when(amount < 0, "-$").otherwise("$"), whole))
+
+
+def long_date(c: Column | str) -> Column:
+    """A UTC day such as Oct 6, 2026."""
+    return F.coalesce(F.date_format(_col(c), "MMM d, yyyy"), F.lit("Not stated"))
+
+
+def percent(c: Column | str) -> Column:
+    """A share as a whole percentage, a half up."""
+    share = blank_to_null(_col(c).cast("string")).try_cast("double")
+    return F.when(share.isNull() | F.isnan(share), "–").otherwise(F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%")))
+
+
+def numeric_id(c: Column | str) -> Column:
+    """An id of 1 to 18 digits and nothing else; null otherwise."""
+    text = _col(c)
+    return F.when(text.rlike(r"\A[0-9]{1,18}\z"), text)
+
+
 # Windows of days that jobs walk through.
 
 
+def api_date(day: date) -> str:
+    """A day as the notice search wants it."""
+    return f"{day.month:02}/{day.day:02}/{day.year:04}"
+
+
 def years_ago(day: date, years: int) -> date:
     """The same day years before; 29 February becomes the 28th."""
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidweave.functions.normalize import _col, normalize_contract_id
@@ -17,34 +17,61 @@ STOPWORDS = (
 UNITS = {"billion": 1e9, "bn": 1e9, "b": 1e9, "million": 1e6, "mm": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3}
 LEAST_AMOUNT = 10_000.0
 _AMOUNT = r"\$\s?(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*((?i:billion|million|thousand|bn|mm|[bmk]))?\b"
-_ID_RUN = r"[A-Z0-9]+(?:-[A-Z0-9]+)*"
+#: Runs of capitals and digits, single dashes between them, that are long enough for a number; shorter ones never match.
+_ID_RUN = r"[A-Z0-9](?:-?[A-Z0-9]){7,}"
+#: A whole run of letters and digits, of two or more, with a letter.
+_TOKEN = r"(?<![a-z0-9])(?=[0-9]*[a-z])[a-z0-9]{2,}"
+
+
+def _folded(c: Column | str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(_TOKEN), F.lit(0))
 
 
 def tokens(c: Column | str) -> Column:
     """Folded words of two characters or more with a letter that aren't stopwords."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$") & ~w.isin(*STOPWORDS))
+    return F.filter(_folded(c), lambda w: ~w.isin(*STOPWORDS))
+
+
+def words(docs: DataFrame, keys: list[str], text: str, once: bool = False) -> DataFrame:
+    """``tokens`` in long form: keys, word; each word once a row with ``once``. Stopwords go outside of lambdas, in generated code."""
+    every = F.array_distinct(_folded(text)) if once else _folded(text)
+    return docs.select(*keys, F.explode(every).alias("word")).where(~F.col("word").isin(*STOPWORDS))
+
+
+def term_counts(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, word, tf."""
+    return words(docs, keys, text).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(word, df) and one row (n); documents without text count in n."""
-    words = docs.select(F.explode(F.array_distinct(tokens(text))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    return words, docs.agg(F.count("*").alias("n"))
+    df = words(docs, [], text, once=True).groupBy("word").agg(F.count("*").alias("df"))
+    return df, docs.agg(F.count("*").alias("n"))
+
+
+def frequency_of_counts(tf: DataFrame) -> DataFrame:
+    """(word, df) from the term counts of a corpus."""
+    return tf.groupBy("word").agg(F.count("*").alias("df"))
 
 
 def term_weights(docs: DataFrame, keys: list[str], text: str, df: DataFrame, n: DataFrame) -> DataFrame:
-    """Sparse unit vectors in long form: keys, word, w = (1 + ln tf)(ln((1 + n) / (1 + df)) + 1) / norm.
+    """``weights`` of texts."""
+    return weights(term_counts(docs, keys, text), keys, df, n)
+
+
+def weights(tf: DataFrame, keys: list[str], df: DataFrame, n: DataFrame) -> DataFrame:
+    """Sparse unit vectors in long form: keys, word, norm, w = (1 + ln tf)(ln((1 + n) / (1 + df)) + 1) / norm.
 
     ``n`` is one row, so its broadcast has a fixed size; words unseen in the corpus have a df of 0.
     """
-    tf = docs.select(*keys, F.explode(tokens(text)).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
     raw = (
         tf.join(df, "word", "left")
         .crossJoin(F.broadcast(n))
         .select(*keys, "word", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1)).alias("raw"))
     )
-    norms = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, keys).select(*keys, "word", (F.col("raw") / F.col("norm")).alias("w"))
+    # A window needs the rows of a text together once; a join would compute and move them twice.
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
+    return raw.withColumn("norm", norm).select(*keys, "word", "norm", (F.col("raw") / F.col("norm")).alias("w"))
 
 
 def shared_terms(products: Column, words: Column, limit: int = 3) -> Column:
@@ -58,31 +85,26 @@ def looks_like_contract_number(c: Column | str) -> Column:
     return c.rlike("^[A-Z0-9]{8,20}$") & c.rlike("[A-Z]") & c.rlike("([0-9][^0-9]*){4}")
 
 
-def citations(text: Column | str, own: Column | str) -> Column:
-    """Contract numbers that a text cites: structs of piid_norm, raw and at (from 1), each number once.
+def cited_numbers(df: DataFrame, text: str, own: str) -> DataFrame:
+    """The rows of ``df``, once for each contract number that ``text`` cites, with c: piid_norm, raw and at (from 1).
 
-    The notice's own solicitation number does not count. Places are those of a run's first whole occurrence.
+    A number counts once, as it is first written; the notice's ``own`` solicitation number does not count. Places are
+    those of a run's first whole occurrence. Text is folded and searched once a row; what is worked out from each run
+    follows the explode, in generated code.
     """
-    text = _col(text)
     upper = F.upper(text)
     runs = F.array_distinct(F.regexp_extract_all(upper, F.lit(_ID_RUN), F.lit(0)))
-    found = F.transform(runs, lambda r: F.struct(normalize_contract_id(r).alias("piid_norm"), r.alias("run")))
-    own_norm = normalize_contract_id(own)
-    found = F.filter(found, lambda x: looks_like_contract_number(x["piid_norm"]) & (own_norm.isNull() | (x["piid_norm"] != own_norm)))
-    kind = "array<struct<piid_norm: string, run: string>>"
-    # A fold looks at each run once; comparing positions would work the whole list out again for every run.
-    first = F.aggregate(
-        found, F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: y["piid_norm"] == x["piid_norm"]), acc).otherwise(F.concat(acc, F.array(x)))
-    )
+    # The explodes keep the optimizer from working the list of runs out again for every one of them.
+    found = df.select(*df.columns, normalize_contract_id(own).alias("_own"), F.explode(F.array(runs)).alias("_runs")).where(F.size("_runs") > 0)
+    found = found.select(*df.columns, "_own", "_runs", F.posexplode("_runs").alias("_k", "_run"))
+    found = found.withColumn("_norm", F.replace(F.col("_run"), F.lit("-"), F.lit("")))
+    first = F.array_position(F.transform("_runs", lambda r: F.replace(r, F.lit("-"), F.lit(""))), F.col("_norm")) == F.col("_k") + 1
+    found = found.where(looks_like_contract_number("_norm") & (F.col("_own").isNull() | (F.col("_norm") != F.col("_own"))) & first)
+    # The run between characters that can't belong to one; of a run within a longer one the first place counts.
     bounded = F.concat(F.lit(" "), F.regexp_replace(upper, r"[^A-Z0-9-]", " "), F.lit(" "))
-
-    def placed(x: Column) -> Column:
-        # The run between characters that can't belong to one; of a run within a longer one the first place counts.
-        whole = F.instr(bounded, F.concat(F.lit(" "), x["run"], F.lit(" ")))
-        at = F.when(whole > 0, whole).otherwise(F.instr(upper, x["run"]))
-        return F.struct(x["piid_norm"].alias("piid_norm"), F.substring(text, at, F.length(x["run"])).alias("raw"), at.cast("int").alias("at"))
-
-    return F.transform(first, placed)
+    whole = F.instr(bounded, F.concat(F.lit(" "), F.col("_run"), F.lit(" ")))
+    at = F.when(whole > 0, whole).otherwise(F.instr(upper, F.col("_run"))).cast("int")
+    return found.select(*df.columns, F.struct(F.col("_norm").alias("piid_norm"), F.substring(text, at, F.length("_run")).alias("raw"), at.alias("at")).alias("c"))
 
 
 def context_words(text: Column | str, at: Column, length: Column, words: tuple[str, ...], chars: int) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,30 +86,44 @@ def replace_automatic(stored: DataFrame, rows: DataFrame, keys: Sequence[str], s
 
 
 class VersionedTable:
-    """A directory of snapshots ``v=<n>`` with a pointer to the current one.
+    """A directory of snapshots ``v=<n>``; the file ``committed/<n>`` says that one is whole.
 
-    A new snapshot is written whole, then the pointer moves, so readers see the old or the new table. Files go
-    through Spark's file systems, so the directory may be in any store they reach.
+    A snapshot is written first; its file is written aside and renamed to a name that isn't there, so readers see it
+    whole or not at all, and see the old table or the new one. Old snapshots stay for ``grace`` seconds after newer
+    ones, for readers that have begun. The file also holds tags, such as the last batch that the table has taken in.
+    Files go through Spark's file systems, so the directory may be in any store they reach. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _pointer(self):
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+    def _place(self, name: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _committed(self) -> dict[int, int]:
+        """When each snapshot was committed, in milliseconds."""
+        place, fs = self._place("committed")
+        if not fs.exists(place):
+            return {}
+        return {int(f.getPath().getName()): f.getModificationTime() for f in fs.listStatus(place) if f.getPath().getName().isdigit()}
+
     def version(self) -> int:
         """The current version, 0 before the first write."""
-        place, fs = self._pointer()
-        if not fs.exists(place):
-            return 0
+        return max(self._committed(), default=0)
+
+    def tags(self) -> dict[str, str]:
+        """What the current version was tagged with; tags carry over to the next."""
+        n = self.version()
+        if not n:
+            return {}
+        place, fs = self._place(f"committed/{n}")
         source = fs.open(place)
         text = bytearray()
         while (b := source.read()) >= 0:
             text.append(b)
         source.close()
-        return int(text.decode())
+        return json.loads(text.decode())
 
     def read(self) -> DataFrame:
         n = self.version()
@@ -115,15 +131,23 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={n}")
 
-    def write(self, df: DataFrame, keep: int = 2) -> int:
-        """Write the next snapshot, move the pointer, and delete those older than the last ``keep``."""
-        n = self.version() + 1
+    def write(self, df: DataFrame, keep: int = 2, grace: float = 24 * 3600, tags: Mapping[str, str] | None = None) -> int:
+        """Write and commit the next snapshot, and delete those that are neither of the last ``keep`` nor within ``grace``."""
+        before = self._committed()
+        carried = self.tags() | dict(tags or {})
+        n = max(before, default=0) + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v={n}")
-        place, fs = self._pointer()
-        out = fs.create(place, True)
-        out.write(bytearray(str(n).encode()))
+        aside, fs = self._place(f"committed/_{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps(carried).encode()))
         out.close()
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for old in range(1, n - keep + 1):
-            fs.delete(path(f"{self.path}/v={old}"), True)
+        if not fs.rename(aside, self._place(f"committed/{n}")[0]):
+            fs.delete(aside, False)
+            raise RuntimeError(f"another writer has committed version {n} of {self.path}")
+        whole = self._committed()
+        for old in sorted(whole):
+            follower = whole.get(old + 1)
+            if old <= n - keep and follower is not None and whole[n] - follower >= 1000 * grace:
+                fs.delete(self._place(f"committed/{old}")[0], False)
+                fs.delete(self._place(f"v={old}")[0], True)
         return n

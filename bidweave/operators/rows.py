@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -11,10 +12,19 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the checkpoint folder that all executors share, so that later uses don't start over."""
-    context = df.sparkSession.sparkContext
+    """Computed once and kept in the checkpoint folder that all executors share, so that later uses don't start over.
+
+    The folder is ``spark.checkpoint.dir``; where that is unset, a local master gets one of its own, and a cluster an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "bidweave-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "bidweave-checkpoints")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -76,14 +76,48 @@ def award_facts(awards: DataFrame) -> DataFrame:
     )
 
 
-def candidates(notices: DataFrame, awards: DataFrame, cfg: MatchingConfig, exclude: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Excluded:
+    """Pairs that can't be: a notice's own resulting awards, and awards that another, already awarded notice replaced.
+
+    ``gone`` names the latter by award, whatever its agency, so that they meet candidate pairs only. An award that no
+    notice but ``by`` has (``times`` is 1) stays free to that one.
+    """
+
+    own: DataFrame  # notice_id, award_key
+    gone: DataFrame  # award_key, times, by
+
+    def without(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that may be."""
+        gone = self.gone.select("award_key", F.col("times").alias("_times"), F.col("by").alias("_by"))
+        kept = pairs.join(self.own, ["notice_id", "award_key"], "left_anti").join(gone, "award_key", "left")
+        free = F.col("_times").isNull() | ((F.col("_times") == 1) & (F.col("_by") == F.col("notice_id")))
+        return kept.where(free).select(*pairs.columns)
+
+
+def excluded_awards(previous: DataFrame) -> Excluded:
+    """What a finished snapshot of all matches excludes."""
+    resulting = previous.where((F.col("kind") == "resulting_award") & (F.col("status") != "rejected"))
+    shown = (F.col("status") == "confirmed") | ((F.col("status") == "auto") & (F.col("shown") == "incumbent"))
+    gone = previous.where((F.col("kind") == "incumbent") & shown).join(resulting.select("notice_id").distinct(), "notice_id", "left_semi")
+    gone = gone.groupBy("award_key").agg(F.count_distinct("notice_id").alias("times"), F.min("notice_id").alias("by"))
+    return Excluded(resulting.select("notice_id", "award_key").distinct(), gone)
+
+
+def _month(day: Column) -> Column:
+    return (F.year(day) * 12 + F.month(day)).cast("int")
+
+
+def candidates(notices: DataFrame, awards: DataFrame, cfg: MatchingConfig, exclude: Excluded) -> DataFrame:
     """(notice_id, award_key): same sub-tier, same office or a related code, ending in the window; the nearest 200.
 
-    Awards that can't be anyone's candidate go before the join, and both sides carry key columns only.
+    Awards that can't be anyone's candidate go before the join, and both sides carry key columns only. The join is on
+    sub-tier and month of the end date, so a large agency is spread over months; days at the window's edges and
+    relatedness are conditions besides.
     """
     c = cfg.candidates
     able = awards.where(F.col("a_type").isin(*c.award_types) & (F.coalesce("a_value", F.lit(0.0)) >= c.min_total_value) & F.col("a_end").isNotNull()).select(
-        "award_key", "a_subtier", "a_office", "a_end", F.substring("a_naics", 1, 4).alias("a_naics4"), F.substring("a_psc", 1, 2).alias("a_psc2")
+        "award_key", "a_subtier", "a_office", "a_end", _month(F.col("a_end")).alias("a_month"), F.substring("a_naics", 1, 4).alias("a_naics4"), F.substring("a_psc", 1, 2).alias("a_psc2")
     )
     seeking = notices.where(F.col("n_subtier").isNotNull()).select(
         "notice_id",
@@ -95,15 +129,16 @@ def candidates(notices: DataFrame, awards: DataFrame, cfg: MatchingConfig, exclu
         X.window_low(F.col("n_reference"), c).alias("low"),
         X.window_high(F.col("n_reference"), c).alias("high"),
     )
+    seeking = seeking.withColumn("n_month", F.explode(F.sequence(_month(F.col("low")), _month(F.col("high")))))
     related = (
         F.coalesce(F.col("a_office") == F.col("n_office"), F.lit(False))
         | F.coalesce(F.array_contains("n_naics4", F.col("a_naics4")), F.lit(False))
         | F.coalesce(F.col("a_psc2") == F.col("n_psc2"), F.lit(False))
     )
-    pairs = seeking.join(able, (F.col("n_subtier") == F.col("a_subtier")) & F.col("a_end").between(F.col("low"), F.col("high")) & related)
+    same_bucket = (F.col("n_subtier") == F.col("a_subtier")) & (F.col("n_month") == F.col("a_month"))
+    pairs = seeking.join(able, same_bucket & F.col("a_end").between(F.col("low"), F.col("high")) & related)
     pairs = pairs.select("notice_id", "award_key", F.col("a_office").eqNullSafe(F.col("n_office")).alias("same"), F.abs(F.datediff("a_end", "n_reference")).alias("distance"))
-    pairs = pairs.join(exclude, ["notice_id", "award_key"], "left_anti")
-    return top_n(pairs, ["notice_id"], [F.col("same").desc(), F.col("distance"), F.col("award_key")], c.max_per_notice).select("notice_id", "award_key")
+    return top_n(exclude.without(pairs), ["notice_id"], [F.col("same").desc(), F.col("distance"), F.col("award_key")], c.max_per_notice).select("notice_id", "award_key")
 
 
 @dataclass(frozen=True)
@@ -114,22 +149,23 @@ class Cited:
     vehicles: DataFrame  # notice_id, vehicles
 
 
-def cited_awards(notices: DataFrame, awards: DataFrame, cfg: MatchingConfig, exclude: DataFrame) -> Cited:
+def cited_awards(notices: DataFrame, awards: DataFrame, cfg: MatchingConfig, exclude: Excluded) -> Cited:
     """Awards whose numbers stand in the notice's text.
 
     Vehicles, and other agencies' IDVs, tell what the work is ordered under; an award of the same agency (null
-    is the same as null) is an explicit reference; any other is left out.
+    is the same as null) is an explicit reference; any other is left out, and so is any excluded one.
     """
     ref = cfg.explicit_reference
-    found = notices.select("notice_id", "n_subtier", "n_text", F.explode(T.citations("n_text", "n_solicitation")).alias("c"))
+    # The words around a citation are looked up before the join: notices' texts go no further.
+    found = T.cited_numbers(notices.select("notice_id", "n_subtier", "n_text", "n_solicitation"), "n_text", "n_solicitation")
+    context = T.context_words("n_text", F.col("c.at"), F.length("c.raw"), ref.context_words, ref.context_chars)
+    found = found.select("notice_id", "n_subtier", F.col("c.piid_norm").alias("a_piid_norm"), F.col("c.raw").alias("cited_as"), context.alias("context"))
     keyed = awards.where(F.col("a_piid_norm").isNotNull()).select("award_key", "a_piid_norm", "a_type", "a_subtier")
-    hits = found.select("notice_id", "n_subtier", "n_text", "c", F.col("c.piid_norm").alias("a_piid_norm")).join(keyed, "a_piid_norm")
-    hits = cut(hits.join(exclude, ["notice_id", "award_key"], "left_anti"))
+    hits = cut(exclude.without(found.join(keyed, "a_piid_norm")))
     same = F.col("n_subtier").eqNullSafe(F.col("a_subtier"))
     kind = F.coalesce("a_type", F.lit(""))
     vehicle = kind.isin(*cfg.candidates.vehicle_award_types) | (kind.startswith("IDV") & ~same)
-    context = T.context_words("n_text", F.col("c.at"), F.length("c.raw"), ref.context_words, ref.context_chars)
-    explicit = hits.where(~vehicle & same).select("notice_id", "award_key", F.col("c.raw").alias("cited_as"), context.alias("context"))
+    explicit = hits.where(~vehicle & same).select("notice_id", "award_key", "cited_as", "context")
     vehicles = hits.where(vehicle).groupBy("notice_id").agg(F.array_sort(F.collect_set("a_piid_norm")).alias("vehicles"))
     return Cited(explicit, vehicles)
 
@@ -227,8 +263,8 @@ def match(notices: DataFrame, awards: DataFrame, descriptions: DataFrame, previo
     """
     facts = cut(notice_facts(notices, descriptions, cfg, vertical, today))
     known = award_facts(awards)
-    marked = previous.join(known.select("award_key", "a_subtier"), "award_key", "left")
-    exclude = cut(excluded_pairs(facts, marked))
+    exclude = excluded_awards(previous)
+    exclude = Excluded(cut(exclude.own), cut(exclude.gone))
     near = candidates(facts, known, cfg, exclude)
     cited = cited_awards(facts, known, cfg, exclude)
     pairs = cut(near.unionByName(cited.explicit.select("notice_id", "award_key")).distinct())
@@ -266,24 +302,6 @@ def match(notices: DataFrame, awards: DataFrame, descriptions: DataFrame, previo
     )
 
 
-def excluded_pairs(facts: DataFrame, previous: DataFrame) -> DataFrame:
-    """Pairs that can't be: a notice's own resulting awards, and awards another, already awarded notice replaced.
-
-    ``previous`` has the awards' sub-tier as ``a_subtier``.
-    """
-    resulting = previous.where((F.col("kind") == "resulting_award") & (F.col("status") != "rejected"))
-    own = resulting.select("notice_id", "award_key")
-    shown = (F.col("status") == "confirmed") | ((F.col("status") == "auto") & (F.col("shown") == "incumbent"))
-    gone = previous.where((F.col("kind") == "incumbent") & shown).join(resulting.select("notice_id").distinct(), "notice_id", "left_semi")
-    gone = gone.groupBy("award_key", "a_subtier").agg(F.count_distinct("notice_id").alias("times"), F.min("notice_id").alias("by"))
-    ids = facts.select("notice_id", "n_subtier")
-    free = (F.col("times") == 1) & (F.col("by") == F.col("notice_id"))
-    # Candidates and explicit references are of the notice's own sub-tier; vehicles are not, so null-safe equality
-    # covers the former and vehicles of other agencies stay citable.
-    others = ids.join(gone, F.col("n_subtier").eqNullSafe(F.col("a_subtier"))).where(~free).select("notice_id", "award_key")
-    return own.unionByName(others).distinct()
-
-
 def save(stored: DataFrame, facts: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The match table after a run, and the counts written and deleted: stale automatic rows of these notices go."""
     scope = facts.select("notice_id").distinct().withColumn("kind", F.lit("incumbent"))

@@ -33,6 +33,7 @@ AWARD_CSV_COLUMNS = (
     "period_of_performance_potential_end_date", "ordering_period_end_date", "award_base_action_date",
     "award_latest_action_date", "prime_award_base_transaction_description", "last_modified_date", "usaspending_permalink",
 )
+#: Certification flags of an award file, and its column of the recipient's size.
 BUSINESS_FLAGS = (
     "c8a_program_participant", "sba_certified_8a_joint_venture", "historically_underutilized_business_zone_hubzone_firm",
     "service_disabled_veteran_owned_business", "veteran_owned_business", "women_owned_small_business",
@@ -46,7 +47,7 @@ PLACE = "struct<streetAddress: string, city: struct<code: string, name: string>,
 CONTACT = "struct<type: string, title: string, fullName: string, email: string, phone: string, fax: string>"
 AWARD_NOTE = "struct<number: string, date: string, amount: string, awardee: struct<name: string, ueiSAM: string>>"
 
-#: The fields of a notice's snapshot, in order.
+#: The fields of a notice's snapshot, in order, and the columns of the other tables.
 NOTICE_DDL = f"""
     notice_id string, solicitation_number string, title string, type string, base_type string, posted_at timestamp,
     response_deadline timestamp, response_deadline_has_time boolean, naics string, naics_codes array<string>, psc string,
@@ -72,8 +73,14 @@ MATCH_DDL = """
 """
 REVIEW_DDL = "notice_id string, award_key string, decision string, reviewer string, note string, created_at timestamp, id long"
 LABEL_DDL = "notice_id string, award_key string, answer string, source string, labeled_at date, notes string"
-RUN_DDL = "id long, source string, job string, status string, params map<string, string>, started_at timestamp, finished_at timestamp, error string, requests long"
+RUN_DDL = "id long, source string, job string, status string, params map<string, string>, started_at timestamp, finished_at timestamp, error string, requests long, rows_in long, rows_written long"
 CHUNK_DDL = "source string, chunk_key string, status string, state map<string, string>, rows_in long, rows_out long, updated_at timestamp"
+RECOMPETE_DDL = """
+    award_key string, piid string, award_type_code string, recipient_uei string, recipient_name string, awarding_agency_code string,
+    awarding_agency_name string, awarding_sub_agency_code string, awarding_sub_agency_name string, awarding_office_code string,
+    awarding_office_name string, naics string, psc string, set_aside_code string, set_aside string, number_of_offers int,
+    total_value decimal(24,4), obligated_total decimal(24,4), ultimate_end date, linked_notice_id string
+"""
 RAW_FILE_DDL = "path string, source string, sha256 string, bytes long, fetched_at timestamp, request_params map<string, string>, run_id long"
 
 

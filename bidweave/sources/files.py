@@ -8,6 +8,7 @@ import hashlib
 import io
 import os
 import re
+import shutil
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import UTC, date, datetime
 from pathlib import Path
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from bidweave import schemas
 
-ANSWERS = ("incumbent", "other", "none", "unsure")
 _SECRET = re.compile(r"(?i)(api[_-]?key|token|password|secret|authorization)")
 
 
@@ -37,16 +37,46 @@ def redact_text(text: str, secrets: Iterable[str] = ()) -> str:
     return redact_url(text)
 
 
-def archive_bytes(root: str, source: str, content: bytes, suffix: str, now: datetime, params: Mapping[str, object] | None = None) -> dict:
-    """Store raw bytes once, under their time and hash, by an atomic rename; returns the file's metadata row."""
-    digest = hashlib.sha256(content).hexdigest()
+def _archived_path(root: str, source: str, digest: str, suffix: str, now: datetime) -> Path:
     now = now.astimezone(UTC)
     path = Path(root) / source / now.strftime("%Y/%m/%d") / f"{now:%H%M%S%f}_{digest[:12]}{suffix}"
     path.parent.mkdir(parents=True, exist_ok=True)
+    return path
+
+
+def _metadata(root: str, path: Path, source: str, digest: str, size: int, now: datetime, params: Mapping[str, object] | None, run_id: int | None) -> dict:
+    relative = str(path.relative_to(root))
+    return {"path": relative, "source": source, "sha256": digest, "bytes": size, "fetched_at": now.astimezone(UTC), "request_params": redact_params(params or {}), "run_id": run_id}
+
+
+def archive_bytes(root: str, source: str, content: bytes, suffix: str, now: datetime, params: Mapping[str, object] | None = None, run_id: int | None = None) -> dict:
+    """Store raw bytes once, under their time and hash, by an atomic rename; returns the file's metadata row."""
+    digest = hashlib.sha256(content).hexdigest()
+    path = _archived_path(root, source, digest, suffix, now)
     part = path.with_name(path.name + ".part")
     part.write_bytes(content)
     os.replace(part, path)
-    return {"path": str(path.relative_to(root)), "source": source, "sha256": digest, "bytes": len(content), "fetched_at": now, "request_params": redact_params(params or {}), "run_id": None}
+    return _metadata(root, path, source, digest, len(content), now, params, run_id)
+
+
+def hash_file(path: str) -> tuple[str, int]:
+    """A file's SHA-256 and size, a megabyte at a time."""
+    digest, size = hashlib.sha256(), 0
+    with open(path, "rb") as lines:
+        while block := lines.read(1 << 20):
+            digest.update(block)
+            size += len(block)
+    return digest.hexdigest(), size
+
+
+def archive_file(root: str, source: str, path: str, suffix: str, now: datetime, params: Mapping[str, object] | None = None, run_id: int | None = None) -> dict:
+    """Move a downloaded file into the archive; returns its metadata row."""
+    digest, size = hash_file(path)
+    target = _archived_path(root, source, digest, suffix, now)
+    part = target.with_name(target.name + ".part")
+    shutil.move(path, part)  # may cross file systems; the rename that shows it does not
+    os.replace(part, target)
+    return _metadata(root, target, source, digest, size, now, params, run_id)
 
 
 def read_archived(root: str, path: str) -> bytes:
@@ -55,10 +85,11 @@ def read_archived(root: str, path: str) -> bytes:
     return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
 
 
-def already_loaded(raw_files: DataFrame, runs: DataFrame, sha256: str) -> bool:
-    """Whether a succeeded run has loaded a file of this hash."""
+def already_loaded(raw_files: DataFrame, runs: DataFrame, source: str, url: str, sha256: str) -> bool:
+    """Whether a succeeded run has loaded the file that this place had, by the hash of the whole file."""
     done = runs.where(F.col("status") == "succeeded").select(F.col("id").alias("run_id"))
-    return bool(raw_files.where(F.col("sha256") == sha256).join(done, "run_id", "left_semi").take(1))
+    same = (F.col("source") == source) & (F.col("request_params")["url"] == url) & (F.col("request_params")["file_sha256"] == sha256)
+    return bool(raw_files.where(same).join(done, "run_id", "left_semi").take(1))
 
 
 def quoted_csv(header: Sequence[str], rows: Iterable[Sequence[str]]) -> bytes:
@@ -83,29 +114,38 @@ def write_sheet(rows: Sequence[Mapping[str, object]], columns: Sequence[str], pa
         writer.writerows({k: "" if r.get(k) is None else r[k] for k in columns} for r in rows)
 
 
-def read_answers(path: str, source: str, today: date, candidates: int = 5) -> list[dict]:
-    """Labels from a filled sheet: c1 to c5 name the incumbent, or other, none, unsure; blank rows are left out.
+#: Columns of a labelling sheet, those of each candidate, and what answers mean.
+SHEET_COLUMNS = ("notice_id", "sam_link", "title", "agency", "deadline", "solicitation_number")
+CANDIDATE_COLUMNS = ("contract", "company", "value", "ends", "office", "description", "why", "link", "id")
+CHOICES = {"none": "none", "other": "other", "unsure": "unsure", "": "unsure"}
+
+
+def sheet_columns(candidates: int = 5) -> list[str]:
+    """All columns of a labelling sheet, in order."""
+    own = [f"c{i}_{name}" for i in range(1, candidates + 1) for name in CANDIDATE_COLUMNS]
+    return [*SHEET_COLUMNS, *own, "answer", "notes"]
+
+
+def read_answers(path: str, source: str, today: date) -> list[dict]:
+    """Labels from a filled sheet: a candidate's number names the incumbent; else other, none, unsure (or nothing).
 
-    All problems are collected and raised at once.
+    Rows without notice_id are passed over. All problems are collected and raised at once.
     """
     problems, found = [], []
     with open(path, encoding="utf-8-sig", newline="") as lines:
         for n, row in enumerate(csv.DictReader(lines), start=2):
-            answer = (row.get("answer") or "").strip().lower()
-            if not answer:
+            cell = {k: (row.get(k) or "").strip() for k in ("notice_id", "answer", "notes")}
+            said = cell["answer"].lower()
+            if not cell["notice_id"]:
                 continue
-            award = None
-            choice = re.fullmatch(rf"c?([1-{candidates}])", answer)
-            if choice:
-                award = (row.get(f"c{choice[1]}_award_key") or "").strip() or None
-                answer = "incumbent"
-                if award is None:
-                    problems.append(f"line {n}: candidate {choice[1]} is empty")
-            elif answer not in ANSWERS or answer == "incumbent":
-                problems.append(f"line {n}: unknown answer {answer!r}")
-            if not (row.get("notice_id") or "").strip():
-                problems.append(f"line {n}: no notice_id")
-            found.append({"notice_id": (row.get("notice_id") or "").strip(), "award_key": award, "answer": answer, "source": source, "labeled_at": today, "notes": (row.get("notes") or "").strip() or None})
+            award = (row.get(f"c{said}_id") or "").strip() if said.isdigit() else None
+            if said.isdigit() and not award:
+                problems.append(f"line {n}: candidate {said} is empty")
+            elif award is None and said not in CHOICES:
+                problems.append(f"line {n}: unknown answer {said!r}")
+            else:
+                answer = "incumbent" if award else CHOICES[said]
+                found.append({"notice_id": cell["notice_id"], "award_key": award or None, "answer": answer, "source": source, "labeled_at": today, "notes": cell["notes"] or None})
     if problems:
         raise ValueError("; ".join(problems))
     return found

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidweave.functions.normalize import quarters
 from bidweave.operators.merge import VersionedTable
-from bidweave.operators.versions import fold
-from bidweave.sources.awards import WANTED, upsert_awards, upsert_entities
+from bidweave.operators.rows import cut
+from bidweave.operators.versions import Folded, fold
+from bidweave.sources.awards import NotAnAwardFileError, read_award_csv, upsert_awards, upsert_entities
 
 
 def _run(stream: DataFrame, batch, checkpoint: str) -> None:
@@ -20,37 +22,48 @@ def _run(stream: DataFrame, batch, checkpoint: str) -> None:
 def replay_awards(spark: SparkSession, folder: str, awards: VersionedTable, checkpoint: str, entities: VersionedTable | None = None, files_per_batch: int = 64) -> None:
     """Merge every award file of a folder that hasn't been seen; older records never replace newer ones.
 
-    A batch that is run again after a failure merges the same rows into a table that has them, which writes
-    nothing new. Files need the full header; columns go by name order of the file source's schema.
+    The stream hands on the names of new files, a bounded number a batch; each file is then read by its own header,
+    so columns may stand in any order, and any others beside the wanted ones; fields may span lines. Files without
+    the key column are passed over. A batch that is run again after a failure merges the same rows into a table that
+    has them, which writes nothing new.
     """
-    schema = ", ".join(f"`{c}` string" for c in WANTED)
-    stream = spark.readStream.schema(schema).options(header=True, quote='"', escape='"', maxFilesPerTrigger=files_per_batch, enforceSchema=False).csv(folder)
+    stream = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.csv").load(folder).select("path")
 
     def merge(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        awards.write(upsert_awards(awards.read(), batch).result())
-        if entities is not None:
-            entities.write(upsert_entities(entities.read(), batch).result())
-        batch.unpersist()
+        raw = None
+        for r in batch.orderBy("path").collect():
+            try:
+                one = read_award_csv(spark, r["path"])[0]
+            except NotAnAwardFileError:
+                continue
+            raw = one if raw is None else raw.unionByName(one)
+        if raw is not None:
+            awards.write(upsert_awards(awards.read(), raw).result())
+            if entities is not None:
+                entities.write(upsert_entities(entities.read(), raw).result())
 
     _run(stream, merge, checkpoint)
 
 
 def replay_snapshots(spark: SparkSession, folder: str, schema, current: VersionedTable, versions: VersionedTable, checkpoint: str, authoritative: Sequence[str] | None = None) -> None:
-    """Fold incoming notice snapshots (Parquet: notice_id, seq, text, snapshot) into the version history."""
+    """Fold incoming notice snapshots (Parquet: notice_id, seq, text, snapshot) into the version history.
+
+    Each batch writes the history first, then the current snapshots, tagged with the batch. A batch whose tag the
+    current table has was taken in before, and one that wrote only its history writes the same versions again: a
+    replay after a failure changes nothing.
+    """
     stream = spark.readStream.schema(schema).parquet(folder)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        batch.persist()
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        if int(current.tags().get(checkpoint, -1)) >= batch_id:
+            return
         stored = current.read()
-        done = fold(stored, batch, authoritative)
-        after = done.current().select("notice_id", "version", "snapshot")
-        made = done.versions().select("notice_id", "version", "changes", "snapshot")
-        old = versions.read()
-        history = old.join(made, ["notice_id", "version"], "left_anti").unionByName(made)
-        versions.write(history)
-        current.write(stored.join(after, "notice_id", "left_anti").unionByName(after))
-        batch.unpersist()
+        done = fold(stored, cut(batch), authoritative)
+        steps = Folded(cut(done.steps))
+        after = steps.current().select("notice_id", "version", "snapshot")
+        made = steps.versions().select("notice_id", "version", "changes", "snapshot")
+        versions.write(versions.read().join(made, ["notice_id", "version"], "left_anti").unionByName(made))
+        current.write(stored.join(after, "notice_id", "left_anti").unionByName(after), tags={checkpoint: str(batch_id)})
 
     _run(stream, merge, checkpoint)
 
@@ -67,10 +80,8 @@ def save_chunk(chunks: DataFrame, source: str, chunk_key: str, status: str, stat
 
 
 def split_chunk(start, end, codes: Sequence[str], rows: int, limit: int = 500_000) -> list[tuple]:
-    """Smaller requests for one that would exceed the provider's row limit: by code, then by quarter."""
-    from bidweave.functions.normalize import quarters
-
-    if rows <= limit:
+    """Smaller requests for one that reached the provider's row limit: by code, then by quarter."""
+    if rows < limit:
         return [(start, end, tuple(codes))]
     if len(codes) > 1:
         return [(start, end, (c,)) for c in codes]
