@@ -27,7 +27,7 @@ def replay_awards(spark: SparkSession, folder: str, awards: VersionedTable, chec
     the key column are passed over. A batch that is run again after a failure merges the same rows into a table that
     has them, which writes nothing new.
     """
-    stream = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.csv").load(folder).select("path")
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.csv").load(folder).select("path")
 
     def merge(batch: DataFrame, _: int) -> None:
         raw = None

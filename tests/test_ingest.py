@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidweave import cli, schemas
+from bidweave import cli, control, jobs, schemas, store
 from bidweave.operators import merge, rows, versions
-from bidweave.sources import awards, files, notices
+from bidweave.functions import normalize as N
+from bidweave.sources import awards, files, notices, remote
 from bidweave.streaming import ingest, windows
 
 WHEN = dt.datetime(2026, 10, 6, 12, 30, 15, 123456, tzinfo=dt.UTC)
@@ -34,7 +35,7 @@ def award_file(path, *overrides, columns=awards.WANTED):
 
 
 def empty(spark, name):
-    return spark.createDataFrame([], cli.TABLES[name]())
+    return spark.createDataFrame([], store.TABLES[name]())
 
 
 def test_award_file_types_and_references(spark, tmp_path):
@@ -150,7 +151,7 @@ def test_ordered_fold(spark):
         spark, v1, v1, {**v1, "title": "A b"}, {**v1, "response_deadline": day.replace(hour=17), "response_deadline_has_time": True}, v1,
         {**v1, "attachment_links": ["x"]}, {**v1, "attachment_links": ["y"], "title": "New"}, {"notice_id": "M", "title": "other"}, {**v1, "psc": None},
     )
-    none = spark.createDataFrame([], cli._current_schema())
+    none = spark.createDataFrame([], store.current_schema())
     steps = {r["seq"]: r for r in versions.fold(none, batch).steps.collect()}
     outcome = [(steps[i]["outcome"], steps[i]["version"]) for i in range(9)]
     # A title's spaces and a deadline's precision are no new version; a first list of links is a fill-in.
@@ -165,7 +166,7 @@ def test_ordered_fold(spark):
 
 def test_partial_source_never_blanks(spark):
     full = {"notice_id": "N", "title": "T", "psc": "D1", "contacts": [], "ui_link": "u", "description": "d"}
-    none = spark.createDataFrame([], cli._current_schema())
+    none = spark.createDataFrame([], store.current_schema())
     stored = versions.fold(none, snapshots(spark, full)).current()
     part = snapshots(spark, {"notice_id": "N", "title": "T2", "psc": None, "ui_link": "other", "pop_state": "VA"})
     r = versions.fold(stored, part, versions.CSV_AUTHORITATIVE).steps.first()
@@ -177,19 +178,42 @@ def test_partial_source_never_blanks(spark):
 def test_streams_equal_batches(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    award_file(folder / "1.csv", {"award_id_piid": "NEW", "last_modified_date": "2026-05-05"})
+    wide = [*(f"other_{i}" for i in range(120)), *reversed(awards.WANTED), *(f"more_{i}" for i in range(117))]  # 286 columns in another order
+    award_file(folder / "1.csv", {"award_id_piid": "NEW", "last_modified_date": "2026-05-05", "prime_award_base_transaction_description": "two\nlines", "other_3": "x"}, columns=wide)
+    (folder / "0.csv").write_text("x,y\n1,2\n")
     table = merge.VersionedTable(spark, f"file://{tmp_path}/awards", schemas.award())
     ingest.replay_awards(spark, str(folder), table, str(tmp_path / "cp"))
     award_file(folder / "2.csv", {"award_id_piid": "LATE", "last_modified_date": "2026-01-01"}, {"contract_award_unique_key": "K9"})
     ingest.replay_awards(spark, str(folder), table, str(tmp_path / "cp"))
-    assert {(r["award_key"], r["piid"]) for r in table.read().collect()} == {("K1", "NEW"), ("K9", "47QT-26-F-0001")}
+    assert {(r["award_key"], r["piid"], r["description"]) for r in table.read().collect()} == {("K1", "NEW", "two\nlines"), ("K9", "47QT-26-F-0001", None)}
     batch = snapshots(spark, {"notice_id": "N", "title": "a"}, {"notice_id": "N", "title": "b"})
     batch.write.parquet(str(tmp_path / "snap"))
-    current = merge.VersionedTable(spark, f"file://{tmp_path}/cur", cli._current_schema())
-    history = merge.VersionedTable(spark, f"file://{tmp_path}/ver", cli.TABLES["notice_versions"]())
+    current = merge.VersionedTable(spark, f"file://{tmp_path}/cur", store.current_schema())
+    history = merge.VersionedTable(spark, f"file://{tmp_path}/ver", store.TABLES["notice_versions"]())
     for _ in range(2):
         ingest.replay_snapshots(spark, str(tmp_path / "snap"), batch.schema, current, history, str(tmp_path / "cp2"))
     assert current.read().first()["version"] == 2 and history.read().count() == 2
+    # A batch that fails between its writes, or after them but before its commit, changes nothing when it runs again.
+    import shutil
+
+    before = {str(r) for r in history.read().collect()}
+    shutil.rmtree(tmp_path / "cp2" / "commits")
+    ingest.replay_snapshots(spark, str(tmp_path / "snap"), batch.schema, current, history, str(tmp_path / "cp2"))
+    assert current.read().first()["version"] == 2 and {str(r) for r in history.read().collect()} == before
+    late = merge.VersionedTable(spark, f"file://{tmp_path}/cur3", store.current_schema())
+    ingest.replay_snapshots(spark, str(tmp_path / "snap"), batch.schema, late, history, str(tmp_path / "cp3"))
+    assert {str(r) for r in history.read().collect()} == before
+
+
+def test_many_versions_of_one_notice(spark, monkeypatch):
+    made = [{"notice_id": "N", "title": f"t{i // 3}", "psc": "D1"} for i in range(300)] + [{"notice_id": f"M{i}", "title": "x"} for i in range(20)]
+    batch = snapshots(spark, *made).cache()
+    none = spark.createDataFrame([], store.current_schema())
+    done = versions.fold(none, batch).steps.collect()
+    assert {r["notice_id"]: r["version"] for r in done if r["seq"] == 299} == {"N": 100} and len(done) == 320
+    monkeypatch.setattr(versions, "FOLD_AT_ONCE", 64)
+    again = versions.fold(none, batch).steps.collect()
+    assert sorted(map(str, again)) == sorted(map(str, done))
 
 
 def test_window_stream(spark, tmp_path):
@@ -211,6 +235,8 @@ def test_chunks(spark):
     assert [(x["status"], x["rows_in"], x["rows_out"]) for x in r] == [("done", 8, 3)]
     a, b = dt.date(2024, 1, 1), dt.date(2024, 12, 31)
     assert ingest.split_chunk(a, b, ["1"], 10) == [(a, b, ("1",))]
+    with pytest.raises(ValueError):
+        ingest.split_chunk(a, a, ["1"], 500_000)
     assert len(ingest.split_chunk(a, b, ["1", "2"], 600_000)) == 2 and len(ingest.split_chunk(a, b, ["1"], 600_000)) == 4
 
 
@@ -227,30 +253,250 @@ def test_files(spark, tmp_path):
     assert files.read_archived(str(tmp_path), meta["path"]) == b"hello"
     assert files.quoted_csv(["a", "b"], [["1", 'x"y']]) == b'"a","b"\r\n"1","x""y"\r\n'
     assert files.redact_text("see http://x/?api_key=abc&y=2 tok", ["tok"]) == "see http://x/?api_key=***&y=2 ***"
+    (tmp_path / "down.zip").write_bytes(b"zip")
+    moved = files.archive_file(str(tmp_path), "src", str(tmp_path / "down.zip"), ".zip", WHEN, {"token": "t"}, 7)
+    assert files.read_archived(str(tmp_path), moved["path"]) == b"zip" and moved["bytes"] == 3 and moved["run_id"] == 7 and not (tmp_path / "down.zip").exists()
     sheet = tmp_path / "s.csv"
-    files.write_sheet([{"notice_id": "N1", "c1_award_key": "A", "answer": "1"}, {"notice_id": "N2", "answer": "none"}, {"notice_id": "N3"}], ["notice_id", "c1_award_key", "answer", "notes"], str(sheet))
+    answers = [{"notice_id": "N1", "c1_id": "A", "answer": "1"}, {"notice_id": "N2", "answer": "None"}, {"notice_id": "N3"}, {"answer": "nonsense"}]
+    files.write_sheet(answers, files.sheet_columns(), str(sheet))
     assert sheet.read_bytes().startswith(b"\xef\xbb\xbf")
     got = files.read_answers(str(sheet), "sheet", dt.date(2026, 1, 1))
-    assert [(g["notice_id"], g["award_key"], g["answer"]) for g in got] == [("N1", "A", "incumbent"), ("N2", None, "none")]
+    assert [(g["notice_id"], g["award_key"], g["answer"]) for g in got] == [("N1", "A", "incumbent"), ("N2", None, "none"), ("N3", None, "unsure")]
     labels = spark.createDataFrame(got, schemas.table(schemas.LABEL_DDL))
     files.save_labels(labels, str(tmp_path / "l.csv"))
-    assert files.load_labels(spark, str(tmp_path / "l.csv")).count() == 2 and files.load_labels(spark, str(tmp_path / "no.csv")).count() == 0
-    files.write_sheet([{"notice_id": "", "answer": "maybe"}], ["notice_id", "answer"], str(sheet))
-    with pytest.raises(ValueError, match="unknown answer.*no notice_id"):
+    assert files.load_labels(spark, str(tmp_path / "l.csv")).count() == 3 and files.load_labels(spark, str(tmp_path / "no.csv")).count() == 0
+    files.write_sheet([{"notice_id": "N", "answer": "maybe"}, {"notice_id": "O", "answer": "2"}], ["notice_id", "answer"], str(sheet))
+    with pytest.raises(ValueError, match="line 2: unknown answer.*line 3: candidate 2 is empty"):
         files.read_answers(str(sheet), "sheet", dt.date(2026, 1, 1))
-    raw = spark.createDataFrame([("p", "s", "h", 1, None, {}, 1)], schemas.table(schemas.RAW_FILE_DDL))
-    runs = spark.createDataFrame([(1, "s", "j", "succeeded", {}, None, None, None, 0)], schemas.table(schemas.RUN_DDL))
-    assert files.already_loaded(raw, runs, "h") and not files.already_loaded(raw, runs, "x")
+    raw = spark.createDataFrame([("p", "s", "other", 1, None, {"url": "u", "file_sha256": "h"}, 1)], schemas.table(schemas.RAW_FILE_DDL))
+    runs = spark.createDataFrame([(1, "s", "j", "succeeded", {}, None, None, None, 0, 0, 0)], schemas.table(schemas.RUN_DDL))
+    assert files.already_loaded(raw, runs, "s", "u", "h") and not files.already_loaded(raw, runs, "s", "u", "x") and not files.already_loaded(raw, runs, "s", "v", "h")
+    assert not files.already_loaded(raw, runs.withColumn("status", F.lit("failed")), "s", "u", "h")
+
+
+def quiet(*_):
+    pass
 
 
 def test_whole_jobs(spark, tmp_path):
-    store = cli.Store(spark, f"file://{tmp_path}/root")
-    cli.load_awards(store, [award_file(tmp_path / "a.csv", {"period_of_performance_potential_end_date": "2027-01-15", "potential_total_value_of_award": "100000"})], ("541512",))
+    s = store.Store(spark, f"file://{tmp_path}/root")
+    with control.running(s, "x", "files", str(tmp_path / "arc"), log=quiet) as run:
+        path = award_file(tmp_path / "a.csv", {"period_of_performance_potential_end_date": "2027-01-15", "potential_total_value_of_award": "100000"})
+        assert jobs.load_award_paths(run, [path], ("541512",)) == (1, 1)
+        assert jobs.load_award_paths(run, [path], ("541512",)) == (1, 0)
     raw = notices.read_extract(spark, extract(tmp_path / "e.csv", {}))
     incoming = notices.parse_extract(raw).withColumn("seq", F.lit(1))
-    assert cli.fold_notices(store, incoming, versions.CSV_AUTHORITATIVE) == {"inserted": 1}
-    assert cli.fold_notices(store, incoming, versions.CSV_AUTHORITATIVE) == {"unchanged": 1}
-    assert cli.run_match(store, cli.MatchingConfig(), ("541512",), dt.date(2026, 10, 6)) == (1, 0)
-    assert cli.run_match(store, cli.MatchingConfig(), ("541512",), dt.date(2026, 10, 6)) == (0, 0)
-    cli.write_label_sheet(store, str(tmp_path / "sheet.csv"), 10, "m2")
-    assert (tmp_path / "sheet.csv").exists()
+    assert jobs.fold_notices(s, incoming, versions.CSV_AUTHORITATIVE) == {"inserted": 1}
+    assert jobs.fold_notices(s, incoming, versions.CSV_AUTHORITATIVE) == {"unchanged": 1}
+    first = jobs.run_match(s, cli.MatchingConfig(), ("541512",), dt.date(2026, 10, 6))
+    assert (first["notices"], first["with_candidates"], first["written"], first["deleted"]) == (1, 1, 1, 0)
+    again = jobs.run_match(s, cli.MatchingConfig(), ("541512",), dt.date(2026, 10, 6))
+    assert (again["written"], again["deleted"], again["links_written"]) == (0, 0, 0)
+    cli.write_label_sheet(s, str(tmp_path / "sheet.csv"), 10, "m2")
+    with open(tmp_path / "sheet.csv", encoding="utf-8-sig", newline="") as lines:
+        rows = list(csv.DictReader(lines))
+    assert [r["c1_id"] for r in rows] == ["K1"] and list(rows[0]) == files.sheet_columns()
+    rows[0]["answer"] = "1"
+    files.write_sheet(rows, files.sheet_columns(), str(tmp_path / "sheet.csv"))
+    assert [g["award_key"] for g in files.read_answers(str(tmp_path / "sheet.csv"), "sheet", dt.date(2026, 1, 1))] == ["K1"]
+
+
+def test_runs_are_recorded(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/root")
+    archive = str(tmp_path / "arc")
+    with pytest.raises(KeyError), control.running(s, "x", "j", archive, {"a": 1}, quiet) as run:
+        run.rows_in += 5
+        raise KeyError("boom")
+    with control.running(s, "x", "j", archive, log=quiet) as run, pytest.raises(control.JobRunningError), control.running(s, "x", "j", archive, log=quiet):
+        pass
+    with control.running(s, "x", "j", archive, log=quiet) as run:
+        run.keep_bytes(b"abc", ".json", {"password": "p"})
+        run.save_chunk("c", "in_progress", {"next_page": 2}, 3, 1)
+        run.save_chunk("c", "done", {"next_page": 3}, 4, 0)
+        raise control.BudgetExhaustedError("enough")
+    got = {r["id"]: r for r in s.read("runs").collect()}
+    assert [(got[i]["status"], got[i]["rows_in"]) for i in (1, 2, 3)] == [("failed", 5), ("succeeded", 0), ("partial", 0)]
+    assert "boom" in got[1]["error"] and got[1]["params"] == {"a": "1"} and got[3]["error"] == "enough"
+    assert run.chunk("c") == ("done", {"next_page": "3"}) and run.chunk("d") is None
+    assert s.read("raw_files").first()["request_params"] == {"password": "***"} and s.read("chunks").first()["rows_in"] == 7
+    # A run that died leaves a row that says it is running; the next one closes it.
+    s.write("runs", s.read("runs").withColumn("status", F.when(F.col("id") == 3, "running").otherwise(F.col("status"))))
+    with control.running(s, "x", "j", archive, log=quiet):
+        pass
+    assert {r["id"]: r["status"] for r in s.read("runs").collect()} == {1: "failed", 2: "succeeded", 3: "failed", 4: "succeeded"}
+
+
+def test_notice_pages_resume(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(remote, "PAGE_ROWS", 2)
+    s = store.Store(spark, f"file://{tmp_path}/root")
+    today, since = dt.date(2026, 10, 6), dt.date(2026, 9, 1)
+    served = {"541512": [{**RECORD, "noticeId": f"A{i}"} for i in range(3)], "541519": [{**RECORD, "noticeId": "B", "naicsCode": "541519"}, {**RECORD, "noticeId": "C", "naicsCode": "111111"}]}
+    asked = []
+
+    def fetch(start, end, at, code):
+        asked.append((code, at))
+        if len(asked) == 2:
+            raise control.BudgetExhaustedError("later")
+        every = served[code] if code else served["541512"]
+        return json.dumps({"totalRecords": len(every), "opportunitiesData": every[2 * at : 2 * at + 2]}).encode()
+
+    def backfill():
+        with control.running(s, jobs.NOTICES, "backfill", str(tmp_path / "arc"), log=quiet) as run:
+            jobs.NoticeJob(run, fetch, ("541512", "541519")).backfill(today, None if asked else since)
+
+    backfill()
+    assert s.read("runs").first()["status"] == "partial" and s.read("notices").count() == 2
+    backfill()
+    assert asked[2:] == [("541512", 1), ("541519", 0)] and {r["notice_id"] for r in s.read("notices").collect()} == {"A0", "A1", "A2", "B"}
+    backfill()  # the plan is done
+    assert len(asked) == 4 and {r["status"] for r in s.read("chunks").collect()} == {"done"}
+    with control.running(s, jobs.NOTICES, "delta", str(tmp_path / "arc"), log=quiet) as run:
+        jobs.NoticeJob(run, fetch, ("541512",)).delta(today)
+    params = {r["job"]: r["params"] for r in s.read("runs").collect()}["delta"]
+    assert params == {"posted_from": "2026-10-04", "posted_to": "2026-10-06"} and s.read("notices").count() == 4
+    assert s.read("raw_files").count() == 5
+
+
+def test_extracts_load_once(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/root")
+    path = extract(tmp_path / "e.csv", {}, {"NoticeId": "N2", "NaicsCode": "111111"}, {"NoticeId": "N1", "Title": "Later"})
+
+    def load(**kwargs):
+        with control.running(s, jobs.NOTICES, "extract", str(tmp_path / "arc"), log=quiet) as run:
+            return jobs.load_extract(run, path, "http://x/e.csv", ("541512",), **kwargs)
+
+    assert load() == {"inserted": 1, "changed": 1} and load() is None
+    assert load(force=True) == {"changed": 2}  # the older row comes first again, as it does in the file
+    meta = s.read("raw_files").first()
+    assert meta["request_params"]["rows_kept"] == "2" and meta["request_params"]["rows_in_file"] == "3"
+    assert b"Later" in files.read_archived(str(tmp_path / "arc"), meta["path"])
+
+
+class Exports:
+    """A provider whose files are built at once, or not at all."""
+
+    def __init__(self, tmp_path, rows):
+        self.tmp_path, self.rows, self.asked, self.pending, self.broken = tmp_path, rows, [], {}, set()
+
+    def __call__(self, method, url, values):
+        if method == "POST":
+            name = f"f{len(self.asked)}"
+            span = values["filters"]["time_period"][0]
+            self.asked.append((span["start_date"], span["end_date"], tuple(values["filters"]["naics_codes"]["require"])))
+            self.pending[name] = self.rows(*self.asked[-1])
+            return remote.Response(200, [json.dumps({"file_name": name}).encode()], {})
+        if "status" in url:
+            name = values["file_name"]
+            state = "failed" if name in self.broken else "finished"
+            return remote.Response(200, [json.dumps({"status": state, "file_url": f"/{name}", "total_rows": self.pending[name]}).encode()], {})
+        path = award_file(self.tmp_path / "in.csv", {"contract_award_unique_key": url[-2:]})
+        with zipfile.ZipFile(self.tmp_path / "in.zip", "w") as z:
+            z.write(path, "in.csv")
+        return remote.Response(200, [(self.tmp_path / "in.zip").read_bytes()], {})
+
+
+def test_award_exports_split_and_resume(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/root")
+    provider = Exports(tmp_path, lambda a, b, codes: 500_000 if len(codes) > 1 else 10)
+
+    def job(name, f):
+        with control.running(s, jobs.AWARDS, name, str(tmp_path / "arc"), log=quiet) as run:
+            f(jobs.AwardJob(run, remote.Export(provider, sleep=quiet), ("541512", "541519")))
+
+    today = dt.date(2026, 9, 30)
+    job("backfill", lambda j: j.backfill(today, 1))
+    assert provider.asked == [("2025-09-30", "2025-09-30", ("541512", "541519")), ("2025-09-30", "2025-09-30", ("541512",)), ("2025-09-30", "2025-09-30", ("541519",)),
+                              ("2025-10-01", "2026-09-30", ("541512", "541519")), ("2025-10-01", "2026-09-30", ("541512",)), ("2025-10-01", "2026-09-30", ("541519",))]
+    assert {r["award_key"] for r in s.read("awards").collect()} == {"f1", "f2", "f4", "f5"} and s.read("naics").where("in_vertical").count() == 2
+    job("backfill", lambda j: j.backfill(today, 1))
+    assert len(provider.asked) == 6  # every chunk is done
+    # A chunk that was asked for but not loaded is taken up again, or asked for anew if it is no longer to be had.
+    open_again = F.col("chunk_key").endswith("2026-09-30:naics:541512")
+    s.write("chunks", s.read("chunks").withColumn("status", F.when(open_again, "in_progress").otherwise(F.col("status"))))
+    job("backfill", lambda j: j.backfill(today, 1))
+    assert len(provider.asked) == 6 and s.read("chunks").where("status <> 'done'").count() == 0
+    s.write("chunks", s.read("chunks").withColumn("status", F.when(open_again, "in_progress").otherwise(F.col("status"))))
+    provider.broken.add("f4")
+    job("backfill", lambda j: j.backfill(today, 1))
+    assert len(provider.asked) == 7
+    provider.rows = lambda *_: 10
+    job("delta", lambda j: j.delta(dt.date(2026, 10, 3)))
+    assert provider.asked[-1] == ("2026-09-27", "2026-10-03", ("541512", "541519"))
+
+
+def test_providers(spark, tmp_path):
+    def answers(*made):
+        left = list(made)
+        return lambda method, url, values: left.pop(0)
+
+    def r(status, body=b""):
+        return remote.Response(status, [body], {})
+
+    day = dt.date(2026, 2, 3)
+    assert json.loads(remote.search(answers(r(404)), "k", day, day, 0))["totalRecords"] == 0
+    with pytest.raises(control.BudgetExhaustedError):
+        remote.search(answers(r(429)), "k", day, day, 0)
+    with pytest.raises(remote.ProviderError):
+        remote.search(answers(r(500)), "k", day, day, 0)
+    asked = {}
+    remote.search(lambda m, u, v: asked.update(v) or r(200, b"{}"), "k", day, day, 2, "541512")
+    assert asked == {"postedFrom": "02/03/2026", "postedTo": "02/03/2026", "limit": "1000", "offset": "2", "ncode": "541512", "api_key": "k"}
+    pauses = []
+    export = remote.Export(answers(*[r(200, b'{"status": "running"}')] * 8, r(200, b'{"status": "finished"}')), pauses.append)
+    assert export.wait("f")["status"] == "finished" and pauses[:2] == [5.0, 7.5] and max(pauses) == 60.0
+    with pytest.raises(remote.ProviderError):
+        remote.Export(answers(*[r(200, b'{"status": "running"}')] * 3), quiet, patience=6).wait("f")
+    with pytest.raises(remote.ProviderError):
+        remote.Export(answers(r(200, b"{}"))).start({})
+    target = str(tmp_path / "f")
+    remote.download(answers(r(503), r(200, b"data")), "u", target, sleep=quiet)
+    assert open(target, "rb").read() == b"data"
+    for made in ([r(503)] * 3, [r(403)]):
+        with pytest.raises(remote.ProviderError):
+            remote.download(answers(*made), "u", target, sleep=quiet)
+    key = remote.chunk_key(day, day, "541512")
+    for i in range(3):
+        place = remote.page_file(str(tmp_path), key, i)
+        place.parent.mkdir(exist_ok=True)
+        place.write_text(page({**RECORD, "noticeId": f"N{i}"}))
+    pages = remote.archived_pages(spark, str(tmp_path), [key, "posted:none"])
+    assert pages.rdd.getNumPartitions() == 2
+    assert {r["notice_id"] for r in notices.parse_notices(notices.page_records(pages)).collect()} == {"N0", "N1", "N2"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    root = f"file://{tmp_path}/root"
+    path = award_file(tmp_path / "a.csv", {"period_of_performance_potential_end_date": "2027-06-15", "potential_total_value_of_award": "100000"})
+
+    def run(*words):
+        assert cli.main(["--root", root, "--archive", str(tmp_path / "arc"), "--today", "2026-10-06", *words]) == 0
+        return capsys.readouterr().out
+
+    assert run("version").strip() == cli.VERSION
+    assert "1 rows, 1 awards written" in run("ingest-awards", path)
+    assert "'inserted': 1" in run("ingest-extract", extract(tmp_path / "e.csv", {})) and "is loaded" in run("ingest-extract", str(tmp_path / "e.csv"))
+    assert "'written': 1" in run("match")
+    run("recompetes")
+    s = store.Store(spark, root)
+    assert s.read("recompetes").count() == 1
+    status = run("status")
+    assert "sam/extract: succeeded" in status and "usaspending/files: succeeded" in status and "awards: 1" in status
+    assert "in_scope: 1" in run("diagnose") and "matches: version" in run("doctor")
+    key = s.read("matches").where("kind = 'incumbent'").first()
+    run("review", key["notice_id"], key["award_key"], "confirmed", "--reviewer", "me")
+    run("label-sheet", str(tmp_path / "sheet.csv"))
+    report = run("eval", "--labels", str(tmp_path / "none.csv"), "--report", str(tmp_path / "report.md"))
+    assert "A precision of 90%" in report and (tmp_path / "report.md").read_text() in report
+    run("reset")
+    assert s.read("matches").count() == 1  # the confirmed one
+
+
+def test_samples_and_texts(spark):
+    a = [{"noticeId": "1"}, {"noticeId": "2"}]
+    assert [jobs.page_semantics(a, b) for b in ([{"noticeId": "2"}], [{"noticeId": "3"}], [{"noticeId": "3"}, {"noticeId": "1"}], [])] == ["records", "pages", "unclear", "unknown"]
+    report = jobs.header_report([*awards.WANTED[1:], "novel"])
+    assert report == {"missing": [awards.WANTED[0]], "new": ["novel"]}
+    assert N.api_date(dt.date(2026, 2, 3)) == "02/03/2026"
+    df = spark.createDataFrame([("1234567.5", dt.datetime(2026, 10, 6), "0.125", "12"), (" ", None, None, "12x"), ("x", None, "0.974", "1" * 19), ("-3", None, "y", "")], "a string, d timestamp, p string, i string")
+    got = df.select(N.usd("a"), N.long_date("d"), N.percent("p"), N.numeric_id("i")).collect()
+    assert [tuple(r) for r in got] == [("$1,234,568", "Oct 6, 2026", "13%", "12"), ("Not stated", "Not stated", "–", None), ("Not stated", "Not stated", "97%", None), ("-$3", "Not stated", "–", None)]
