@@ -541,7 +541,8 @@ def keep_one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     members = members.join(by_class.select("digest", "part"), "digest").select("part", F.struct("doc_id", "mark").alias("of"))
     stays = members.groupBy("part").agg(F.min("of").alias("stays"))
     gone = members.join(stays, "part").where(F.col("of") != F.col("stays")).select(F.col("of.doc_id").alias("_gone_id"), F.col("of.mark").alias("_gone_mark"))
-    gone = finish(gone.distinct(), "gone", *paths)
+    # Grows with the table, so it isn't broadcast, not even where it happens to be small.
+    gone = finish(gone.distinct(), "gone", *paths).hint("merge")
     kept = docs.join(gone, (docs["doc_id"] == gone["_gone_id"]) & (F.unhex(F.md5(docs["text"].cast("binary"))) == gone["_gone_mark"]), "left_anti")
     again = docs.groupBy(docs["doc_id"].alias("_again_id")).agg(F.count("*").alias("_times")).where((F.col("_times") > 1) & F.col("_again_id").isNotNull())
     if again.isEmpty():

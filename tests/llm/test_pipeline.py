@@ -43,6 +43,26 @@ def test_stages_keep_columns_and_do_what_they_say(stages):
     assert placed == totals and sorted(totals) == ids[2]
 
 
+def test_stages_take_odd_tables(spark, stages):
+    raw = stages[0]
+    texts = [r["text"] for r in raw.where("lang = 'en'").orderBy("doc_id").limit(30).collect()]
+    base = raw.limit(0)
+    made = [(i, t, "en", "s", None, 1, "clash") for i, t in enumerate(texts)]
+    made += [(None, texts[0], None, None, None, None, None), (900, None, None, None, None, None, None), (901, "", "en", "s", 0, 1, "x"), made[0], made[0], (902, "  ", "en", "s", 0, 1, "x")]
+    df = spark.createDataFrame(made, base.schema)
+    for table in (df, df.limit(0)):
+        out = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, SF)
+            assert out.columns == raw.columns, name
+            rows = out.collect()
+            out = spark.createDataFrame(rows, base.schema)
+        ids = [r["doc_id"] for r in rows]
+        assert len(set(ids)) == len(ids) and not {900, 901, 902} & set(ids)
+        packed = corpus_pipeline.STAGES[-1][1](spark, out, SF).collect()
+        assert {r["doc_id"] for r in packed} == set(ids)
+
+
 def test_run_equals_the_stages(spark, stages):
     got = Counter(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").collect()))
     assert got == Counter(map(tuple, stages[-1].select("doc_id", "start", "length", "ids_crc32").collect()))
