@@ -7,6 +7,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidweave.llm import compression, langid, queries
 from brute_helpers import brute_kept
@@ -46,17 +47,17 @@ def test_stages_keep_columns_and_do_what_they_say(stages):
 def test_stages_take_odd_tables(spark, stages):
     raw = stages[0]
     texts = [r["text"] for r in raw.where("lang = 'en'").orderBy("doc_id").limit(30).collect()]
-    base = raw.limit(0)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in raw.schema])
     made = [(i, t, "en", "s", None, 1, "clash") for i, t in enumerate(texts)]
     made += [(None, texts[0], None, None, None, None, None), (900, None, None, None, None, None, None), (901, "", "en", "s", 0, 1, "x"), made[0], made[0], (902, "  ", "en", "s", 0, 1, "x")]
-    df = spark.createDataFrame(made, base.schema)
+    df = spark.createDataFrame(made, schema)
     for table in (df, df.limit(0)):
         out = table
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, out, SF)
             assert out.columns == raw.columns, name
             rows = out.collect()
-            out = spark.createDataFrame(rows, base.schema)
+            out = spark.createDataFrame(rows, schema)
         ids = [r["doc_id"] for r in rows]
         assert len(set(ids)) == len(ids) and not {900, 901, 902} & set(ids)
         packed = corpus_pipeline.STAGES[-1][1](spark, out, SF).collect()
