@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,6 @@ from bidweave.functions import normalize as N
 from bidweave.functions import text as T
 from bidweave.operators import rows as R
 from bidweave.operators.merge import merge_reference, replace_automatic, upsert
-from bidweave.operators.versions import change_points
 from bidweave.plans import match as M
 from bidweave.plans import reports as P
 from bidweave.sources.awards import project_wanted
@@ -199,12 +199,9 @@ def doc_frequency_idf(spark, sf):
 @query(f"WITH {_VEC} SELECT doc_id, round(norm, 6) AS norm, round(max(w), 6) AS top FROM vec JOIN norm USING (doc_id) GROUP BY ALL")
 def tfidf_norms(spark, sf):
     docs = _t(spark, sf, "documents")
-    df, n = T.document_frequency(docs, "text")
-    tf = docs.select("doc_id", F.explode(T.tokens("text")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
-    raw = tf.join(df, "word").crossJoin(F.broadcast(n)).withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    top = T.term_weights(docs, ["doc_id"], "text", df, n).groupBy("doc_id").agg(F.max("w").alias("top"))
-    return norms.join(top, "doc_id").select("doc_id", F.round("norm", 6).alias("norm"), F.round("top", 6).alias("top"))
+    tf = R.cut(T.term_counts(docs, ["doc_id"], "text"))
+    vec = T.weights(tf, ["doc_id"], T.frequency_of_counts(tf), docs.agg(F.count("*").alias("n")))
+    return vec.groupBy("doc_id").agg(F.round(F.first("norm"), 6).alias("norm"), F.round(F.max("w"), 6).alias("top"))
 
 
 @query(f"""
@@ -214,8 +211,8 @@ def tfidf_norms(spark, sf):
     SELECT a, b, round(sum(p), 6) AS cosine, string_agg(word, ',' ORDER BY rn) FILTER (WHERE rn <= 3) AS terms FROM ranked GROUP BY a, b""")
 def cosine_shared_terms(spark, sf):
     docs = _t(spark, sf, "documents")
-    df, n = T.document_frequency(docs, "text")
-    vec = T.term_weights(docs, ["doc_id"], "text", df, n)
+    tf = R.cut(T.term_counts(docs, ["doc_id"], "text"))
+    vec = R.cut(T.weights(tf, ["doc_id"], T.frequency_of_counts(tf), docs.agg(F.count("*").alias("n"))))
     # Pairs are formed first; vectors meet for them only.
     pairs = docs.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("b")).where("b IS NOT NULL")
     x = vec.select(F.col("doc_id").alias("a"), "word", F.col("w").alias("wa"))
@@ -236,12 +233,11 @@ def _cited_text(status):
     SELECT o_orderkey, 'W91Q' || lpad(o_orderkey::VARCHAR, 6, '0') || 'C' AS numbers, 'w91q-' || lpad(o_orderkey::VARCHAR, 6, '0') || '-c' AS raw, 'incumbent,follow-on' AS context FROM orders""")
 def contract_numbers(spark, sf):
     own = F.concat(F.lit("ab-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
-    text = _cited_text(F.col("o_orderstatus"))
-    found = _t(spark, sf, "orders").select("o_orderkey", text.alias("text"), T.citations(text, own).alias("c"))
-    first = F.try_element_at("c", F.lit(1))
+    rows = _t(spark, sf, "orders").select("o_orderkey", _cited_text(F.col("o_orderstatus")).alias("text"), own.alias("own"))
+    found = T.cited_numbers(rows, "text", "own")
     ref = CFG.explicit_reference
-    words = T.context_words("text", first["at"], F.length(first["raw"]), ref.context_words, ref.context_chars)
-    return found.select("o_orderkey", F.array_join(F.transform("c", lambda x: x["piid_norm"]), ",").alias("numbers"), first["raw"].alias("raw"), F.array_join(words, ",").alias("context"))
+    words = T.context_words("text", F.col("c.at"), F.length("c.raw"), ref.context_words, ref.context_chars)
+    return found.select("o_orderkey", F.col("c.piid_norm").alias("numbers"), F.col("c.raw").alias("raw"), F.array_join(words, ",").alias("context"))
 
 
 @query("""
@@ -288,19 +284,17 @@ def _notice_like(spark, sf) -> DataFrame:
     )
 
 
-def _cfg(most: int) -> MatchingConfig:
-    from dataclasses import replace
+def _cfg() -> MatchingConfig:
+    return replace(CFG, candidates=replace(CFG.candidates, award_types=("1-URGENT", "2-HIGH", "3-MEDIUM")))
 
-    return replace(CFG, candidates=replace(CFG.candidates, award_types=("1-URGENT", "2-HIGH", "3-MEDIUM"), max_per_notice=most))
 
+def _none(spark) -> M.Excluded:
+    return M.Excluded(spark.createDataFrame([], "notice_id string, award_key string"), spark.createDataFrame([], "award_key string, times long, by string"))
 
-def _none(spark) -> DataFrame:
-    return spark.createDataFrame([], "notice_id string, award_key string")
 
-
-@query(f"WITH {_CAND} SELECT CAST(notice_id AS VARCHAR) AS notice_id, CAST(award_key AS VARCHAR) AS award_key FROM cand WHERE rn <= 20")
+@query(f"WITH {_CAND} SELECT CAST(notice_id AS VARCHAR) AS notice_id, CAST(award_key AS VARCHAR) AS award_key FROM cand WHERE rn <= {CFG.candidates.max_per_notice}")
 def candidate_blocking_join(spark, sf):
-    return M.candidates(_notice_like(spark, sf), _award_like(spark, sf), _cfg(20), _none(spark))
+    return M.candidates(_notice_like(spark, sf), _award_like(spark, sf), _cfg(), _none(spark))
 
 
 _SCORE = """
@@ -309,14 +303,14 @@ _SCORE = """
     date_diff('day', ref, ends) AS off, date_diff('day', ref, CAST(ref - INTERVAL 6 MONTH AS DATE)) AS lo, date_diff('day', ref, CAST(ref + INTERVAL 18 MONTH AS DATE)) AS hi,
     CASE notice_id % 3 WHEN 0 THEN '8a' WHEN 1 THEN 'small' ELSE 'none' END AS nf, CASE WHEN office_even THEN 'small' ELSE 'none' END AS af"""
 _SCORED = f"""{_CAND}, even AS (SELECT o_orderkey AS award_key, o_custkey % 2 = 0 AS office_even FROM orders),
-    f AS (SELECT cand.notice_id, cand.award_key, ends, ref, val, {_SCORE} FROM cand JOIN notices n USING (notice_id) JOIN awards a ON a.award_key = cand.award_key JOIN even ON even.award_key = cand.award_key WHERE rn <= 20),
+    f AS (SELECT cand.notice_id, cand.award_key, ends, ref, val, {_SCORE} FROM cand JOIN notices n USING (notice_id) JOIN awards a ON a.award_key = cand.award_key JOIN even ON even.award_key = cand.award_key WHERE rn <= {CFG.candidates.max_per_notice}),
     g AS (SELECT *, CASE WHEN off < -30 THEN CAST(off - lo AS DOUBLE) / (-30 - lo) WHEN off > 270 THEN CAST(hi - off AS DOUBLE) / (hi - 270) ELSE 1.0 END AS f_end,
         CASE WHEN nf = af THEN 1.0 WHEN nf <> 'none' AND af <> 'none' THEN 0.5 ELSE 0.0 END AS f_set, CASE WHEN val BETWEEN 50000 AND 450000 THEN 1.0 ELSE 0.2 END AS f_val FROM f),
     s AS (SELECT *, 0.2 * f_office + 0.1 * f_naics + 0.15 * f_end + 0.1 * f_psc + 0.04 * f_set + 0.03 * f_val + 0.03 * 0.5 AS score FROM g)"""
 
 
 def _scored(spark, sf) -> DataFrame:
-    cfg = _cfg(20)
+    cfg = _cfg()
     n, a = _notice_like(spark, sf), _award_like(spark, sf)
     pairs = M.candidates(n, a, cfg, _none(spark)).join(n, "notice_id").join(a, "award_key")
     pairs = pairs.withColumns({
@@ -340,8 +334,6 @@ def feature_scores(spark, sf):
     k AS (SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY position) AS rank FROM d WHERE position <= 10 AND score >= 0.2)
     SELECT CAST(notice_id AS VARCHAR) AS notice_id, CAST(award_key AS VARCHAR) AS award_key, CAST(rank AS INTEGER) AS rank, shown FROM k WHERE NOT rejected""")
 def rank_decide(spark, sf):
-    from dataclasses import replace
-
     cfg = replace(CFG, decision=replace(CFG.decision, incumbent_threshold=0.5, margin=0.004))
     ranked = _scored(spark, sf).withColumn("position", F.row_number().over(Window.partitionBy("notice_id").orderBy(*M.rank_order())))
     judged = ranked.withColumn("review", F.when(F.col("award_key").cast("long") % 11 == 3, "rejected"))
@@ -389,71 +381,9 @@ def latest_per_key(spark, sf):
     return R.latest(e, ["user_id"], "version", "value")
 
 
-@query("""
-    WITH d AS (SELECT CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderdate END AS posted, * FROM orders WHERE o_orderstatus <> 'F'),
-    r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY posted DESC NULLS LAST, o_orderkey) AS rn FROM d)
-    SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_name END, n_name) AS name, o_orderkey AS linked FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN r ON o_custkey = c_custkey AND rn = 1""")
-def linked_latest_notice(spark, sf):
-    o = _t(spark, sf, "orders").where(F.col("o_orderstatus") != "F").withColumn("posted", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate")))
-    first = R.distinct_on(o, ["o_custkey"], [F.col("posted").desc_nulls_last(), F.col("o_orderkey")]).select("o_custkey", F.col("o_orderkey").alias("linked"))
-    c = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left").join(first, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return c.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")), F.col("n_name")).alias("name"), "linked")
-
-
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
-def semi_exists(spark, sf):
-    o = _t(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
-    c = _t(spark, sf, "customer")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey")
-
-
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
-def anti_not_exists(spark, sf):
-    o = _t(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
-    c = _t(spark, sf, "customer")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
-
-
-@query("""
-    SELECT o_orderkey, c_name, n_name, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'P'
-    ORDER BY CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END NULLS LAST, o_custkey, o_orderkey LIMIT 150""")
-def three_way_queue(spark, sf):
-    o = _t(spark, sf, "orders").where(F.col("o_orderstatus") == "P").join(_t(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(_t(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    deadline = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate"))
-    return o.orderBy(deadline.asc_nulls_last(), "o_custkey", "o_orderkey").limit(P.QUEUE).select("o_orderkey", "c_name", "n_name", "o_totalprice")
-
-
-@query("""
-    WITH x AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 300000), r AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 HAVING count(*) = 1)
-    SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM x JOIN r USING (o_custkey) WHERE x.o_custkey = orders.o_custkey)""")
-def superseded_exclusion(spark, sf):
-    o = _t(spark, sf, "orders")
-    gone = o.where(F.col("o_totalprice") > 300000).select("o_custkey").distinct()
-    once = o.where(F.col("o_orderstatus") == "P").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n = 1")
-    return o.where(F.col("o_orderstatus") == "O").join(gone.join(once, "o_custkey", "left_semi"), "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
-
-
 # --- aggregation and windows ------------------------------------------------------------------------------------
 
 
-@query("""
-    SELECT coalesce(CASE WHEN o_orderkey % 8 > 0 THEN o_orderpriority END, '(none)') AS type, count(*) FILTER (WHERE o_orderstatus = 'O') AS active, count(*) FILTER (WHERE o_orderstatus <> 'O') AS archived,
-      count(*) FILTER (WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)) AS indebted FROM orders GROUP BY 1""")
-def conditional_counts(spark, sf):
-    poor = _t(spark, sf, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("poor"))
-    o = _t(spark, sf, "orders").join(poor, "o_custkey", "left")
-    kind = F.coalesce(F.when(F.col("o_orderkey") % 8 > 0, F.col("o_orderpriority")), F.lit("(none)"))
-    active = F.col("o_orderstatus") == "O"
-    return o.groupBy(kind.alias("type")).agg(F.count_if(active).alias("active"), F.count_if(~active).alias("archived"), F.count_if("poor").alias("indebted"))
-
-
-@query("SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last FROM orders GROUP BY 1")
-def count_distinct_min_max(spark, sf):
-    return _t(spark, sf, "orders").groupBy("o_orderpriority").agg(
-        F.count_distinct("o_custkey").alias("customers"), F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last")
-    )
-
-
 @query(" UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS rows FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")))
 def relation_counts(spark, sf):
     return P.row_counts({t: _t(spark, sf, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")})
@@ -507,32 +437,16 @@ def first_nonnull_name(spark, sf):
     return R.distinct_on(p, ["p_brand"], [F.col("name").asc_nulls_last(), F.col("p_partkey")]).select("p_brand", "name")
 
 
-@query("""
-    SELECT user_id AS notice_id, event_type AS award_key FROM (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND value > 50""")
-def latest_review(spark, sf):
-    e = _t(spark, sf, "events")
-    last = R.distinct_on(e, ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()])
-    return last.where(F.col("value") > 50).select(F.col("user_id").alias("notice_id"), F.col("event_type").alias("award_key"))
-
-
 @query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR) || 'm2'), c_custkey) AS rn FROM customer) WHERE rn <= 60")
 def sample_md5_limit(spark, sf):
     return R.sample_order(_t(spark, sf, "customer"), "c_custkey", "m2", 60).select("c_custkey")
 
 
 @query("""
-    SELECT p_partkey, p_name FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 > 0""")
+    SELECT p_partkey, p_name FROM part WHERE p_size < 30 UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_size >= 30""")
 def union_override(spark, sf):
     p = _t(spark, sf, "part")
-    return R.union_override(p.where(F.col("p_partkey") % 2 == 0).select("p_partkey", "p_name"), p.where(F.col("p_partkey") % 3 == 0).select("p_partkey", F.upper("p_name").alias("p_name")), ["p_partkey"])
-
-
-@query("""
-    SELECT conv_id, string_agg(coalesce(role, '') || ':' || CAST(length(coalesce(text, '')) AS VARCHAR), '|' ORDER BY turn, role, length(coalesce(text, ''))) AS items, count(*) AS n FROM conversations GROUP BY 1""")
-def group_collect_ordered(spark, sf):
-    item = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.length(F.coalesce("text", F.lit(""))).alias("len"))
-    g = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count("*").alias("n"))
-    return g.select("conv_id", F.array_join(F.transform("items", lambda x: F.concat(x["role"], F.lit(":"), x["len"].cast("string"))), "|").alias("items"), "n")
+    return R.union_override(p.where(F.col("p_size") < 30).select("p_partkey", "p_name"), p.select("p_partkey", F.upper("p_name").alias("p_name")), ["p_partkey"])
 
 
 # --- merges -----------------------------------------------------------------------------------------------------
@@ -602,50 +516,8 @@ def tracked_changes(spark, sf):
     return rows.select("c_custkey", F.array_join(F.transform(found, lambda x: x["field"]), ",").alias("changed"))
 
 
-@query("""
-    WITH c AS (SELECT user_id, event_id, event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 AS step, ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT event_id, CAST(sum(CASE WHEN step THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS version FROM c""")
-def version_numbering(spark, sf):
-    return change_points(_t(spark, sf, "events"), "user_id", ["ts", "event_id"], ["event_type"]).select("event_id", "version")
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.absent') IS NOT NULL AS has FROM events")
-def json_fields(spark, sf):
-    return _t(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.absent").isNotNull().alias("has"))
-
-
-@query("SELECT c_custkey, sha256(concat_ws('|', c_name, CAST(c_nationkey AS VARCHAR), c_mktsegment)) AS hash FROM customer")
-def hash_snapshot(spark, sf):
-    return _t(spark, sf, "customer").select("c_custkey", F.sha2(F.concat_ws("|", "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment"), 256).alias("hash"))
-
-
 # --- reports ----------------------------------------------------------------------------------------------------
 
-_RECOMPETES = """
-    WITH link AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linestatus = 'O' THEN l_shipdate END DESC NULLS LAST, l_linenumber) AS rn FROM lineitem WHERE l_returnflag <> 'R')
-    SELECT o_orderkey AS award_key, o_orderpriority AS award_type_code, coalesce(CASE WHEN o_orderkey % 4 > 0 THEN 'R' || o_custkey END, c_name) AS recipient_name, o_totalprice AS total_value, CAST(o_orderdate AS DATE) AS ultimate_end, l_linenumber AS linked_notice_id
-    FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN link ON l_orderkey = o_orderkey AND rn = 1
-    WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_totalprice >= 25000 AND CAST(o_orderdate AS DATE) BETWEEN CAST(DATE '1995-06-15' + INTERVAL 6 MONTH AS DATE) AND CAST(DATE '1995-06-15' + INTERVAL 24 MONTH AS DATE)"""
-
-
-@query(_RECOMPETES)
-def recompetes(spark, sf):
-    """Orders as awards that end in the window, with names and the newest linked line."""
-    from bidweave.plans.recompetes import MONTHS_FROM, MONTHS_TO
-
-    today = F.lit(dt.date(1995, 6, 15))
-    end = F.to_date("o_orderdate")
-    due = _t(spark, sf, "orders").where(
-        F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM") & (F.col("o_totalprice") >= CFG.candidates.min_total_value) & end.between(F.add_months(today, MONTHS_FROM), F.add_months(today, MONTHS_TO))
-    )
-    li = _t(spark, sf, "lineitem").where(F.col("l_returnflag") != "R").select("l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "O", F.col("l_shipdate")).alias("posted"))
-    link = R.distinct_on(li, ["l_orderkey"], [F.col("posted").desc_nulls_last(), F.col("l_linenumber")]).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("linked_notice_id"))
-    names = _t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    own = F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("R"), F.col("o_custkey").cast("string")))
-    return due.join(names, "o_custkey", "left").join(link, "o_orderkey", "left").select(
-        F.col("o_orderkey").alias("award_key"), F.col("o_orderpriority").alias("award_type_code"), F.coalesce(own, "c_name").alias("recipient_name"), F.col("o_totalprice").alias("total_value"), end.alias("ultimate_end"), "linked_notice_id"
-    )
-
 
 @query("SELECT event_type AS source, count(*) FILTER (WHERE value > 20) AS done, count(*) AS total, max(CASE WHEN value > 20 THEN CAST(ts AS DATE) END) AS through FROM events GROUP BY 1")
 def chunk_progress_watermark(spark, sf):

@@ -178,6 +178,12 @@ def load_awards(stored: dict[str, DataFrame], raw: DataFrame, vertical: Sequence
     }
 
 
+def with_offices(awards: DataFrame, offices: DataFrame) -> DataFrame:
+    """Awards with the name that the office table has for their office, as ``office_name``; null where it has none."""
+    known = offices.select(F.col("subtier_code").alias("awarding_sub_agency_code"), F.col("office_code").alias("awarding_office_code"), F.col("name").alias("office_name"))
+    return awards.join(known, ["awarding_sub_agency_code", "awarding_office_code"], "left").select(*awards.columns, "office_name")
+
+
 def award_value(prefix: str = "") -> Column:
     """What an award is worth: its potential, current or obligated total."""
     return F.coalesce(f"{prefix}total_value", f"{prefix}current_total_value", f"{prefix}obligated_total")

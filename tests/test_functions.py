@@ -72,7 +72,8 @@ def test_tokens_and_amounts(spark):
 
 def test_citations(spark):
     text = "Follow-on to the incumbent contract W91QUZ-21-C-0001, not 2024-01-01; again w91quz21c0001. Own ABCD1234567."
-    c = one(spark, T.citations(F.lit(text), F.lit("abcd-1234567")))
+    rows = spark.createDataFrame([(text, "abcd-1234567")], "text string, own string")
+    c = [r["c"] for r in T.cited_numbers(rows, "text", "own").orderBy("c.at").collect()]
     assert [(x["piid_norm"], x["raw"], x["at"]) for x in c] == [("W91QUZ21C0001", "W91QUZ-21-C-0001", text.index("W91") + 1)]
     words = one(spark, T.context_words(F.lit(text), F.lit(c[0]["at"]), F.lit(len(c[0]["raw"])), CFG.explicit_reference.context_words, 120))
     assert words == ["incumbent", "follow-on"]

@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from bidweave import queries
+from bidweave import domain_queries as queries
 
 SF = "/root/testdata/sf0.001"
 
