@@ -176,6 +176,7 @@ def similarities(notices: DataFrame, awards: DataFrame, pairs: DataFrame, corpus
     Vectors are computed once a notice and once an award, and multiplied for the given pairs only.
     """
     df, n = T.document_frequency(corpus, "description")
+    df = cut(df)  # both sides' weights need it
     used_notices = notices.join(pairs.select("notice_id").distinct(), "notice_id", "left_semi")
     used_awards = awards.join(pairs.select("award_key").distinct(), "award_key", "left_semi")
     both = used_notices.select("notice_id", F.lit("title").alias("kind"), F.col("n_title").alias("words")).unionByName(
