@@ -260,7 +260,8 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     ``shared`` (the share of a template's trigrams found) and ``line`` (from 0, the one the others are joined with)
     are those of the surest one.
     Null and empty texts have none. Repeated rows and null ids come out as they are; an empty table gives no
-    rows. Paragraphs are scored on their own, so a text of any length splits up.
+    rows; other columns are not read. Paragraphs are scored on their own, so a text of any length splits up, but a line
+    without breaks is held in one row, with some hundred bytes a word. Ties go to the earlier line.
     """
     model = model or trained()
     spark = docs.sparkSession
