@@ -120,6 +120,32 @@ def sample_documents(docs: DataFrame, columns: list[str], limit: int, seed: str)
     return sorted(picked.orderBy("_rank").limit(limit).collect(), key=lambda r: (r["_rank"], *map(str, r)))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, mark: str, seed: str, most_docs: int, most_chars: int) -> tuple[list[str], list[int]]:
+    """Texts and their labels (0 or 1) from a bounded sample of documents whose ids are not held out, to fit a model on.
+
+    Whole texts are taken, documents in the order of a hash of their ids, until ``most_chars`` are full; a text that
+    would not fit is passed over. A document with several labels has the greatest; null labels, ids and texts are left
+    out, and a text that repeats under its id counts once.
+    """
+    spark = docs.sparkSession
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(mark).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(mark).alias("_mark"))
+    chosen = sample_documents(marks, ["doc_id", "_mark"], most_docs, seed)
+    wanted = spark.createDataFrame([(r["doc_id"], i) for i, r in enumerate(chosen)], "_id long, _at int")
+    found = docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["_id"]).where(docs["text"].isNotNull())
+    key = F.md5(docs["text"].cast("binary")).alias("_key")
+    sizes = found.select("_at", key, F.length(docs["text"]).alias("_chars")).distinct().orderBy("_at", "_key").limit(2 * most_docs).collect()
+    left, taken = most_chars, []
+    for r in sizes:
+        if r["_chars"] <= left:
+            left -= r["_chars"]
+            taken.append((chosen[r["_at"]]["doc_id"], r["_key"], r["_at"]))
+    texts = spark.createDataFrame(taken, "_id long, _key string, _at int")
+    same = (docs["doc_id"] == texts["_id"]) & (F.md5(docs["text"].cast("binary")) == texts["_key"])
+    rows = docs.join(F.broadcast(texts), same).select("_at", "_key", docs["text"].alias("_text")).distinct().collect() if taken else []
+    rows.sort(key=lambda r: (r["_at"], r["_key"]))
+    return [r["_text"] for r in rows], [int(chosen[r["_at"]]["_mark"] > 0) for r in rows]
+
+
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of one key each from batches that are sorted by ``keys``."""
     import numpy as np

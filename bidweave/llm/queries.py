@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import bpe, chat, compression, embed_dedup, jaccard, langid, license_scan, packing, sharding, toxicity
+from bidweave.llm import bpe, chat, compression, embed_dedup, hard_negatives, jaccard, langid, license_scan, packing, quality_crf, sharding, toxicity, whitening
 from bidweave.llm.common import finish, materialise, scratch_path
 
 SHARDS = 8
@@ -82,10 +82,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"), F.array_join(F.col("offending").cast("array<string>"), ",").alias("offending"), "worst")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, a seventh of the labels moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(_read(spark, sf_dir, "embeddings").withColumn("label", label))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of all embeddings. A deviation beyond a long is null; it stands whole beside."""
+    out = whitening.whiten(_read(spark, sf_dir, "embeddings"))
+    short = F.col("deviation").try_cast("long").alias("deviation")
+    return out.select("vec_id", "component", "n", short, "whitened", "explained", "identity_error", F.col("deviation").alias("deviation_whole"))
+
+
+def op13_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labels that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    scored = quality_crf.score_documents(docs, quality_crf.train(docs, _read(spark, sf_dir, "labels")))
+    bad = F.array_join(F.col("bad_lines").cast("array<string>"), ",").alias("bad_lines")
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("bad_lines").alias("n_bad_lines"), bad)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_virtual_slots, op2_embedding_near_dedup, op3_language_id, op4_compression_bands, op5_chat_formatting,
-        op6_vector_bin_packing, op7_chosen_path_join, op8_byte_bpe, op9_license_scan, op10_toxicity,
+        op6_vector_bin_packing, op7_chosen_path_join, op8_byte_bpe, op9_license_scan, op10_toxicity, op11_hard_negatives,
+        op12_embedding_whitening, op13_quality_crf,
     )
     return {f.__name__: f for f in own}
 
@@ -148,6 +171,27 @@ def _jaccard_sql() -> str:
     """
 
 
+def _negatives_sql() -> str:
+    low, high, first, best = hard_negatives.LOW, hard_negatives.HIGH, hard_negatives.POSITIVES, hard_negatives.NEGATIVES
+    return f"""
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        ),
+        x AS (SELECT vec_id, label, list_transform(e, lambda c: floor(256 * c)) AS x FROM v WHERE list_bool_and(list_transform(e, lambda c: c IS NOT NULL AND isfinite(c)))),
+        met AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+            FROM x a JOIN x b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ),
+        pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {first})
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+            id AS negative_id, positive_score, score AS negative_score
+        FROM pos JOIN met USING (anchor_id)
+        WHERE NOT same AND {low} * positive_score <= 100 * score AND 100 * score <= {high} * positive_score
+        QUALIFY rank <= {best}
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins; the other operators need a compressor, a tokenizer or a trained model and are tested by brute force."""
-    return {"op2_embedding_near_dedup": _embedding_sql(), "op5_chat_formatting": _chat_sql(), "op7_chosen_path_join": _jaccard_sql()}
+    return {"op2_embedding_near_dedup": _embedding_sql(), "op5_chat_formatting": _chat_sql(), "op7_chosen_path_join": _jaccard_sql(), "op11_hard_negatives": _negatives_sql()}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidweave.llm.common import held_out, prepare, sample_documents
+from bidweave.llm.common import held_out, labelled_texts, prepare
 
 #: Bounds of the training sample: labelled documents, in the order of a hash of their ids, and characters of all their whole texts.
 SAMPLE_DOCS = 6_000
@@ -158,26 +158,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts are left out, and a text that repeats under its id counts once. Without both kinds of labelled texts there is
     nothing to learn: a warning says so, and the model scores 0.
     """
-    spark = docs.sparkSession
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = sample_documents(marks, ["doc_id", "toxic"], SAMPLE_DOCS, "tox")
-    wanted = spark.createDataFrame([(r["doc_id"], i) for i, r in enumerate(chosen)], "_id long, _at int")
-    found = docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["_id"]).where(docs["text"].isNotNull())
-    key = F.md5(docs["text"].cast("binary")).alias("_key")
-    sizes = found.select("_at", key, F.length(docs["text"]).alias("_chars")).distinct().orderBy("_at", "_key").limit(2 * SAMPLE_DOCS).collect()
-    left, taken = SAMPLE_CHARS, []
-    for r in sizes:
-        if r["_chars"] <= left:
-            left -= r["_chars"]
-            taken.append((chosen[r["_at"]]["doc_id"], r["_key"], r["_at"]))
-    texts = spark.createDataFrame(taken, "_id long, _key string, _at int")
-    same = (docs["doc_id"] == texts["_id"]) & (F.md5(docs["text"].cast("binary")) == texts["_key"])
-    rows = docs.join(F.broadcast(texts), same).select("_at", "_key", docs["text"].alias("_text")).distinct().collect() if taken else []
-    rows.sort(key=lambda r: (r["_at"], r["_key"]))
-    toxic = [int(chosen[r["_at"]]["toxic"] > 0) for r in rows]
+    texts, toxic = labelled_texts(docs, labels, "toxic", "tox", SAMPLE_DOCS, SAMPLE_CHARS)
     if len(set(toxic)) < 2:
         warnings.warn("no labelled texts of both kinds to learn from: every document scores 0", stacklevel=2)
-    return fit([r["_text"] for r in rows], toxic)
+    return fit(texts, toxic)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
