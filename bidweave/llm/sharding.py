@@ -1,7 +1,6 @@
 """Sharding by fixed virtual slots.
 
-A record's slot is a hash of its id and text and never changes (records that repeat
-many times are spread over several slots). A versioned map
+A record's slot is a hash of its id, text and copy number, and never changes. A versioned map
 sends slots to shards; rebalancing sums bytes by slot and edits as few entries
 as it can. Only the map and the slot sums (both of a fixed size) reach the driver.
 """
@@ -105,17 +104,17 @@ class SlotMap:
         return SlotMap(row["version"], row["shards"], tuple(row["shard_of"]))
 
 
-#: A record that repeats so often or more is spread over several slots, about SPREAD rows each.
-REPEATS = 32
+#: Copies of one record that share a slot: copy number n is hashed with n // SPREAD.
 SPREAD = 16
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of every row; the text goes no further.
+    """doc_id, size, text_crc32, virtual_slot and how many equal rows lie there; the text goes no further.
 
-    A slot is a hash of id and text. Rows that repeat both ``REPEATS`` times or more would make one slot hot, so they
-    are counted first, summed before the shuffle, and hashed with a number below their count / ``SPREAD`` as well.
-    Such numbers come from the rows' places, so the result is to be written before it is used twice.
+    A slot is a hash of id, text and ``copy number // SPREAD``. Equal rows are counted, before the shuffle too, and as
+    they can't be told apart, their copy numbers are 0, 1, 2 and so on: the slots of a table don't depend on how it is
+    partitioned, and no record moves when another copy arrives. A record of any number of copies is one row here for each
+    ``SPREAD`` of them, in as many slots as there are.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
@@ -124,19 +123,16 @@ def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64("doc_id", "text").alias("_hash"),
     )
-    often = rows.groupBy("_hash").agg(F.count("*").alias("_n")).where(F.col("_n") >= REPEATS)
-    salt = F.lit(0).cast("long")
-    if not often.isEmpty():
-        # Few records repeat so, so this is a broadcast as a rule; beyond its limit adaptive execution splits the hot ones.
-        rows = rows.join(often, "_hash", "left")
-        salt = F.when(F.col("_n").isNull(), salt).otherwise(F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_n") / SPREAD)))
-    slot = F.when(salt == 0, F.pmod("_hash", F.lit(slots))).otherwise(F.pmod(F.xxhash64("_hash", salt), F.lit(slots)))
-    return rows.select("doc_id", "size", "text_crc32", slot.cast("int").alias("virtual_slot"))
+    counted = rows.groupBy("doc_id", "size", "text_crc32", "_hash").agg(F.count("*").alias("_n"))
+    part = counted.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / SPREAD).cast("long"))))
+    slot = F.when(F.col("_part") == 0, F.pmod("_hash", F.lit(slots))).otherwise(F.pmod(F.xxhash64("_hash", "_part"), F.lit(slots)))
+    copies = F.least(F.lit(SPREAD).cast("long"), F.col("_n") - F.col("_part") * SPREAD)
+    return part.select("doc_id", "size", "text_crc32", slot.cast("int").alias("virtual_slot"), copies.alias("copies"))
 
 
 def slot_sums(slotted: DataFrame) -> dict[int, tuple[int, int]]:
     """Rows and bytes by slot: at most one row a slot, summed before the shuffle."""
-    rows = slotted.groupBy("virtual_slot").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
+    rows = slotted.groupBy("virtual_slot").agg(F.sum("copies").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("b")).collect()
     return {r["virtual_slot"]: (r["n"], r["b"]) for r in rows}
 
 
@@ -145,7 +141,7 @@ def shard_documents(slotted: DataFrame, slot_map: SlotMap, sums: dict[int, tuple
 
     Places are gapless: a slot's first place is the number of rows in the shard's slots before it, and rows
     are numbered within their slot only, so no task sees more than a slot. Rows of one slot stand in the order of
-    doc_id (null last), text_crc32 and size; the order of equal rows does not matter. Null ids and texts count as any
+    doc_id (null last), text_crc32 and size; the order of equal rows does not matter, and they come out as often as they went in. Null ids and texts count as any
     other (a null text has no bytes), texts of any length are only hashed, other columns are not read, and an empty
     table gives no rows.
     """
@@ -157,10 +153,11 @@ def shard_documents(slotted: DataFrame, slot_map: SlotMap, sums: dict[int, tuple
     spark = slotted.sparkSession
     rows = list(zip(range(len(first)), slot_map.shard_of, first, strict=True))
     places = spark.createDataFrame(rows, "virtual_slot int, shard int, first long")
-    order = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
+    order = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        slotted.withColumn("_n", F.row_number().over(order) - 1)
+        slotted.withColumn("_before", F.coalesce(F.sum("copies").over(order), F.lit(0)))
         .join(F.broadcast(places), "virtual_slot")
+        .withColumn("_n", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("copies") - 1)))
         .select(
             "doc_id",
             "size",
