@@ -186,7 +186,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         """Language, score, letters a phrase, and whether the phrases are long enough for the language.
 
-        Null, letterless text, text without a letter that a training text has, and an empty model give ``und``, 0, 0.
+        Null and letterless text, and an empty model, give ``und``, 0, 0. A text whose letters no training text has is
+        all phrases of one letter: the language with the least cost wins, and the phrases are too short for it.
         """
         found: list[tuple[str, float, float, bool]] = []
         start = 0
@@ -197,14 +198,14 @@ class Model:
                 end += 1
             encoded = [self.encode(t or "") for t in texts[start:end]]
             for codes, counts in zip(encoded, self.phrases(encoded), strict=True):
-                if not self.langs or not (codes > 2).any():
+                if not self.langs or not (codes != 2).any():
                     found.append((UNKNOWN, 0.0, 0.0, False))
                     continue
                 costs = [c * w for c, w in zip(counts.tolist(), self.cost, strict=True)]
                 best = min(range(len(costs)), key=lambda i: (costs[i], self.langs[i]))
                 total = sum(math.exp(max(-60.0, (costs[best] - c) / self.cost[best])) for c in costs)
                 length = len(codes) / int(counts[best])
-                found.append((self.langs[best], 1.0 / total, length, length >= self.limit[best]))
+                found.append((self.langs[best], 1.0 / total, length, length >= self.limit[best] and bool((codes > 2).any())))
             start = end
         return found
 
@@ -256,8 +257,8 @@ def identify(docs: DataFrame, texts: dict[str, tuple[str, tuple[str, ...]]] | No
 
     Rows are independent and no text is shuffled: repeated rows repeat, a row without doc_id is judged as any other
     (and not held out), other columns are not read, and an empty table gives no rows. A text of any length is walked
-    in blocks. Null or letterless text, and text without a letter that a training text has: ``und`` with score 0. No
-    training rows: ``und`` for all. Ties go to the language first in the alphabet.
+    in blocks. Null or letterless text: ``und`` with score 0; a text in letters that no training text has gets the
+    language that costs it least, by phrases of a letter each. No training rows: ``und`` for all. Ties go to the language first in the alphabet.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -283,7 +284,7 @@ def identify(docs: DataFrame, texts: dict[str, tuple[str, tuple[str, ...]]] | No
 
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
-    """The documents in a learned language, with all their columns; ``und`` and those of too short phrases go.
+    """The documents in a learned language, with all their columns; ``und``, those of too short phrases and those without a learned letter go.
 
     Repeated rows stay as often as they occur; an empty table gives no rows.
     """
