@@ -40,13 +40,15 @@ WHOLE_BANDS = (
 #: Bytes of a fixed chunk, and the share of a text's bytes that may stand in chunks outside the limits for their length.
 CHUNK_BYTES = 4096
 CHUNK_SHARE = 1 / 3
-#: Fitted limits, always within the bands above: the median of a class of lengths (half octaves, joined until they hold
-#: CLASS_DOCS documents) and so many robust deviations, at least LEAST_WIDTH of the median. Tables of fewer than
-#: FIT_DOCS documents, and classes too small, have the bands alone. Ratios are counted in steps of 1 / STEPS.
+#: Fitted limits, always within the bands above: the median of a class of lengths (half octaves; their neighbours count
+#: too, less by NEIGHBOUR for each half octave) and so many robust deviations, at least LEAST_WIDTH of the median. They
+#: take the bands' place by n / (n + CLASS_DOCS), where n documents count, so verdicts change smoothly with a table's
+#: size. Ratios are counted in steps of 1 / STEPS.
 DEVIATIONS = 3.5
 LEAST_WIDTH = 0.05
-CLASS_DOCS = 64
-FIT_DOCS = 1000
+NEIGHBOUR = 1 / 16
+FAR = 8
+CLASS_DOCS = 8
 STEPS = 200
 TOP_STEP = 100 * STEPS
 LEVEL = 3
@@ -135,45 +137,43 @@ def class_of(n_bytes: int, n_chars: int) -> tuple[int, int]:
     return round(n_bytes / n_chars), int(2 * math.log2(n_bytes))
 
 
-def fit(counts: dict[tuple[int, int, int], int]) -> dict[tuple[int, int], tuple[float, float]]:
-    """Limits by class from the documents counted by (bytes a letter, half octave, ratio in steps)."""
-    limits: dict[tuple[int, int], tuple[float, float]] = {}
-    if sum(counts.values()) < FIT_DOCS:
-        return limits
+def fit(counts: dict[tuple[int, int, int], int]) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(low, high, weight) by class, from the documents counted by (bytes a letter, half octave, ratio in steps)."""
+    limits: dict[tuple[int, int], tuple[float, float, float]] = {}
     for width in sorted({w for w, _, _ in counts}):
-        joined: list[int] = []
-        held: Counter[int] = Counter()
-        for octave in sorted({o for w, o, _ in counts if w == width}):
-            joined.append(octave)
-            for (w, o, step), n in counts.items():
-                if (w, o) == (width, octave):
-                    held[step] += n
-            if held.total() >= CLASS_DOCS:
+        own = [(o, step, n) for (w, o, step), n in sorted(counts.items()) if w == width]
+        for octave in range(own[0][0] - FAR, own[-1][0] + FAR + 1):
+            held: Counter[int] = Counter()
+            for o, step, n in own:
+                if abs(o - octave) <= FAR:
+                    held[step] += n * NEIGHBOUR ** abs(o - octave)
+            if held:
                 middle = _median(held)
                 off: Counter[int] = Counter()
                 for step, n in held.items():
                     off[abs(step - middle)] += n
                 reach = max(DEVIATIONS * 1.4826 * _median(off), LEAST_WIDTH * middle)
-                limits |= {(width, o): ((middle - reach) / STEPS, (middle + reach) / STEPS) for o in joined}
-                joined, held = [], Counter()
+                n = sum(held.values())
+                limits[width, octave] = ((middle - reach) / STEPS, (middle + reach) / STEPS, n / (n + CLASS_DOCS))
     return limits
 
 
 def _median(counts: Counter[int]) -> int:
-    """The lower median of counted values."""
-    left = (counts.total() + 1) // 2
+    """The lower median of values that count as much as their weights say."""
+    half, found = sum(counts.values()) / 2, 0.0
     for value in sorted(counts):
-        left -= counts[value]
-        if left <= 0:
+        found += counts[value]
+        if found >= half:
             return value
     raise ValueError("nothing counted")
 
 
 def within(ratio: float, n_bytes: int, n_chars: int, limits: dict) -> bool:
-    """Whether a ratio lies within the band of its length and within the fitted limits, if there are any."""
+    """Whether a ratio lies within the band of its length, drawn in towards the fitted limits by their weight."""
     low, high = band(n_bytes)
     if fitted := limits.get(class_of(n_bytes, n_chars)):
-        low, high = max(low, fitted[0]) if low else low, min(high, fitted[1])
+        low += fitted[2] * max(0.0, fitted[0] - low) if low else 0.0
+        high -= fitted[2] * max(0.0, high - fitted[1])
     return low <= ratio <= high
 
 
@@ -229,7 +229,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(4)], names=["width", "octave", "step", "n"])
 
 
-def fitted_limits(docs: DataFrame) -> dict[tuple[int, int], tuple[float, float]]:
+def fitted_limits(docs: DataFrame) -> dict[tuple[int, int], tuple[float, float, float]]:
     """The limits fitted to all documents of a table; only counts by class and step leave the executors."""
     prepare(docs.sparkSession)
     counted = docs.select("text").mapInArrow(_count, "width long, octave long, step long, n long")
