@@ -3,7 +3,8 @@
 Examples are vectors of demands (tokens, segments, loss-bearing tokens); a
 sequence has a limit in each. A sequence is filled by taking, again and again,
 the example whose demand has the greatest dot product with what is left of it.
-Every partition packs its own rows, so nothing is shuffled. Documents bear loss on
+Every partition packs its own rows, and no text is shuffled; the pieces of the one sequence
+that each partition leaves part-filled are gathered and packed once more. Documents bear loss on
 every token; conversations bring a mask, and all three limits bind.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bidweave.llm.common import prepare
+from bidweave.llm.common import materialise, prepare, release
 
 END_ID = 1
 
@@ -257,44 +258,79 @@ PIECES = pa.schema(
 )
 
 
-def _pieces(docs: DataFrame, limits: Limits, with_ids: bool, examples: Callable[[Iterator[pa.RecordBatch]], Iterator[Example | None]], id_name: str) -> DataFrame:
-    """Packs the examples of each partition as they come; a None among them lets pieces out."""
-    fields = [pa.field(id_name, pa.int64()), *list(PIECES)[1:]]
-    schema = pa.schema(fields if with_ids else fields[:-1])
-    ddl = ", ".join(f"{f.name} {'binary' if f.name == 'ids' else 'long'}" for f in schema)
+#: Part-filled sequences of the first pass that one task of the second packs again.
+GATHERED = 256
+#: Second-pass sequences are numbered from here on.
+SECOND = 1 << 60
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 36
-        rows: list[tuple] = []
 
-        def place(x: Example, start: int, size: int, sequence: int, offset: int) -> None:
-            ids = x.ids[4 * start : 4 * (start + size)]
-            row = (x.doc_id, x.first + start, size, zlib.crc32(ids), x.total, base + sequence, offset)
-            rows.append((*row, ids) if with_ids else row)
+def _pieces(docs: DataFrame, limits: Limits, with_ids: bool, examples: Callable[[Iterator[pa.RecordBatch]], Iterator[Example | None]], id_name: str) -> DataFrame:
+    """Packs the examples of each partition as they come; a None among them lets pieces out.
 
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    The sequence that a partition leaves part-filled comes out as leftovers, with the pieces' ids and masks. The first
+    pass is written; then leftovers, ``GATHERED`` sequences in a task, are packed as examples of their own.
+    """
+    named = [pa.field(id_name, pa.int64()), *list(PIECES)[1:]]
+    whole = pa.schema([*named, pa.field("loss", pa.binary()), pa.field("left", pa.bool_())])
+    ddl = ", ".join(f"{f.name} {({pa.int64(): 'long', pa.bool_(): 'boolean'}).get(f.type, 'binary')}" for f in whole)
+    result = [f.name for f in (named if with_ids else named[:-1])]
+
+    def packed(examples: Callable[[Iterator[pa.RecordBatch]], Iterator[Example | None]], first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            base = first + (TaskContext.get().partitionId() << 36)
+            rows: list[tuple[Example, int, int, int, int]] = []
+
+            def out(left: int | None = None) -> pa.RecordBatch:
+                """The rows so far; those of one sequence are leftovers."""
+                made = []
+                for x, start, size, sequence, offset in rows:
+                    ids = x.ids[4 * start : 4 * (start + size)]
+                    again = sequence == left
+                    mask = np.diff(x.loss[start : start + size + 1]).astype(np.int8).tobytes() if again and x.loss is not None else None
+                    made.append((x.doc_id, x.first + start, size, zlib.crc32(ids), x.total, base + sequence, offset, ids if with_ids or again else None, mask, again))
+                columns = list(zip(*made, strict=True)) or [()] * len(whole)
+                rows.clear()
+                return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, whole, strict=True)], schema=whole)
+
+            packer = Packer(limits, lambda *placed: rows.append(placed))
+            for example in examples(batches):
+                if example is None:
+                    yield out()
+                else:
+                    packer.add(example)
+            yield out()
+            packer.fill()
+            last = packer.sequence - 1
+            used = sum(size for _, _, size, sequence, _ in rows if sequence == last)
+            yield out(last if 0 < used <= limits.tokens - limits.least_cut else None)
 
-        packer = Packer(limits, place)
-        for example in examples(batches):
-            if example is None:
-                yield out()
-            else:
-                packer.add(example)
-        packer.fill()
-        yield out()
+        return run
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[Example | None]:
+        for batch in batches:
+            for doc_id, start, size, total, ids, mask in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                loss = None if mask is None else np.concatenate([[0], np.cumsum(np.frombuffer(mask, dtype=np.int8), dtype=np.int64)])
+                yield Example(doc_id, ids, 0, size, total, loss, start)
+            yield None
 
-    return docs.mapInArrow(run, ddl)
+    spark = docs.sparkSession
+    once, path = materialise(docs.mapInArrow(packed(examples, 0), ddl), "packed")
+    release(spark, path)
+    left = once.where("left")
+    sequences = left.select("sequence_id").distinct().count()
+    tasks = max(1, -(-sequences // GATHERED))
+    dealt = left.repartitionByRange(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset") if tasks > 1 else left.coalesce(1).sortWithinPartitions("sequence_id", "offset")
+    second = dealt.select(id_name, "start", "length", "doc_tokens", "ids", "loss").mapInArrow(packed(again, SECOND), ddl)
+    return once.where(~F.col("left")).select(*result).unionByName(second.select(*result))
 
 
 def pack_documents(docs: DataFrame, path: str, limits: Limits = DOCUMENTS, with_ids: bool = True) -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence.
 
     A document's ids are its tokens and an end id; null counts as empty, so every row, one without doc_id too, has one
-    id at least. All ids bear loss. A sequence's id is its partition and its number there; at most one sequence of a
-    partition is left part-filled, up to gaps below ``least_cut``. ``ids`` holds the piece's ids as little-endian
+    id at least. All ids bear loss. A sequence's id is its partition and its number there (from ``SECOND`` on for those
+    packed from leftovers); at most one sequence for each ``GATHERED`` partitions is left part-filled, up to gaps below
+    ``least_cut``. ``ids`` holds the piece's ids as little-endian
     unsigned 32-bit integers. Texts of any length are taken whole; repeated rows are packed as often as they occur,
     and of examples as good as another the first goes first; other columns are not read; an empty table gives no rows.
     """
