@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -36,3 +42,25 @@ def build(name: str = "bidweave", master: str | None = None) -> SparkSession:
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once an application, for data sources and functions that run in their Python."""
+    app = spark.sparkContext.applicationId
+    root = os.path.dirname(os.path.abspath(__file__))
+    if app in _shipped or not os.path.isdir(root):
+        return
+    folder = tempfile.mkdtemp(prefix="bidweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "bidweave.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for at, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
