@@ -6,6 +6,7 @@
     python -m bidweave.cli --root DIR notice-archive YEAR [FILE]     a fiscal year's archived notices
     python -m bidweave.cli --root DIR ingest-pages FOLDER            archived pages of the search
     python -m bidweave.cli --root DIR ingest-notices [--backfill]    pages of the search, since the last day reached
+    python -m bidweave.cli --root DIR sample-fixtures                  small answers of the providers, archived, and what they show
     python -m bidweave.cli --root DIR match | recompetes | diagnose | reset | status | doctor | version
     python -m bidweave.cli --root DIR label-sheet OUT | import-labels SHEET --labels FILE | eval --labels FILE [--report FILE]
     python -m bidweave.cli --root DIR review NOTICE AWARD confirmed|rejected --reviewer NAME
@@ -30,7 +31,7 @@ from bidweave.store import TABLES, Store, current_schema
 
 __all__ = ["TABLES", "Store", "current_schema", "main"]
 
-VERSION = "0.2.0"
+VERSION = "0.3.0"
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -48,6 +49,7 @@ def _parser() -> argparse.ArgumentParser:
     x = sub.add_parser("ingest-notices")
     x.add_argument("--backfill", action="store_true")
     x.add_argument("--since", type=dt.date.fromisoformat)
+    x.add_argument("--requests", type=int, default=remote.SEARCHES_A_DAY, help="requests a day that the search allows")
     for name in ("ingest-extract", "notice-archive"):
         x = sub.add_parser(name)
         if name == "notice-archive":
@@ -55,8 +57,9 @@ def _parser() -> argparse.ArgumentParser:
         x.add_argument("file", nargs="?")
         x.add_argument("--since", type=dt.date.fromisoformat)
         x.add_argument("--force", action="store_true")
-    for name in ("match", "recompetes", "diagnose", "reset", "status", "doctor", "version"):
+    for name in ("match", "recompetes", "diagnose", "reset", "doctor", "version", "sample-fixtures"):
         sub.add_parser(name)
+    sub.add_parser("status").add_argument("--size-limit-mb", type=int)
     x = sub.add_parser("label-sheet")
     x.add_argument("out")
     x.add_argument("--size", type=int, default=100)
@@ -85,9 +88,9 @@ def _extract(run: control.Run, a: argparse.Namespace, vertical: tuple[str, ...],
     work.mkdir(parents=True, exist_ok=True)
     with tempfile.TemporaryDirectory(dir=work) as folder:
         target = str(Path(folder) / "extract.csv")
-        remote.download(transport, url, target)
+        came = remote.download(remote.Caller(transport), url, target)
         run.requests += 1
-        return jobs.load_extract(run, target, url, vertical, a.since, a.force)
+        return jobs.load_extract(run, target, url, vertical, a.since, a.force, came)
 
 
 def _ingest(store: Store, a: argparse.Namespace, vertical: tuple[str, ...], archive: str, transport: remote.Transport) -> None:
@@ -101,11 +104,10 @@ def _ingest(store: Store, a: argparse.Namespace, vertical: tuple[str, ...], arch
         elif a.job in ("ingest-extract", "notice-archive"):
             print(_extract(run, a, vertical, transport))
         elif a.job == "ingest-notices":
-            key = os.environ.get("NOTICE_API_KEY", "")
-            job = jobs.NoticeJob(run, lambda *span: remote.search(transport, key, *span), vertical)
+            job = jobs.NoticeJob(run, remote.searcher(transport, os.environ.get("NOTICE_API_KEY", "")), vertical, a.requests)
             job.backfill(a.today, a.since) if a.backfill else job.delta(a.today)
         else:
-            job = jobs.AwardJob(run, remote.Export(transport), vertical)
+            job = jobs.AwardJob(run, transport, vertical)
             job.backfill(a.today, a.years) if a.job == "awards-backfill" else job.delta(a.today)
 
 
@@ -121,6 +123,15 @@ def main(argv: list[str] | None = None, transport: remote.Transport = remote.ove
     archive = a.archive or f"{a.root.removeprefix('file://')}/archive"
     if a.job in ("ingest-awards", "awards-backfill", "awards-delta", "ingest-pages", "ingest-notices", "ingest-extract", "notice-archive"):
         _ingest(store, a, vertical, archive, transport)
+    elif a.job == "sample-fixtures":
+        key = os.environ.get("NOTICE_API_KEY")
+        if key:
+            with control.running(store, jobs.NOTICES, "sample", archive) as run:
+                print("\n".join(jobs.sample_search(run, transport, key, a.today)))
+        else:
+            print("NOTICE_API_KEY is not set: no sample of the search")
+        with control.running(store, jobs.AWARDS, "sample", archive) as run:
+            print("\n".join(jobs.sample_export(run, transport, vertical[0], a.today)))
     elif a.job == "match":
         with control.running(store, "matcher", "match", archive) as run:
             print(jobs.run_match(store, cfg, vertical, a.today, run))
@@ -128,13 +139,15 @@ def main(argv: list[str] | None = None, transport: remote.Transport = remote.ove
         with control.running(store, "matcher", "recompetes", archive) as run:
             out = cut(recompetes.recompetes(store.read("awards"), store.read("entities"), store.read("matches"), store.notices(), cfg, vertical, a.today))
             run.rows_written = out.count()
-            store.write("recompetes", out)
+            t = run.begin()
+            t.write("recompetes", out)
+            t.commit()
     elif a.job == "diagnose":
         print("\n".join(reports.diagnose(store.notices(), store.read("awards"), store.read("notice_descriptions"), store.read("matches"), store.read("chunks"), cfg, vertical, a.today)))
     elif a.job == "reset":
         store.write("matches", match.reset_automatic(store.read("matches")))
     elif a.job == "status":
-        print("\n".join(reports.status({n: store.read(n) for n in TABLES}, store.read("runs"), store.read("chunks"), store.read("raw_files"))))
+        print("\n".join(reports.status({n: store.read(n) for n in TABLES}, store.read("runs"), store.read("chunks"), store.read("raw_files"), store.sizes(), a.size_limit_mb, remote.SEARCHES_A_DAY, dt.datetime.now(dt.UTC))))
     elif a.job == "doctor":
         print("\n".join(jobs.doctor(store)))
     elif a.job == "label-sheet":
@@ -154,8 +167,10 @@ def main(argv: list[str] | None = None, transport: remote.Transport = remote.ove
         print(text)
     elif a.job == "review":
         after, log = reports.record_review(store.read("matches"), store.read("reviews"), a.notice, a.award, a.decision, a.reviewer, dt.datetime.now(), a.note)
-        store.write("reviews", log)
-        store.write("matches", after)
+        t = store.begin()
+        t.write("reviews", log)
+        t.write("matches", after)
+        t.commit()
     return 0
 
 

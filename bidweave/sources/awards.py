@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from bidweave import schemas
 from bidweave.functions import normalize as N
 from bidweave.operators.merge import Merged, merge_reference, upsert
 from bidweave.operators.rows import cut, distinct_on
+from bidweave.sources import places, split_csv
 
 
 class NotAnAwardFileError(ValueError):
@@ -35,36 +34,51 @@ def project_wanted(raw: DataFrame, wanted: Sequence[str] = WANTED) -> tuple[Data
 
 
 def read_award_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """An award file's wanted columns and the missing ones' names; only the key column has to be there."""
-    raw = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=True).csv(path)
-    if schemas.AWARD_KEY not in raw.columns:
+    """An award file's wanted columns and the missing ones' names; only the key column has to be there.
+
+    Tasks read it by byte ranges; where only Spark reaches the file, one task reads it.
+    """
+    here = places.reachable(path)
+    names = split_csv.header(path, "utf-8-sig") if here else csv_header(spark, path)
+    if schemas.AWARD_KEY not in names:
         raise NotAnAwardFileError(f"{path} has no column {schemas.AWARD_KEY}")
-    return project_wanted(raw)
+    if here:
+        return project_wanted(split_csv.read_split(spark, path, wanted=WANTED))
+    return project_wanted(spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=True).csv(path))
 
 
-def read_award_zip(spark: SparkSession, path: str, work_dir: str) -> tuple[DataFrame, list[str]]:
-    """All award members of a zip, in the order of their names; others are left out.
+def read_award_files(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame | None, dict[str, list[str]], list[str]]:
+    """The rows of award files and of the award members of zips, in one table; columns that files lack; files passed over.
 
-    Zip archives can't be split: the members are unpacked to ``work_dir``, which executors must see.
+    Members are read as they are inflated, a task each, those of all zips side by side.
     """
-    frames = []
-    skipped = []
-    with zipfile.ZipFile(path) as archive:
-        for name in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
-            target = Path(work_dir) / Path(name).name
-            with archive.open(name) as source, target.open("wb") as out:
-                while block := source.read(1 << 20):
-                    out.write(block)
-            try:
-                frames.append(read_award_csv(spark, str(target))[0])
-            except NotAnAwardFileError:
-                skipped.append(name)
-    if not frames:
-        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in WANTED)), skipped
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out, skipped
+    frames, chosen, lacking, others = [], [], {}, []
+    for path in paths:
+        if path.endswith(".zip"):
+            found, skipped, missing = split_csv.members(path, WANTED, schemas.AWARD_KEY)
+            chosen += found
+            others += skipped
+            lacking |= missing
+            continue
+        try:
+            raw, missing = read_award_csv(spark, path)
+        except NotAnAwardFileError:
+            others.append(path)
+            continue
+        frames.append(raw)
+        if missing:
+            lacking[path.rsplit("/", 1)[-1]] = missing
+    if chosen:
+        frames.append(split_csv.read_members(spark, chosen, WANTED))
+    out = None
+    for frame in frames:
+        out = frame if out is None else out.unionByName(frame)
+    return out, lacking, others
+
+
+def member_headers(path: str) -> dict[str, list[str]]:
+    """The column names of each CSV member of a zip."""
+    return split_csv.headers(path)
 
 
 def typed_awards(raw: DataFrame) -> DataFrame:

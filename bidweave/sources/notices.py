@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bidweave import schemas
 from bidweave.functions import normalize as N
+from bidweave.sources import places, split_csv
 
 _TEXT = (
     "noticeId", "title", "type", "baseType", "uiLink", "description", "archiveType", "solicitationNumber", "postedDate", "responseDeadLine",
@@ -106,7 +107,16 @@ def check_header(columns: list[str]) -> list[str]:
 
 
 def read_extract(spark: SparkSession, path: str) -> DataFrame:
-    """An extract's rows as text: code page 1252, quoted fields over several lines, ragged rows tolerated."""
+    """An extract's rows as text: code page 1252, quoted fields over several lines, ragged rows tolerated.
+
+    Tasks read it by byte ranges; where only Spark reaches the file, one task reads it.
+    """
+    if places.reachable(path):
+        names = split_csv.header(path, "cp1252")
+        if not names:
+            raise ValueError(f"{path} is empty")
+        check_header(names)
+        return split_csv.read_split(spark, path, "cp1252")
     reader = spark.read.options(header=True, inferSchema=False, multiLine=True, quote='"', escape='"', encoding="windows-1252", mode="PERMISSIVE")
     raw = reader.csv(path)
     if not raw.columns:
@@ -121,8 +131,8 @@ def extract_in_scope(raw: DataFrame, vertical: tuple[str, ...], since: date | No
     return kept if since is None else kept.where(F.to_date(N.parse_datetime("PostedDate")) >= F.lit(since))
 
 
-def parse_extract(raw: DataFrame) -> DataFrame:
-    """Typed notices of an extract, with ``description``; what the extract doesn't have is null."""
+def parse_extract(raw: DataFrame, *others: str) -> DataFrame:
+    """Typed notices of an extract, with ``description`` and other columns named; what the extract doesn't have is null."""
     c = N.clean_text
 
     def named(field: str, column: str, other: str) -> Column:
@@ -177,6 +187,7 @@ def parse_extract(raw: DataFrame) -> DataFrame:
         c("ArchiveType").alias("archive_type"),
         N.parse_date("ArchiveDate").alias("archive_date"),
         c("Description").alias("description"),
+        *others,
     )
 
 

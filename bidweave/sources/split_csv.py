@@ -249,22 +249,30 @@ def _lines(archive: zipfile.ZipFile, name: str, encoding: str) -> io.TextIOWrapp
     return io.TextIOWrapper(archive.open(name), encoding=encoding, errors="replace", newline="")
 
 
+def headers(path: str, encoding: str = "utf-8-sig") -> dict[str, list[str]]:
+    """The column names of each CSV member of a zip, in the order of the members' names."""
+    out = {}
+    with places.opened(path) as source, zipfile.ZipFile(source) as archive:
+        for name in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
+            with _lines(archive, name, encoding) as lines:
+                out[name] = next(csv.reader(lines), [])
+    return out
+
+
 def members(path: str, wanted: Sequence[str], key: str, encoding: str = "utf-8-sig") -> tuple[list[Member], list[str], dict[str, list[str]]]:
     """The CSV members that have the key column, in the order of their names; names of the others; columns that members lack.
 
     Read are the archive's directory and the members' first records.
     """
     found, others, missing = [], [], {}
-    with places.opened(path) as source, zipfile.ZipFile(source) as archive:
-        for name in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
-            with _lines(archive, name, encoding) as lines:
-                first = {n: i for i, n in reversed(list(enumerate(next(csv.reader(lines), []))))}
-            if key not in first:
-                others.append(name)
-                continue
-            found.append(Member(path, name, [first.get(c, -1) for c in wanted]))
-            if lacks := [c for c in wanted if c not in first]:
-                missing[name] = lacks
+    for name, names in headers(path, encoding).items():
+        first = {n: i for i, n in reversed(list(enumerate(names)))}
+        if key not in first:
+            others.append(name)
+            continue
+        found.append(Member(path, name, [first.get(c, -1) for c in wanted]))
+        if lacks := [c for c in wanted if c not in first]:
+            missing[name] = lacks
     return found, others, missing
 
 

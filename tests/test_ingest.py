@@ -81,9 +81,9 @@ def test_zip_and_bad_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
         z.write(a, "b.csv")
         z.write(tmp_path / "c.csv", "c.csv")
-    (tmp_path / "work").mkdir()
-    raw, skipped = awards.read_award_zip(spark, str(tmp_path / "all.zip"), str(tmp_path / "work"))
-    assert raw.count() == 1 and skipped == ["c.csv"]
+    raw, missing, others = awards.read_award_files(spark, [str(tmp_path / "all.zip"), a, str(tmp_path / "c.csv")])
+    assert raw.count() == 2 and others == [str(tmp_path / "c.csv"), "c.csv"] and "recipient_uei" in missing["b.csv"]
+    assert awards.read_award_files(spark, [str(tmp_path / "c.csv")])[0] is None
     assert "recipient_uei" in awards.read_award_csv(spark, a)[1]
     with pytest.raises(awards.NotAnAwardFileError):
         awards.read_award_csv(spark, str(tmp_path / "c.csv"))
@@ -326,144 +326,6 @@ def test_runs_are_recorded(spark, tmp_path):
     assert {r["id"]: r["status"] for r in s.read("runs").collect()} == {1: "failed", 2: "succeeded", 3: "failed", 4: "succeeded"}
 
 
-def test_notice_pages_resume(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(remote, "PAGE_ROWS", 2)
-    s = store.Store(spark, f"file://{tmp_path}/root")
-    today, since = dt.date(2026, 10, 6), dt.date(2026, 9, 1)
-    served = {"541512": [{**RECORD, "noticeId": f"A{i}"} for i in range(3)], "541519": [{**RECORD, "noticeId": "B", "naicsCode": "541519"}, {**RECORD, "noticeId": "C", "naicsCode": "111111"}]}
-    asked = []
-
-    def fetch(start, end, at, code):
-        asked.append((code, at))
-        if len(asked) == 2:
-            raise control.BudgetExhaustedError("later")
-        every = served[code] if code else served["541512"]
-        return json.dumps({"totalRecords": len(every), "opportunitiesData": every[2 * at : 2 * at + 2]}).encode()
-
-    def backfill():
-        with control.running(s, jobs.NOTICES, "backfill", str(tmp_path / "arc"), log=quiet) as run:
-            jobs.NoticeJob(run, fetch, ("541512", "541519")).backfill(today, None if asked else since)
-
-    backfill()
-    assert s.read("runs").first()["status"] == "partial" and s.read("notices").count() == 2
-    backfill()
-    assert asked[2:] == [("541512", 1), ("541519", 0)] and {r["notice_id"] for r in s.read("notices").collect()} == {"A0", "A1", "A2", "B"}
-    backfill()  # the plan is done
-    assert len(asked) == 4 and {r["status"] for r in s.read("chunks").collect()} == {"done"}
-    with control.running(s, jobs.NOTICES, "delta", str(tmp_path / "arc"), log=quiet) as run:
-        jobs.NoticeJob(run, fetch, ("541512",)).delta(today)
-    params = {r["job"]: r["params"] for r in s.read("runs").collect()}["delta"]
-    assert params == {"posted_from": "2026-10-04", "posted_to": "2026-10-06"} and s.read("notices").count() == 4
-    assert s.read("raw_files").count() == 5
-
-
-def test_extracts_load_once(spark, tmp_path):
-    s = store.Store(spark, f"file://{tmp_path}/root")
-    path = extract(tmp_path / "e.csv", {}, {"NoticeId": "N2", "NaicsCode": "111111"}, {"NoticeId": "N1", "Title": "Later"})
-
-    def load(**kwargs):
-        with control.running(s, jobs.NOTICES, "extract", str(tmp_path / "arc"), log=quiet) as run:
-            return jobs.load_extract(run, path, "http://x/e.csv", ("541512",), **kwargs)
-
-    assert load() == {"inserted": 1, "changed": 1} and load() is None
-    assert load(force=True) == {"changed": 2}  # the older row comes first again, as it does in the file
-    meta = s.read("raw_files").first()
-    assert meta["request_params"]["rows_kept"] == "2" and meta["request_params"]["rows_in_file"] == "3"
-    assert b"Later" in files.read_archived(str(tmp_path / "arc"), meta["path"])
-
-
-class Exports:
-    """A provider whose files are built at once, or not at all."""
-
-    def __init__(self, tmp_path, rows):
-        self.tmp_path, self.rows, self.asked, self.pending, self.broken = tmp_path, rows, [], {}, set()
-
-    def __call__(self, method, url, values):
-        if method == "POST":
-            name = f"f{len(self.asked)}"
-            span = values["filters"]["time_period"][0]
-            self.asked.append((span["start_date"], span["end_date"], tuple(values["filters"]["naics_codes"]["require"])))
-            self.pending[name] = self.rows(*self.asked[-1])
-            return remote.Response(200, [json.dumps({"file_name": name}).encode()], {})
-        if "status" in url:
-            name = values["file_name"]
-            state = "failed" if name in self.broken else "finished"
-            return remote.Response(200, [json.dumps({"status": state, "file_url": f"/{name}", "total_rows": self.pending[name]}).encode()], {})
-        path = award_file(self.tmp_path / "in.csv", {"contract_award_unique_key": url[-2:]})
-        with zipfile.ZipFile(self.tmp_path / "in.zip", "w") as z:
-            z.write(path, "in.csv")
-        return remote.Response(200, [(self.tmp_path / "in.zip").read_bytes()], {})
-
-
-def test_award_exports_split_and_resume(spark, tmp_path):
-    s = store.Store(spark, f"file://{tmp_path}/root")
-    provider = Exports(tmp_path, lambda a, b, codes: 500_000 if len(codes) > 1 else 10)
-
-    def job(name, f):
-        with control.running(s, jobs.AWARDS, name, str(tmp_path / "arc"), log=quiet) as run:
-            f(jobs.AwardJob(run, remote.Export(provider, sleep=quiet), ("541512", "541519")))
-
-    today = dt.date(2026, 9, 30)
-    job("backfill", lambda j: j.backfill(today, 1))
-    assert provider.asked == [("2025-09-30", "2025-09-30", ("541512", "541519")), ("2025-09-30", "2025-09-30", ("541512",)), ("2025-09-30", "2025-09-30", ("541519",)),
-                              ("2025-10-01", "2026-09-30", ("541512", "541519")), ("2025-10-01", "2026-09-30", ("541512",)), ("2025-10-01", "2026-09-30", ("541519",))]
-    assert {r["award_key"] for r in s.read("awards").collect()} == {"f1", "f2", "f4", "f5"} and s.read("naics").where("in_vertical").count() == 2
-    job("backfill", lambda j: j.backfill(today, 1))
-    assert len(provider.asked) == 6  # every chunk is done
-    # A chunk that was asked for but not loaded is taken up again, or asked for anew if it is no longer to be had.
-    open_again = F.col("chunk_key").endswith("2026-09-30:naics:541512")
-    s.write("chunks", s.read("chunks").withColumn("status", F.when(open_again, "in_progress").otherwise(F.col("status"))))
-    job("backfill", lambda j: j.backfill(today, 1))
-    assert len(provider.asked) == 6 and s.read("chunks").where("status <> 'done'").count() == 0
-    s.write("chunks", s.read("chunks").withColumn("status", F.when(open_again, "in_progress").otherwise(F.col("status"))))
-    provider.broken.add("f4")
-    job("backfill", lambda j: j.backfill(today, 1))
-    assert len(provider.asked) == 7
-    provider.rows = lambda *_: 10
-    job("delta", lambda j: j.delta(dt.date(2026, 10, 3)))
-    assert provider.asked[-1] == ("2026-09-27", "2026-10-03", ("541512", "541519"))
-
-
-def test_providers(spark, tmp_path):
-    def answers(*made):
-        left = list(made)
-        return lambda method, url, values: left.pop(0)
-
-    def r(status, body=b""):
-        return remote.Response(status, [body], {})
-
-    day = dt.date(2026, 2, 3)
-    assert json.loads(remote.search(answers(r(404)), "k", day, day, 0))["totalRecords"] == 0
-    with pytest.raises(control.BudgetExhaustedError):
-        remote.search(answers(r(429)), "k", day, day, 0)
-    with pytest.raises(remote.ProviderError):
-        remote.search(answers(r(500)), "k", day, day, 0)
-    asked = {}
-    remote.search(lambda m, u, v: asked.update(v) or r(200, b"{}"), "k", day, day, 2, "541512")
-    assert asked == {"postedFrom": "02/03/2026", "postedTo": "02/03/2026", "limit": "1000", "offset": "2", "ncode": "541512", "api_key": "k"}
-    pauses = []
-    export = remote.Export(answers(*[r(200, b'{"status": "running"}')] * 8, r(200, b'{"status": "finished"}')), pauses.append)
-    assert export.wait("f")["status"] == "finished" and pauses[:2] == [5.0, 7.5] and max(pauses) == 60.0
-    with pytest.raises(remote.ProviderError):
-        remote.Export(answers(*[r(200, b'{"status": "running"}')] * 3), quiet, patience=6).wait("f")
-    with pytest.raises(remote.ProviderError):
-        remote.Export(answers(r(200, b"{}"))).start({})
-    target = str(tmp_path / "f")
-    remote.download(answers(r(503), r(200, b"data")), "u", target, sleep=quiet)
-    assert open(target, "rb").read() == b"data"
-    for made in ([r(503)] * 3, [r(403)]):
-        with pytest.raises(remote.ProviderError):
-            remote.download(answers(*made), "u", target, sleep=quiet)
-    key = remote.chunk_key(day, day, "541512")
-    for i in range(3):
-        place = remote.page_file(str(tmp_path), key, i)
-        place.parent.mkdir(exist_ok=True)
-        place.write_text(page({**RECORD, "noticeId": f"N{i}"}))
-    pages = remote.archived_pages(spark, str(tmp_path), [key, "posted:none"])
-    assert pages.rdd.getNumPartitions() == 2
-    assert {r["notice_id"] for r in notices.parse_notices(notices.page_records(pages)).collect()} == {"N0", "N1", "N2"}
-
-
 def test_command_line(spark, tmp_path, capsys):
     root = f"file://{tmp_path}/root"
     path = award_file(tmp_path / "a.csv", {"period_of_performance_potential_end_date": "2027-06-15", "potential_total_value_of_award": "100000"})
@@ -493,7 +355,7 @@ def test_command_line(spark, tmp_path, capsys):
 
 def test_samples_and_texts(spark):
     a = [{"noticeId": "1"}, {"noticeId": "2"}]
-    assert [jobs.page_semantics(a, b) for b in ([{"noticeId": "2"}], [{"noticeId": "3"}], [{"noticeId": "3"}, {"noticeId": "1"}], [])] == ["records", "pages", "unclear", "unknown"]
+    assert [jobs.counted_in(a, b) for b in ([{"noticeId": "2"}], [{"noticeId": "3"}], [{"noticeId": "3"}, {"noticeId": "1"}], [])] == ["records", "pages", "pages that overlap", "too few records to tell"]
     report = jobs.header_report([*awards.WANTED[1:], "novel"])
     assert report == {"missing": [awards.WANTED[0]], "new": ["novel"]}
     assert N.api_date(dt.date(2026, 2, 3)) == "02/03/2026"
