@@ -15,11 +15,10 @@ import os
 import tempfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from datetime import date, timedelta
+from datetime import UTC, date, datetime, timedelta
 from functools import partial
 from pathlib import Path
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
@@ -270,7 +269,8 @@ def quoted_parts(kept: DataFrame, columns: Sequence[str]) -> DataFrame:
         if n:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], type=pa.int32()), "content": pa.array([packed.getvalue()], type=pa.binary())})
 
-    return kept.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(pack, "part int, content binary")
+    # Names with dots don't pass mapInArrow.
+    return kept.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(pack, "part int, content binary")
 
 
 def load_extract(run: Run, path: str, url: str, vertical: tuple[str, ...], since: date | None = None, force: bool = False, headers: Mapping[str, str] | None = None) -> dict[str, int] | None:
@@ -316,19 +316,21 @@ def load_extract(run: Run, path: str, url: str, vertical: tuple[str, ...], since
 def _each(rows: DataFrame, work: Callable[[dict], dict], ddl: str) -> DataFrame:
     """``work`` on each row, a task each, done once; a provider's refusal becomes the row's ``fault``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in ddl.split(", ")]
-        for frame in frames:
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for row in frame.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
-                    out.append({"key": row["key"], "fault": None, **work(row)})
+                    out.append({"fault": None, **work(row), "key": row["key"]})
                 except remote.ProviderError as e:
                     out.append({"key": row["key"], "fault": str(e)})
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     n = max(1, rows.count())
-    return cut(rows.repartitionByRange(n, "key").mapInPandas(run, ddl))
+    return cut(rows.repartitionByRange(n, "key").mapInArrow(run, ddl))
 
 
 @dataclass
@@ -424,7 +426,7 @@ class AwardJob:
             with tempfile.TemporaryDirectory(dir=_work(root)) as folder:
                 came = remote.download(caller, row["url"], f"{folder}/file")
                 params = {"request": row["key"], "file_name": row["file_name"], "url": row["url"], "http_status": came["http_status"], "etag": came.get("etag", "")}
-                meta = files.archive_file(root, source, f"{folder}/file", ".zip", pd.Timestamp.now("UTC").to_pydatetime(), params, run_id)
+                meta = files.archive_file(root, source, f"{folder}/file", ".zip", datetime.now(UTC), params, run_id)
             return {"path": meta["path"], "meta": json.dumps(meta, default=str)}
 
         got = _each(files_, fetch, "key string, fault string, path string, meta string")
@@ -437,7 +439,7 @@ class AwardJob:
         if found:
             rows, written = load_award_paths(run, [f"{root}/{r['path']}" for r in found], self.vertical, t)
             metas = [json.loads(r["meta"]) for r in found]
-            run.put_files(t, [{**m, "fetched_at": pd.Timestamp(m["fetched_at"]).to_pydatetime()} for m in metas])
+            run.put_files(t, [{**m, "fetched_at": datetime.fromisoformat(m["fetched_at"])} for m in metas])
         if resume:
             made = {k: ("done", {"split": True}, 0, 0) for k in cut_keys}
             made |= {r["key"]: ("done", {"file_name": names[r["key"]], "path": r["path"]}, 0, 0) for r in found}

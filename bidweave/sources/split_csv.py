@@ -155,9 +155,10 @@ def header(path: str, encoding: str = "utf-8") -> list[str]:
     return next(csv.reader([first.decode(encoding, "replace")]), [])
 
 
-def _rows(lines: Iterable[str], columns: Sequence[int]) -> Iterator[pa.RecordBatch]:
-    """Some columns of parsed records as text; fields that a record lacks, and empty ones without quotes, are null."""
-    held: list[list[str | None]] = [[] for _ in columns]
+def _rows(lines: Iterable[str], fields: Sequence[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+    """Fields (name, place) of parsed records as text; what a record lacks, and empty ones without quotes, are null."""
+    held: list[list[str | None]] = [[] for _ in fields]
+    names, columns = [n for n, _ in fields], [i for _, i in fields]
     for row in csv.reader(lines, quoting=csv.QUOTE_NOTNULL):
         if not row:
             continue
@@ -165,13 +166,13 @@ def _rows(lines: Iterable[str], columns: Sequence[int]) -> Iterator[pa.RecordBat
         for values, i in zip(held, columns, strict=True):
             values.append(row[i] if i < n else None)
         if len(held[0]) >= ROWS:
-            yield _batch(held)
+            yield _batch(held, names)
     if held[0]:
-        yield _batch(held)
+        yield _batch(held, names)
 
 
-def _batch(held: list[list[str | None]]) -> pa.RecordBatch:
-    out = pa.RecordBatch.from_arrays([pa.array(v, type=pa.string()) for v in held], names=[f"c{i}" for i in range(len(held))])
+def _batch(held: list[list[str | None]], names: list[str]) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([pa.array(v, type=pa.string()) for v in held], names=names)
     for values in held:
         values.clear()
     return out
@@ -208,7 +209,7 @@ class _SpanReader(DataSourceReader):
             found = records(source, partition)
             if partition.start == 0:
                 next(found, None)
-            yield from _rows((r.decode(self.encoding, "replace") for r in found), [i for _, i in self.fields])
+            yield from _rows((r.decode(self.encoding, "replace") for r in found), self.fields)
 
 
 def _named(names: Sequence[str], wanted: Sequence[str] | None) -> list[tuple[str, int]]:
@@ -287,12 +288,12 @@ class ZippedCsv(DataSource):
         return T.StructType([T.StructField(n, T.StringType()) for n in json.loads(self.options["columns"])])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _MemberReader([Member(*m) for m in json.loads(self.options["members"])], self.options["encoding"])
+        return _MemberReader([Member(*m) for m in json.loads(self.options["members"])], json.loads(self.options["columns"]), self.options["encoding"])
 
 
 class _MemberReader(DataSourceReader):
-    def __init__(self, members: list[Member], encoding: str) -> None:
-        self.members, self.encoding = members, encoding
+    def __init__(self, members: list[Member], columns: list[str], encoding: str) -> None:
+        self.members, self.columns, self.encoding = members, columns, encoding
 
     def partitions(self) -> list[InputPartition]:
         return list(self.members)
@@ -302,7 +303,7 @@ class _MemberReader(DataSourceReader):
         beyond = 1 << 30
         with places.opened(partition.path) as source, zipfile.ZipFile(source) as archive, _lines(archive, partition.name, self.encoding) as lines:
             next(csv.reader(lines), None)
-            yield from _rows(lines, [i if i >= 0 else beyond for i in partition.places])
+            yield from _rows(lines, [(n, i if i >= 0 else beyond) for n, i in zip(self.columns, partition.places, strict=True)])
 
 
 def read_members(spark: SparkSession, chosen: Sequence[Member], columns: Sequence[str], encoding: str = "utf-8-sig") -> DataFrame:

@@ -5,14 +5,17 @@ from __future__ import annotations
 import csv
 import datetime as dt
 import json
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidweave import cli, control, jobs, schemas, store
 from bidweave.operators import merge, rows, versions
+from bidweave.operators.rows import cut
 from bidweave.functions import normalize as N
 from bidweave.sources import awards, files, notices, remote
 from bidweave.streaming import ingest, windows
@@ -216,6 +219,35 @@ def test_many_versions_of_one_notice(spark, monkeypatch):
     assert sorted(map(str, again)) == sorted(map(str, done))
 
 
+@pytest.mark.parametrize("authoritative", [None, versions.CSV_AUTHORITATIVE, ("title", "psc")])
+def test_windows_fold_as_steps_do(spark, authoritative):
+    rng = random.Random(str(authoritative))
+    day = dt.datetime(2026, 10, 20)
+
+    def one(i):
+        deadline = rng.choice([None, day, day.replace(hour=17), day.replace(hour=9), day + dt.timedelta(days=1)])
+        told = None if deadline is None else rng.choice([deadline.hour > 0, deadline.hour > 0, True, False])
+        if rng.random() < 0.05:
+            told = rng.choice([None, True, False])  # at odds with the deadline
+        return {
+            "notice_id": f"N{i}", "title": rng.choice(["a", "a ", "b", None]), "psc": rng.choice([None, "D1", "D2"]), "description": rng.choice([None, "x", "y"]),
+            "response_deadline": deadline, "response_deadline_has_time": told, "attachment_links": rng.choice([None, ["p"], ["p", "q"], ["q", "p"]]), "ui_link": rng.choice([None, "u", "v"]),
+            "active": rng.choice([True, False, None]), "award": rng.choice([None, {"number": "A-1", "date": None, "amount": None, "awardee": None}]), "archive_date": rng.choice([None, dt.date(2026, 11, 1)]),
+        }
+
+    none = spark.createDataFrame([], store.current_schema())
+    stored = cut(versions.fold(none, snapshots(spark, *(one(i) for i in range(30)))).current())
+    made = [one(i) for i in range(60) for _ in range(rng.choice([1, 2, 3, 9]))]
+    rng.shuffle(made)
+    batch = snapshots(spark, *made).cache()
+    w = Window.partitionBy("notice_id").orderBy("seq")
+    numbered = cut(batch.withColumn("_k", F.row_number().over(w) - 1))
+    state = stored.select("notice_id", F.col("version").alias("_v"), F.col("snapshot").alias("_s"))
+    want = versions._fold_rows(numbered, state, authoritative)
+    got = versions.fold(stored, batch, authoritative).steps
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == len(made)
+
+
 def test_window_stream(spark, tmp_path):
     t = dt.datetime(2026, 1, 1)
     events = spark.createDataFrame([(t + dt.timedelta(minutes=m), m % 2, float(m)) for m in range(0, 90, 10)], "ts timestamp, k int, v double")

@@ -480,9 +480,9 @@ def test_samples(spark, tmp_path):
     with control.running(s, "usaspending", "sample", str(tmp_path / "arc"), log=quiet) as run:
         lines = jobs.sample_export(run, functools.partial(provider, str(tmp_path)), "541512", TODAY)
     assert lines[0].startswith("notes.csv: {'missing': [") and lines[1] == "x.csv: {'missing': [], 'new': []}" and s.read("runs").where("status = 'succeeded'").count() == 2
-    lines = reports.status({}, s.read("runs"), s.read("chunks"), s.read("raw_files"), s.sizes(), 1, 10, dt.datetime.now(dt.UTC)) if s.sizes() else []
+    lines = reports.status({"runs": s.read("runs")}, s.read("runs"), s.read("chunks"), s.read("raw_files"), s.sizes(), 1, 10, dt.datetime.now(dt.UTC)) if s.sizes() else []
     assert "sam: 2 of 10 requests today" in lines and any(x.startswith("largest tables: ") for x in lines)
-    assert "WARNING" in reports.status({}, s.read("runs"), s.read("chunks"), s.read("raw_files"), {"awards": 9_000_000, "notices": 5_000}, 10)[-1]
+    assert "WARNING" in reports.status({"runs": s.read("runs")}, s.read("runs"), s.read("chunks"), s.read("raw_files"), {"awards": 9_000_000, "notices": 5_000}, 10)[-1]
 
 
 def test_folds_of_one_batch_are_one_commit(spark, tmp_path):

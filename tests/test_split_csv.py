@@ -51,7 +51,7 @@ def read(path, size):
             found = split_csv.records(source, part)
             if part.start == 0:
                 next(found)
-            rows += [r for b in split_csv._rows((x.decode("cp1252", "replace") for x in found), range(3)) for r in zip(*b.to_pydict().values(), strict=True)]
+            rows += [r for b in split_csv._rows((x.decode("cp1252", "replace") for x in found), [(c, i) for i, c in enumerate('abc')]) for r in zip(*b.to_pydict().values(), strict=True)]
     return rows
 
 
