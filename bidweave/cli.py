@@ -25,7 +25,7 @@ from pathlib import Path
 from bidweave import control, jobs, schemas, session
 from bidweave.config import MatchingConfig, load_matching_config, load_verticals, vertical_naics
 from bidweave.operators.rows import cut, union_override
-from bidweave.plans import match, recompetes, reports
+from bidweave.plans import incremental, match, reports
 from bidweave.sources import files, remote
 from bidweave.store import TABLES, Store, current_schema
 
@@ -137,10 +137,8 @@ def main(argv: list[str] | None = None, transport: remote.Transport = remote.ove
             print(jobs.run_match(store, cfg, vertical, a.today, run))
     elif a.job == "recompetes":
         with control.running(store, "matcher", "recompetes", archive) as run:
-            out = cut(recompetes.recompetes(store.read("awards"), store.read("entities"), store.read("matches"), store.notices(), cfg, vertical, a.today))
-            run.rows_written = out.count()
             t = run.begin()
-            t.write("recompetes", out)
+            run.rows_written = incremental.recompetes(t, cfg, vertical, a.today)
             t.commit()
     elif a.job == "diagnose":
         print("\n".join(reports.diagnose(store.notices(), store.read("awards"), store.read("notice_descriptions"), store.read("matches"), store.read("chunks"), cfg, vertical, a.today)))

@@ -136,9 +136,9 @@ def reference_date(deadline: Column | str, posted: Column | str, days: int, toda
     return F.coalesce(F.to_date(_col(deadline)), F.date_add(F.to_date(_col(posted)), days), F.lit(today))
 
 
-def snapshot_hash(names: list[str]) -> Column:
-    """SHA-256 of a canonical JSON of the columns in sorted order, nulls included."""
-    return F.sha2(F.to_json(F.struct(*(F.col(n) for n in sorted(names))), {"ignoreNullFields": "false"}), 256)
+def snapshot_hash(names: list[str], of: str | None = None) -> Column:
+    """SHA-256 of a canonical JSON of the columns, or of a struct's fields, in sorted order, nulls included."""
+    return F.sha2(F.to_json(F.struct(*(F.col(f"{of}.{n}" if of else n).alias(n) for n in sorted(names))), {"ignoreNullFields": "false"}), 256)
 
 
 def collapse_spaces(c: Column | str) -> Column:

@@ -31,7 +31,7 @@ from bidweave.functions import normalize as N
 from bidweave.operators import versions
 from bidweave.operators.merge import merge_reference
 from bidweave.operators.rows import cut
-from bidweave.plans import history, match, reports, requests
+from bidweave.plans import history, incremental, match, reports, requests
 from bidweave.session import ship
 from bidweave.sources import awards, files, notices, remote
 from bidweave.store import Store, Transaction
@@ -50,7 +50,11 @@ def stage_notices(t: Transaction, incoming: DataFrame, authoritative: Sequence[s
     Only buckets of the incoming notices are read, and only those of changed ones written; a batch that changes nothing
     writes nothing.
     """
-    batch = cut(versions.incoming_snapshots(incoming))
+    return stage_snapshots(t, cut(versions.incoming_snapshots(incoming)), authoritative)
+
+
+def stage_snapshots(t: Transaction, batch: DataFrame, authoritative: Sequence[str] | None = None) -> dict[str, int]:
+    """``stage_notices`` for snapshots (notice_id, seq, text, snapshot), which are read several times."""
     steps = cut(versions.fold(t.near("notices", batch.select("notice_id")), batch, authoritative).steps)
     counts = {r["outcome"]: r["count"] for r in versions.Folded(steps).counts().collect()}
     if set(counts) <= {"unchanged"}:
@@ -121,7 +125,7 @@ def run_match(store: Store, cfg: MatchingConfig, vertical: tuple[str, ...], toda
     previous = cut(table)
     counts = {f"links_{k}": v for k, v in linked.first().asDict().items()}
     facts = cut(match.notice_facts(n, d, cfg, vertical, today))
-    rows = cut(match.match(n, a, d, previous, cfg, vertical, today))
+    rows = cut(match.match(n, a, d, previous, cfg, vertical, today, incremental.word_counts(t, vertical)))
     table, saved = match.save(previous, facts, rows)
     counts |= reports.run_summary(facts, rows).first().asDict() | saved.first().asDict()
     t.write("matches", table)

@@ -170,13 +170,14 @@ def cited_awards(notices: DataFrame, awards: DataFrame, cfg: MatchingConfig, exc
     return Cited(explicit, vehicles)
 
 
-def similarities(notices: DataFrame, awards: DataFrame, pairs: DataFrame, corpus: DataFrame) -> DataFrame:
+def similarities(notices: DataFrame, awards: DataFrame, pairs: DataFrame, corpus: DataFrame | tuple[DataFrame, DataFrame]) -> DataFrame:
     """Text similarity of each pair: the better of title and whole text, with the words that add most.
 
-    Vectors are computed once a notice and once an award, and multiplied for the given pairs only.
+    Vectors are computed once a notice and once an award, and multiplied for the given pairs only. The corpus is a
+    table with descriptions, or its document frequencies and size, kept up as awards change.
     """
-    df, n = T.document_frequency(corpus, "description")
-    df = cut(df)  # both sides' weights need it
+    df, n = corpus if isinstance(corpus, tuple) else T.document_frequency(corpus, "description")
+    df = df if isinstance(corpus, tuple) else cut(df)  # both sides' weights need it
     used_notices = notices.join(pairs.select("notice_id").distinct(), "notice_id", "left_semi")
     used_awards = awards.join(pairs.select("award_key").distinct(), "award_key", "left_semi")
     both = used_notices.select("notice_id", F.lit("title").alias("kind"), F.col("n_title").alias("words")).unionByName(
@@ -256,10 +257,11 @@ def evidence() -> Column:
     )
 
 
-def match(notices: DataFrame, awards: DataFrame, descriptions: DataFrame, previous: DataFrame, cfg: MatchingConfig, vertical: tuple[str, ...], today: date) -> DataFrame:
+def match(notices: DataFrame, awards: DataFrame, descriptions: DataFrame, previous: DataFrame, cfg: MatchingConfig, vertical: tuple[str, ...], today: date, corpus: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Incumbent matches of all notices in scope.
 
-    ``previous`` is a finished snapshot of all matches, history links included; it must not be the table that
+    ``corpus`` are document frequencies and number of the vertical's descriptions where they are kept
+    (``incremental.word_counts``); else they are counted. ``previous`` is a finished snapshot of all matches, history links included; it must not be the table that
     the result overwrites.
     """
     facts = cut(notice_facts(notices, descriptions, cfg, vertical, today))
@@ -273,7 +275,7 @@ def match(notices: DataFrame, awards: DataFrame, descriptions: DataFrame, previo
     full = (
         pairs.join(facts, "notice_id")
         .join(known, "award_key")
-        .join(similarities(facts, known, pairs, awards.where(F.col("naics").isin(*vertical))), ["notice_id", "award_key"], "left")
+        .join(similarities(facts, known, pairs, corpus or awards.where(F.col("naics").isin(*vertical))), ["notice_id", "award_key"], "left")
         .join(cited.explicit, ["notice_id", "award_key"], "left")
         .join(cited.vehicles, "notice_id", "left")
         .withColumn("explicit", F.col("cited_as").isNotNull())

@@ -1,91 +1,67 @@
-"""Incremental ingest: files seen once, merged batch by batch into versioned tables."""
+"""Incremental ingest: files seen once, merged batch by batch into the store's tables."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidweave.functions.normalize import quarters
-from bidweave.operators.merge import VersionedTable
+from bidweave.functions.normalize import snapshot_hash
+from bidweave.jobs import stage_awards, stage_snapshots
+from bidweave.operators import versions
 from bidweave.operators.rows import cut
-from bidweave.operators.versions import Folded, fold
-from bidweave.sources.awards import NotAnAwardFileError, read_award_csv, upsert_awards, upsert_entities
+from bidweave.sources.awards import read_award_files
+from bidweave.store import Store, Transaction
 
 
-def _run(stream: DataFrame, batch, checkpoint: str) -> None:
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def _run(store: Store, stream: DataFrame, checkpoint: str, take: Callable[[Transaction, DataFrame], None]) -> None:
+    """Take in what is there, batch by batch; what a batch changes and its number are one commit, so none is taken in twice."""
 
+    def batch(rows: DataFrame, number: int) -> None:
+        t = store.begin()
+        if int(t.entry["tags"].get(f"batch {checkpoint}", -1)) < number:
+            take(t, rows)
+            t.commit({f"batch {checkpoint}": str(number)})
 
-def replay_awards(spark: SparkSession, folder: str, awards: VersionedTable, checkpoint: str, entities: VersionedTable | None = None, files_per_batch: int = 64) -> None:
-    """Merge every award file of a folder that hasn't been seen; older records never replace newer ones.
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    The stream hands on the names of new files, a bounded number a batch; each file is then read by its own header,
-    so columns may stand in any order, and any others beside the wanted ones; fields may span lines. Files without
-    the key column are passed over. A batch that is run again after a failure merges the same rows into a table that
-    has them, which writes nothing new.
+
+def replay_awards(store: Store, folder: str, checkpoint: str, vertical: tuple[str, ...], files_per_batch: int = 64) -> None:
+    """Merge every award file and zip of a folder that hasn't been seen; older records never replace newer ones.
+
+    The stream hands on the names of new files, a bounded number a batch; each is then read by its own header, by ranges
+    or members, so columns may stand in any order, and any others beside the wanted ones. Files without the key column
+    are passed over.
     """
-    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.csv").load(folder).select("path")
-
-    def merge(batch: DataFrame, _: int) -> None:
-        raw = None
-        for r in batch.orderBy("path").collect():
-            try:
-                one = read_award_csv(spark, r["path"])[0]
-            except NotAnAwardFileError:
-                continue
-            raw = one if raw is None else raw.unionByName(one)
+    spark = store.spark
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.{csv,zip}").load(folder).select("path")
+
+    def take(t: Transaction, names: DataFrame) -> None:
+        raw = read_award_files(spark, [r["path"] for r in names.orderBy("path").collect()])[0]
         if raw is not None:
-            awards.write(upsert_awards(awards.read(), raw).result())
-            if entities is not None:
-                entities.write(upsert_entities(entities.read(), raw).result())
+            stage_awards(t, raw, vertical)
+
+    _run(store, stream, checkpoint, take)
 
-    _run(stream, merge, checkpoint)
 
+def without_repeats(snapshots: DataFrame, at: str, delay: str) -> DataFrame:
+    """A stream of snapshots without those that came before, word for word, within the delay: pages served again, or late."""
+    hashed = snapshots.withColumn("_hash", snapshot_hash(versions.fields(), "snapshot"))
+    return hashed.withWatermark(at, delay).dropDuplicatesWithinWatermark(["notice_id", "_hash"]).drop("_hash")
 
-def replay_snapshots(spark: SparkSession, folder: str, schema, current: VersionedTable, versions: VersionedTable, checkpoint: str, authoritative: Sequence[str] | None = None) -> None:
+
+def replay_snapshots(store: Store, folder: str, schema, checkpoint: str, authoritative: Sequence[str] | None = None, at: str | None = None, delay: str = "2 days") -> None:
     """Fold incoming notice snapshots (Parquet: notice_id, seq, text, snapshot) into the version history.
 
-    Each batch writes the history first, then the current snapshots, tagged with the batch. A batch whose tag the
-    current table has was taken in before, and one that wrote only its history writes the same versions again: a
-    replay after a failure changes nothing.
+    With ``at``, a column of when each was fetched, repeats within ``delay`` are dropped before they reach a batch. A
+    batch reads and writes the buckets of its notices only.
     """
-    stream = spark.readStream.schema(schema).parquet(folder)
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        if int(current.tags().get(checkpoint, -1)) >= batch_id:
-            return
-        stored = current.read()
-        done = fold(stored, cut(batch), authoritative)
-        steps = Folded(cut(done.steps))
-        after = steps.current().select("notice_id", "version", "snapshot")
-        made = steps.versions().select("notice_id", "version", "changes", "snapshot")
-        versions.write(versions.read().join(made, ["notice_id", "version"], "left_anti").unionByName(made))
-        current.write(stored.join(after, "notice_id", "left_anti").unionByName(after), tags={checkpoint: str(batch_id)})
-
-    _run(stream, merge, checkpoint)
-
-
-def save_chunk(chunks: DataFrame, source: str, chunk_key: str, status: str, state: dict[str, str], rows_in: int = 0, rows_out: int = 0, now=None) -> DataFrame:
-    """The control table with a chunk's new status and state; row counters add up."""
-    spark = chunks.sparkSession
-    new = spark.createDataFrame([(source, chunk_key, status, state, rows_in, rows_out, now)], chunks.schema)
-    old = chunks.select("source", "chunk_key", F.col("rows_in").alias("_in"), F.col("rows_out").alias("_out"))
-    summed = new.join(old, ["source", "chunk_key"], "left").select(
-        "source", "chunk_key", "status", "state", (F.col("rows_in") + F.coalesce("_in", F.lit(0))).alias("rows_in"), (F.col("rows_out") + F.coalesce("_out", F.lit(0))).alias("rows_out"), "updated_at"
-    )
-    return chunks.join(new.select("source", "chunk_key"), ["source", "chunk_key"], "left_anti").unionByName(summed)
-
-
-def split_chunk(start, end, codes: Sequence[str], rows: int, limit: int = 500_000) -> list[tuple]:
-    """Smaller requests for one that reached the provider's row limit: by code, then by quarter."""
-    if rows < limit:
-        return [(start, end, tuple(codes))]
-    if len(codes) > 1:
-        return [(start, end, (c,)) for c in codes]
-    spans = quarters(start, end)
-    if len(spans) < 2:
-        raise ValueError(f"{rows} rows in one quarter of one code exceed the limit of {limit}")
-    return [(a, b, tuple(codes)) for a, b in spans]
+    stream = store.spark.readStream.schema(schema).parquet(folder)
+    if at:
+        stream = without_repeats(stream, at, delay)
+
+    def take(t: Transaction, batch: DataFrame) -> None:
+        stage_snapshots(t, cut(batch.select("notice_id", "seq", "text", "snapshot")), authoritative)
+
+    _run(store, stream, checkpoint, take)
