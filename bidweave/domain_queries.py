@@ -498,10 +498,18 @@ def merged_snapshots(spark, sf):
                        F.col("b.title").alias("part_title"), F.col("b.psc").alias("part_psc"), F.col("b.ui_link").alias("part_link"))
 
 
-@query("SELECT c_custkey, 'description_sha256,psc,response_deadline,response_deadline_has_time,title,ui_link' AS fields FROM customer")
+@query("""
+    SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 7 > 0 THEN 'description_sha256' END, CASE WHEN c_custkey % 2 = 0 THEN 'psc' END, CASE WHEN c_custkey % 5 > 0 THEN 'response_deadline,response_deadline_has_time' END,
+      CASE WHEN c_custkey % 4 > 0 THEN 'title' END, CASE WHEN c_custkey % 3 = 0 THEN 'ui_link' END) AS fields FROM customer""")
 def snapshot_diff(spark, sf):
+    k = F.col("c_custkey")
+    day = F.lit("2024-05-04").cast("timestamp")
+    old = _snapshot(title=F.lower("c_name"), psc=F.lit("D2"), ui_link=F.lit("w"), response_deadline=day, response_deadline_has_time=F.lit(False), description_sha256=F.lit("h"))
+    later = F.when(k % 5 > 0, F.timestamp_add("HOUR", F.lit(17), day)).otherwise(day)
+    new = _snapshot(title=F.when(k % 4 == 0, F.lower("c_name")).when(k % 8 < 4, F.col("c_name")), psc=F.when(k % 2 > 0, "D2"), ui_link=F.when(k % 3 > 0, F.lit("w")).otherwise("v"), response_deadline=later,
+                    response_deadline_has_time=k % 5 > 0, description_sha256=F.when(k % 7 > 0, "g").otherwise("h"))
     found = V.diff(F.col("old"), F.col("new"))
-    return _two_snapshots(spark, sf).select("c_custkey", F.array_join(F.transform(found, lambda x: x["field"]), ",").alias("fields"))
+    return _t(spark, sf, "customer").select("c_custkey", old.alias("old"), new.alias("new")).select("c_custkey", F.array_join(F.transform(found, lambda x: x["field"]), ",").alias("fields"))
 
 
 _STEPS = """

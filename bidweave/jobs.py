@@ -154,6 +154,7 @@ class NoticeJob:
     vertical: tuple[str, ...]
     limit: int = remote.SEARCHES_A_DAY
     at_once: int = 4
+    page_rows: int | None = None
 
     def chunks(self, start: date, end: date) -> list[tuple[date, date, str]]:
         """A plan: each span of at most a year, for each code."""
@@ -189,7 +190,7 @@ class NoticeJob:
         if chunks[0][2] is None:  # a delta of the same days asks anew
             name += f"-{run.id}"
         checkpoint = f"{run.store.root}/streams/{name}"
-        plan = remote.PagePlan(chunks, f"{run.archive}/pages/{name}", self.fetch, remote.PAGE_ROWS)
+        plan = remote.PagePlan(chunks, f"{run.archive}/pages/{name}", self.fetch, self.page_rows or remote.PAGE_ROWS)
         ahead = json.loads(run.store.tags().get(f"at {name}", '{"chunk": 0, "page": 0}'))
         allowed = day_allowance(run, self.limit)
         pages = remote.page_stream(run.store.spark, plan, ahead, self.at_once, allowed)

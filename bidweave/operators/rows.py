@@ -7,24 +7,25 @@ import re
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the checkpoint folder that all executors share, so that later uses don't start over.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; where that is unset, a local master gets a folder of its own, and a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "bidweave-checkpoints")
+    return folder.rstrip("/")
 
-    The folder is ``spark.checkpoint.dir``; where that is unset, a local master gets one of its own, and a cluster an error.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computed once and kept in the checkpoint folder that all executors share, so that later uses don't start over."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = os.path.join(tempfile.gettempdir(), "bidweave-checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from typing import BinaryIO
 from urllib.parse import unquote, urlparse
@@ -35,6 +36,16 @@ def opened(path: str) -> BinaryIO:
     return store.open_input_file(name)
 
 
+def created(path: str) -> BinaryIO:
+    """A new file to write to; its folder is made."""
+    if _scheme(path) == "file":
+        path = unquote(urlparse(path).path) if path.startswith("file:") else path
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, "wb")
+    store, name = _in_store(path)
+    return store.open_output_stream(name)
+
+
 def size(path: str) -> int:
     with opened(path) as source:
         return source.seek(0, 2)

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from bidweave import domain_queries as queries
+from bidweave import job_queries  # noqa: F401  adds its queries
 
 SF = "/root/testdata/sf0.001"
 
