@@ -94,16 +94,18 @@ def cited_numbers(df: DataFrame, text: str, own: str) -> DataFrame:
     """
     upper = F.upper(text)
     runs = F.array_distinct(F.regexp_extract_all(upper, F.lit(_ID_RUN), F.lit(0)))
-    # The explodes keep the optimizer from working the list of runs out again for every one of them.
-    found = df.select(*df.columns, normalize_contract_id(own).alias("_own"), F.explode(F.array(runs)).alias("_runs")).where(F.size("_runs") > 0)
-    found = found.select(*df.columns, "_own", "_runs", F.posexplode("_runs").alias("_k", "_run"))
+    # The explodes keep the optimizer from working text and runs out again for every run.
+    found = df.select(*df.columns, normalize_contract_id(own).alias("_own"), F.explode(F.array(F.struct(F.concat(F.lit(" "), upper, F.lit(" ")).alias("u"), runs.alias("r")))).alias("_x"))
+    found = found.where(F.size("_x.r") > 0).select(*df.columns, "_own", F.col("_x.u").alias("_text"), F.col("_x.r").alias("_runs"), F.posexplode("_x.r").alias("_k", "_run"))
     found = found.withColumn("_norm", F.replace(F.col("_run"), F.lit("-"), F.lit("")))
-    first = F.array_position(F.transform("_runs", lambda r: F.replace(r, F.lit("-"), F.lit(""))), F.col("_norm")) == F.col("_k") + 1
+    first = (F.col("_k") == 0) | (F.array_position(F.transform("_runs", lambda r: F.replace(r, F.lit("-"), F.lit(""))), F.col("_norm")) == F.col("_k") + 1)
     found = found.where(looks_like_contract_number("_norm") & (F.col("_own").isNull() | (F.col("_norm") != F.col("_own"))) & first)
-    # The run between characters that can't belong to one; of a run within a longer one the first place counts.
-    bounded = F.concat(F.lit(" "), F.regexp_replace(upper, r"[^A-Z0-9-]", " "), F.lit(" "))
-    whole = F.instr(bounded, F.concat(F.lit(" "), F.col("_run"), F.lit(" ")))
-    at = F.when(whole > 0, whole).otherwise(F.instr(upper, F.col("_run"))).cast("int")
+    # A place counts where the run stands between characters that can't belong to one: the first place as a rule. Of a run
+    # that stands within a longer one before, the first whole place is looked for among blanks.
+    place = F.instr("_text", F.col("_run"))
+    edges = F.concat(F.substring("_text", place - 1, F.lit(1)), F.substring("_text", place + F.length("_run"), F.lit(1)))
+    whole = F.instr(F.regexp_replace("_text", r"[^A-Z0-9-]", " "), F.concat(F.lit(" "), F.col("_run"), F.lit(" ")))
+    at = F.when(~edges.rlike("[A-Z0-9-]"), place - 1).when(whole > 0, whole).otherwise(place - 1).cast("int")
     return found.select(*df.columns, F.struct(F.col("_norm").alias("piid_norm"), F.substring(text, at, F.length("_run")).alias("raw"), at.alias("at")).alias("c"))
 
 
@@ -111,7 +113,8 @@ def context_words(text: Column | str, at: Column, length: Column, words: tuple[s
     """Which words stand within so many characters of a citation, in their own order."""
     start = F.greatest(F.lit(1), at - chars)
     window = F.lower(F.substring(_col(text), start, at - start + length + chars))
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(window, F.lower(w)))
+    # Written out for every word: the window is then cut and folded once, in generated code.
+    return F.array_compact(F.array(*(F.when(F.contains(window, F.lit(w.lower())), F.lit(w)) for w in words)))
 
 
 def stated_amounts(text: Column | str) -> Column:
