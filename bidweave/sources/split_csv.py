@@ -156,15 +156,15 @@ def header(path: str, encoding: str = "utf-8") -> list[str]:
 
 
 def _rows(lines: Iterable[str], fields: Sequence[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
-    """Fields (name, place) of parsed records as text; what a record lacks, and empty ones without quotes, are null."""
+    """Fields (name, place) of parsed records as text; what a record lacks, and empty ones, are null."""
     held: list[list[str | None]] = [[] for _ in fields]
     names, columns = [n for n, _ in fields], [i for _, i in fields]
-    for row in csv.reader(lines, quoting=csv.QUOTE_NOTNULL):
+    for row in csv.reader(lines):
         if not row:
             continue
         n = len(row)
         for values, i in zip(held, columns, strict=True):
-            values.append(row[i] if i < n else None)
+            values.append((row[i] or None) if i < n else None)
         if len(held[0]) >= ROWS:
             yield _batch(held, names)
     if held[0]:
@@ -222,8 +222,8 @@ def read_split(spark: SparkSession, path: str, encoding: str = "utf-8", wanted:
     """A CSV file's rows as text, one task for each range of bytes: the wanted columns that it has, or all.
 
     Fields stand between commas; one that begins with a quote goes to the closing quote, line ends and doubled quotes
-    included; a quote elsewhere in a field is a letter. Records end with LF, CR LF or CR. Bytes that the encoding (one
-    that writes ASCII as it is) doesn't know are replaced; missing fields and empty ones without quotes are null, fields beyond the
+    included as they are; a quote elsewhere in a field is a letter. Records end with LF, CR LF or CR. Bytes that the encoding (one
+    that writes ASCII as it is) doesn't know are replaced; missing and empty fields are null, quoted or not, as in Spark's own reader, fields beyond the
     header are dropped, blank lines are no rows, and a byte-order mark is passed over. An empty file has no columns: a
     ValueError. A record of over ``LONGEST`` bytes is an error.
     """

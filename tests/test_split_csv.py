@@ -24,7 +24,7 @@ def fuzzed(rng, rows, columns, end, encoding):
             plain = text.replace(",", "").replace("\n", "").replace("\r", "").lstrip('"')
             if rng.random() < 0.6:
                 fields.append('"' + text.replace('"', '""') + '"')
-                values.append(text)
+                values.append(text or None)
             else:
                 fields.append(plain)
                 values.append(plain or None)
@@ -63,7 +63,7 @@ def test_ranges_of_any_size_give_the_same_rows(tmp_path, monkeypatch, end):
         data, want = fuzzed(rng, rng.randrange(1, 14), 3, end, "cp1252")
         path = tmp_path / f"{case}.csv"
         path.write_bytes(data)
-        assert [tuple(r) for r in csv.reader(io.StringIO(data.decode("cp1252"), newline=""), quoting=csv.QUOTE_NOTNULL)][1:] == want
+        assert [tuple(v or None for v in r) for r in csv.reader(io.StringIO(data.decode("cp1252"), newline=""))][1:] == want
         for size in (1, 2, 3, 5, 11, 40, 10_000):
             assert read(path, size) == want, (case, size, data)
 
@@ -78,7 +78,7 @@ def test_tasks_read_ranges(spark, tmp_path):
     rows = [tuple(r) for r in got.collect()]
     assert rows == [*want, ("broken �", "short", None)]
     # The one-task reader agrees where quotes stand around fields only.
-    plain = [[f"{i}", 'say "x", é\r\nnext' if i % 3 else "", None if i % 5 else "€"] for i in range(500)]
+    plain = [[f"{i}", 'say "x", é\nnext' if i % 3 else "", None if i % 5 else "€"] for i in range(500)]
     with open(tmp_path / "p.csv", "w", encoding="cp1252", newline="") as out:
         csv.writer(out, quoting=csv.QUOTE_NOTNULL).writerows([["a", "b#", "c"], *plain])
     ours = split_csv.read_split(spark, f"file://{tmp_path}/p.csv", "cp1252", range_bytes=1000)
