@@ -235,3 +235,27 @@ def test_versioned_table(spark, tmp_path):
     table.write(spark.range(6))
     table.write(spark.range(7))
     assert before.count() == 5 and table.read().count() == 7
+
+
+def test_awards_with_one_number_are_told_apart(spark):
+    """A number that several awards have: each is a vehicle, an explicit reference or neither by itself."""
+    held = spark.createDataFrame([("V", "IDV_A", "9"), ("SAME", "C", "1"), ("OTHER", "C", "2"), ("IDV", "IDV_B", "2")], "award_key string, a_type string, a_subtier string").withColumn("a_piid_norm", F.lit("W91Q100000C"))
+    asked = spark.createDataFrame([("n", "1", "under w91q-100000-c", None)], "notice_id string, n_subtier string, n_text string, n_solicitation string")
+    none = match.Excluded(spark.createDataFrame([], "notice_id string, award_key string"), spark.createDataFrame([], "award_key string, times long, by string"))
+    found = match.citations(asked, held, CFG, none)
+    assert {(r["award_key"], r["kind"]) for r in found.collect()} == {("V", "vehicle"), ("SAME", "explicit"), ("IDV", "vehicle")}
+
+
+def test_cited_awards_with_one_number_equal_sql(spark, tmp_path):
+    """Order keys of seven digits share their first six, and so their number, with others."""
+    import duckdb
+
+    from bidweave import queries
+
+    keys = ", ".join(f"({k}, {k % 7}, 'O')" for k in (100000, 1000000, 1000001, 1000002, 1000003, 1000004, 1000005, 123456, 1234567))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {keys}) t(o_orderkey, o_custkey, o_orderstatus)) TO '{tmp_path}/orders.parquet'")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    columns = ["notice_id", "award_key", "kind"]
+    got = sorted(tuple(r) for r in queries.QUERIES["explicit_reference_join"](spark, str(tmp_path)).select(*columns).collect())
+    assert got == sorted(c.sql(f"SELECT {', '.join(columns)} FROM ({queries.SQL['explicit_reference_join']})").fetchall())
