@@ -259,3 +259,35 @@ def test_cited_awards_with_one_number_equal_sql(spark, tmp_path):
     columns = ["notice_id", "award_key", "kind"]
     got = sorted(tuple(r) for r in queries.QUERIES["explicit_reference_join"](spark, str(tmp_path)).select(*columns).collect())
     assert got == sorted(c.sql(f"SELECT {', '.join(columns)} FROM ({queries.SQL['explicit_reference_join']})").fetchall())
+
+
+def test_candidates_near_and_far_equal_a_search_of_the_whole_window(spark, monkeypatch):
+    """Dense and sparse offices, notices without an office, own and replaced awards: the nearest few, as by brute force."""
+    from dataclasses import replace
+
+    day = dt.date(2025, 1, 1)
+    awards = [(f"A{k:04}", "B", ("1", "2")[k % 11 == 0], (None, "X", "Y", "X")[k % 4], ("5415xx", "2362xx", None)[k % 3], ("R408", "D302")[k % 5 > 1], 50_000.0, day + dt.timedelta(days=(k * k * 7) % 900 - 300)) for k in range(1200)]
+    asked = [(f"N{k}", ("1", "2", "1")[k % 3], ("X", None, "Z", "Y")[k % 4], day + dt.timedelta(days=k * 3), [["541511"], ["541511", "236220"], []][k % 3], ("R499", None)[k % 2]) for k in range(40)]
+    known = spark.createDataFrame(awards, "award_key string, a_type string, a_subtier string, a_office string, a_naics string, a_psc string, a_value double, a_end date")
+    notices = spark.createDataFrame(asked, "notice_id string, n_subtier string, n_office string, n_reference date, n_codes array<string>, n_psc string")
+    own = [(f"N{k % 40}", f"A{k:04}") for k in range(0, 1200, 3)]
+    gone = [(f"A{k:04}", 1 + k % 2, f"N{k % 40}") for k in range(1, 1200, 7)]
+    exclude = match.Excluded(spark.createDataFrame(own, "notice_id string, award_key string"), spark.createDataFrame(gone, "award_key string, times long, by string"))
+    cfg = replace(CFG, candidates=replace(CFG.candidates, max_per_notice=12))
+    asks = []
+    reach = match._reach
+    monkeypatch.setattr(match, "_reach", lambda *a: asks.append(reach(*a)) or asks[-1])
+    got = {tuple(r) for r in match.candidates(notices, known, cfg, exclude).collect()}
+    out, times, mine = set(), {a: (n, by) for a, n, by in gone}, set(own)
+    bounds = {r[0]: r for r in notices.selectExpr("notice_id", "add_months(n_reference, -6)", "add_months(n_reference, 18)").collect()}
+    for n, sub, office, ref, codes, psc in asked:
+        able = []
+        for a, _, a_sub, a_office, a_naics, a_psc, _, end in awards:
+            related = (office is not None and office == a_office) or (a_naics or "-")[:4] in {c[:4] for c in codes} or (psc is not None and psc[:2] == a_psc[:2])
+            free = (n, a) not in mine and (a not in times or times[a] == (1, n))
+            if sub == a_sub and related and free and bounds[n][1] <= end <= bounds[n][2]:
+                able.append((office != a_office, abs((end - ref).days), a))
+        out |= {(n, a) for _, _, a in sorted(able)[:12]}
+    assert got == out
+    # Not every notice looks through its whole window.
+    assert 0 < asks[0].where(F.col("near") < 400).count() < 40
