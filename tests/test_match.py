@@ -291,3 +291,19 @@ def test_candidates_near_and_far_equal_a_search_of_the_whole_window(spark, monke
     assert got == out
     # Not every notice looks through its whole window.
     assert 0 < asks[0].where(F.col("near") < 400).count() < 40
+
+
+def test_vectors_meet_within_a_pair(spark, world):
+    """Pairs are dealt out by award and by notice, never once more for each of their words; other columns stay."""
+    import re
+
+    facts = match.notice_facts(world["notices"], world["descriptions"], CFG, VERTICAL, TODAY)
+    pairs = spark.createDataFrame([("adv", "PAY1"), ("adv", "PAY2"), ("map", "140L0620C0015")], "notice_id string, award_key string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = match.similarities(facts, match.award_facts(world["awards"]), pairs, world["awards"])
+        assert not re.search(r"hashpartitioning\(notice_id#\d+, word#", out._jdf.queryExecution().executedPlan().toString())
+        assert {(r["award_key"], tuple(r["shared_terms"])) for r in out.collect()} == {("PAY1", ("advice", "payroll")), ("140L0620C0015", ("drones", "survey"))}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
