@@ -307,3 +307,13 @@ def test_vectors_meet_within_a_pair(spark, world):
         assert {(r["award_key"], tuple(r["shared_terms"])) for r in out.collect()} == {("PAY1", ("advice", "payroll")), ("140L0620C0015", ("drones", "survey"))}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_pairs_are_kept_without_texts(world, monkeypatch):
+    """What the matcher keeps of each pair holds no text of a notice or award."""
+    kept = []
+    cut = match.cut
+    monkeypatch.setattr(match, "cut", lambda df: kept.append(set(df.columns)) or cut(df))
+    match.match(world["notices"], world["awards"], world["descriptions"], world["none"], CFG, VERTICAL, TODAY)
+    pairs = [c for c in kept if {"notice_id", "award_key"} <= c]
+    assert pairs and not any(c & {"n_text", "n_title", "a_description"} for c in pairs)
