@@ -317,3 +317,43 @@ def test_pairs_are_kept_without_texts(world, monkeypatch):
     match.match(world["notices"], world["awards"], world["descriptions"], world["none"], CFG, VERTICAL, TODAY)
     pairs = [c for c in kept if {"notice_id", "award_key"} <= c]
     assert pairs and not any(c & {"n_text", "n_title", "a_description"} for c in pairs)
+
+
+def _moved(spark, run):
+    """Records that Spark's stages wrote to shuffles meanwhile."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda found: [found.apply(k) for k in range(found.size())])(store.stageList(None, False, False, none, None))}
+    before = stages()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_awards_that_no_pair_has_stay_where_they_are(spark, world, found):
+    """Many awards that are neither able nor cited: the matcher never shuffles them; nor what earlier matches say of them."""
+    many = 20_000
+    rest = world["awards"].where("award_key = 'FAR'").withColumns({"award_type_code": F.lit("X"), "naics": F.lit("111110")}).crossJoin(spark.range(many).withColumnRenamed("id", "_k"))
+    rest = rest.withColumns({c: F.concat(F.lit("W91Q"), F.lpad(F.col("_k").cast("string"), 8, "0")) for c in ("award_key", "piid", "piid_norm")}).drop("_k")
+    large = world | {"awards": world["awards"].unionByName(rest).cache()}
+    assert large["awards"].count() == many + world["awards"].count()
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, moved = _moved(spark, lambda: run(large).select("notice_id", "award_key", "shown").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert {tuple(r) for r in rows} == {(r["notice_id"], r["award_key"], r["shown"]) for r in found.collect()}
+    assert 0 < moved < many
+
+
+def test_many_keys_are_shuffled_with_the_same_result(world, found, monkeypatch):
+    """Where keys are too many to be sent to every task, the matcher finds the same."""
+    from bidweave.operators import rows
+
+    monkeypatch.setattr(rows, "FEW", 0)
+    done = superseded(world, found, "OTHERIDV20D0001")
+    own = found.where("award_key = 'LAPTOPS'").withColumn("kind", F.lit("resulting_award"))
+    few = {(r["award_key"], r["score"], r["shown"]) for r in run(world, done.unionByName(own)).where("notice_id = 'adv'").collect()}
+    monkeypatch.undo()
+    assert few == {(r["award_key"], r["score"], r["shown"]) for r in run(world, done.unionByName(own)).where("notice_id = 'adv'").collect()}
+    assert {k for k, _, _ in few} == {"PAY1", "PAY2"}
